@@ -85,7 +85,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bins:
 
     A row_number over a group would take the whole group to one task. Here rows are first dealt to
     ``bins`` slices of each group by a hash of ``order``, numbered inside the slice, and moved up by the
-    sizes of the slices before; the table of sizes has groups x bins rows. The order inside a group is
+    sizes of the slices before. The table of sizes is broadcast: it has groups x bins rows, and callers
+    have a fixed number of groups (shards, buckets). The order inside a group is
     thus (slice, order): fixed by the rows alone.
     """
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
@@ -95,7 +96,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bins:
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
     rows = sliced.withColumn("_at", F.row_number().over(inside) - 1)
     return (
-        rows.join(starts, [*group, "_slice"])
+        rows.join(F.broadcast(starts), [*group, "_slice"])
         .withColumn(out, F.col("_before") + F.col("_at"))
         .drop("_slice", "_at", "_before")
     )
