@@ -5,12 +5,12 @@ into one of ROWS x BANDS bins; a bin keeps its smallest hash, and an empty bin b
 universal hash names for it, so that two sets agree in a bin as likely as they overlap. BANDS groups of
 ROWS bins make buckets: at a similarity of 0.85 two sets miss all buckets once in millions.
 
-Pairs within a bucket are never all listed. Each node is first compared with one centre, the member of its
-buckets that meets the most others; links are confirmed on the full sets and connected. Only buckets that
-still hold several components go on: their members are ranked by the share of shingles that no other
-member has, and ever more of the first-ranked become centres of further stars. A pair is left out only if
-it is connected already or if its unique shingles alone prove that it is too unlike, and a member with over
-3/37 unique shingles can't be a centre, so groups whose copies differ by edits of their own end at once.
+Pairs within a bucket are not listed. Each node is compared with one centre, the member of its buckets that
+meets the most others; links are confirmed on the full sets and connected. Only buckets that then still
+hold several components go on, with those pairs that could link. For these, shingles that no other open
+node has are counted: a pair differs by all of them at least, and if both were compared with one centre,
+by what the two distances from it and the unique shingles leave (``feasible``). A pair is thus left out only
+if it is connected already or proven too unlike, and copies with edits of their own are proven so at once.
 
 Defined results: null or empty texts, or without words, have an empty set, link with nothing and are kept;
 so are rows with a null doc_id (component null); texts under five words are one shingle; rows that repeat a
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -116,14 +116,34 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("node"), W.lists(W.signed(hashes), offsets, pa.int64())], ["node", "shingles"])
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough."""
+def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, common: the edges with the sizes of their full sets and of what they share."""
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
     # Leaves first: each is in few edges. A centre of very many leaves is then joined where Spark may split it.
     rows = edges.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
-    return rows.where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    return rows.select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+
+
+def linked(percent: int) -> F.Column:
+    return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+
+
+def feasible(percent: int) -> F.Column:
+    """Whether two open nodes (columns n, u, centre, d and o_n, o_u, o_centre, o_d) may be similar enough.
+
+    Their sets share at most the smaller number of shingles that aren't unique (u are), and differ in both
+    nodes' unique ones. With d elements between a node and its centre, two nodes of one centre differ in
+    d + o_d less twice the elements that both differences hold, which are at most d - u and o_d - o_u.
+    """
+    n, u, d, o_n, o_u, o_d = (F.col(c) for c in ("n", "u", "d", "o_n", "o_u", "o_d"))
+    shared = F.least(n - u, o_n - o_u)
+    apart = F.when(F.col("centre") == F.col("o_centre"), d + o_d - 2 * F.least(d - u, o_d - o_u)).otherwise(0)
+    return (
+        (100 * F.least(n, o_n) >= percent * F.greatest(n, o_n))
+        & ((100 - percent) * shared >= percent * (u + o_u))
+        & ((100 + percent) * F.coalesce(apart, F.lit(0)) <= (100 - percent) * (n + o_n))
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,10 +166,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after ``links`` (between nodes) are added to components so far."""
-    if labels is None:
-        return components(links)
     of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     top = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
@@ -159,10 +177,6 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(fresh), "labels")
 
 
-def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for rows with a doc_id."""
     rows = materialize(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signature_rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
@@ -178,46 +192,32 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     sets = materialize(sets.mapInArrow(_set_rows, "node long, shingles array<long>"), "sets")
 
-    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     centre = F.struct("meets", (-F.col("node")).alias("minus"), "n")
     stars = members.groupBy("bucket").agg(F.max(centre).alias("centre"))
-    best = members.join(stars.hint("merge"), "bucket").where(sized(F.col("n"), F.col("centre.n")) & (F.col("node") != -F.col("centre.minus")))
+    best = members.join(stars.hint("merge"), "bucket").where(F.col("node") != -F.col("centre.minus"))
     first = best.groupBy(F.col("node").alias("b")).agg(F.max("centre").alias("centre")).select((-F.col("centre.minus")).alias("a"), "b")
-    labels = _relabel(None, confirmed(first, sets, percent))
-
-    done = 0
-    open_ = None
-    while True:
-        known = _with_component(members if open_ is None else open_, labels)
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        left = known.join(mixed.hint("merge"), "bucket")
-        if open_ is None:
-            left = materialize(left, "open")
-            here = left.select("node").distinct()
-            lone = sets.join(here.hint("merge"), "node", "left_semi").select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node")).where("k = 1")
-            unique = lone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-            ranked = left.join(unique, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-            order = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "node")
-            left = ranked.withColumn("rank", F.row_number().over(order)).select("bucket", "node", "n", "u", "rank", "component")
-        open_ = materialize(left, "open")
-        last = open_.where(f"{100 + percent} * u <= {100 - percent} * n").agg(F.max("rank")).first()[0] or 0
-        if done >= last:
-            break
-        to = max(2 * done, 1)
-        c = open_.where((F.col("rank") > done) & (F.col("rank") <= to) & F.expr(f"{100 + percent} * u <= {100 - percent} * n"))
-        c = c.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-        o = open_.select(F.col("bucket").alias("ob"), F.col("node").alias("b"), "n", "u", "rank", "component")
-        common = F.least(F.col("na") - F.col("ua"), F.col("n") - F.col("u"))
-        can = sized(F.col("na"), F.col("n")) & ((100 - percent) * common >= percent * (F.col("ua") + F.col("u")))
-        pairs = c.join(o.hint("merge"), (F.col("bucket") == F.col("ob")) & (F.col("rank") > F.col("ra")) & (F.col("ca") != F.col("component")) & can)
-        links = materialize(confirmed(pairs.select("a", "b").distinct(), sets, percent), "links")
-        done = to
-        if links.limit(1).count():
-            labels = _relabel(labels, links)
+    first = materialize(measured(first, sets), "stars")
+    labels = components(first.where(linked(percent)))
+
+    placed = members.select("bucket", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    open_ = materialize(placed.join(mixed.hint("merge"), "bucket"), "open")
+    here = open_.select("node").distinct()
+    lone = sets.join(here.hint("merge"), "node", "left_semi").select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node")).where("k = 1")
+    unique = lone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    from_centre = first.select(F.col("b").alias("node"), F.col("a").alias("centre"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
+    known = here.join(unique, "node", "left").join(from_centre, "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"), "centre", "d")
+    open_ = materialize(open_.join(known.hint("merge"), "node"), "open")
+    other = open_.select(F.col("bucket").alias("o_bucket"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "u", "centre", "d", "component")])
+    may = (F.col("bucket") == F.col("o_bucket")) & (F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & feasible(percent)
+    pairs = open_.join(other.hint("merge"), may).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    links = materialize(measured(pairs, sets).where(linked(percent)).select("a", "b"), "links")
+    if links.limit(1).count():
+        labels = _relabel(labels, links)
 
     by_set = nodes.select(*alike, "node")
-    placed = rows.select("doc_id", *alike).join(by_set.hint("merge"), alike, "left").join(labels.hint("merge"), "node", "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    of_rows = rows.select("doc_id", *alike).join(by_set.hint("merge"), alike, "left").join(labels.hint("merge"), "node", "left")
+    return of_rows.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
