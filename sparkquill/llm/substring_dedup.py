@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, new_folder, remove_folder, shuffles_dropped, text_key
+from .common import materialize, new_folder, remove_folder, shuffles_dropped
 
 WINDOW, PART = 13, 5
 #: Rows of one fingerprint above which its windows are dealt over SALTS tasks.
@@ -106,7 +106,7 @@ class FingerprintIndex:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, key, fps, hot -> the windows under the listed fingerprints."""
+    """doc_id, text, fps, hot -> the windows under the listed fingerprints."""
     for batch in batches:
         for part, texts in W.slices(batch):
             w = W.split(texts)
@@ -126,6 +126,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = key[at] == mine if len(key) else np.zeros(len(mine), bool)
             first, doc, at = first[hit], doc[hit], at[hit]
             whole = w.rolling(WINDOW)[first]
+            # one row for each window of a document, however often it stands there
+            order = np.lexsort((whole, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order][1:] != doc[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+            order = order[new]
+            first, doc, at, whole = first[order], doc[order], at[order], whole[order]
             check = w.rolling(WINDOW, second=True)[first]
             take = pa.array(doc)
             yield pa.record_batch(
@@ -133,31 +139,29 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(W.signed(whole)),
                     pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     part.column("doc_id").take(take),
-                    part.column("key").take(take),
-                    pa.array((first - w.bounds[doc]).astype(np.int32)),
                     pa.array(hot[at].astype(bool) if len(at) else np.zeros(0, bool)),
                 ],
-                ["whole", "check", "doc_id", "key", "first", "hot"],
+                ["whole", "check", "doc_id", "hot"],
             )
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """doc_id, key, first: windows of a document that also start in a document with a smaller doc_id."""
+    """doc_id, whole: windows (by hash) of a document that also start in a document with a smaller doc_id."""
     listed = candidates.groupBy("doc_id", "fp").agg(F.max("n").alias("n"))
     listed = listed.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.col("n") > hot_rows).alias("hot"))
-    texts = docs.select("doc_id", "text", text_key().alias("key")).join(listed.hint("merge"), "doc_id")
-    schema = "whole long, check int, doc_id long, key long, first int, hot boolean"
-    rows = texts.mapInArrow(_window_rows, schema)
+    texts = docs.select("doc_id", "text").join(listed.hint("merge"), "doc_id")
+    rows = texts.mapInArrow(_window_rows, "whole long, check int, doc_id long, hot boolean")
     # A window of a very frequent fingerprint is dealt over salts: its smallest document of each salt
     # is found first, and these few are compared with each other in a second step.
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(-1)
     window = ["whole", "check", "salt"]
     least = F.min("doc_id").over(Window.partitionBy(*window).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    seen = rows.withColumn("salt", salt).withColumn("least", least)
+    seen = rows.select("whole", "check", "doc_id", salt.alias("salt")).withColumn("least", least)
     later = F.col("doc_id") > F.col("least")
     across = F.min("doc_id").over(Window.partitionBy("whole", "check"))
-    firsts = seen.where(~later & (F.col("salt") >= 0)).withColumn("least", across)
-    return seen.where(later).unionByName(firsts.where(later)).select("doc_id", "key", "first")
+    # One condition over both columns, so that it isn't moved below the first exchange, which both branches share.
+    firsts = seen.where(F.least(F.col("salt").cast("long"), F.col("least") - F.col("doc_id")) >= 0).withColumn("least", across)
+    return seen.where(later).unionByName(firsts.where(later)).select("doc_id", "whole")
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +169,14 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in W.slices(batch):
             w = W.split(texts)
             counts, removed, digests = [], [], []
-            for d, starts in enumerate(part.column("starts")):
+            whole = W.signed(w.rolling(WINDOW))
+            for d, repeats in enumerate(part.column("repeats")):
                 a, b = int(w.bounds[d]), int(w.bounds[d + 1])
                 gone = np.zeros(b - a + 1, np.int32)
-                if starts.is_valid:
-                    first = starts.values.to_numpy(zero_copy_only=False)
-                    np.add.at(gone, first, 1)
-                    np.add.at(gone, first + WINDOW, -1)
+                if repeats.is_valid and b - a >= WINDOW:
+                    first = np.flatnonzero(np.isin(whole[a : b - WINDOW + 1], repeats.values.to_numpy(zero_copy_only=False)))
+                    gone[first] += 1
+                    gone[first + WINDOW] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 stays = w.span(a, b)
                 if gone.any():
@@ -187,8 +192,8 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    starts = windows.groupBy("doc_id", "key").agg(F.collect_set("first").alias("starts"))
-    rows = docs.select("doc_id", "text", text_key().alias("key")).join(starts.hint("merge"), ["doc_id", "key"], "left")
+    repeats = windows.groupBy("doc_id").agg(F.collect_set("whole").alias("repeats"))
+    rows = docs.select("doc_id", "text").join(repeats.hint("merge"), "doc_id", "left")
     return rows.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
