@@ -46,8 +46,8 @@ def recipes(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int
     # Each identifier's contents, combined in the scanning tasks first: a chunk that a third of the
     # documents have reaches the reducer once a task.
     content = norm.select(F.explode(chunks(F.col("_norm"), least, most)).alias("chunk"))
-    dictionary = content.groupBy(identify("chunk").alias("id")).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-    shared = dictionary.where("lo <> hi").select("id")
+    dictionary = content.select(identify("chunk").alias("id"), "chunk").distinct()
+    shared = dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("id")
     doubtful = (
         rows.select("text_sha256", F.explode("recipe").alias("id"))
         .join(shared, "id", "left_semi")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +33,26 @@ from .common import materialize, new_folder, remove_folder, shuffles_dropped
 
 END, BLOCK, STRIDE, LONGEST = 2, 1 << 16, 64, 16
 #: Words whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
-#: What the tokenizer's own pattern finds in lower-cased ASCII text.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+REMEMBERED = 600_000
+#: What the tokenizer's own pattern finds in lower-cased words whose letters are Latin: those up to U+017F
+#: whose lower case is one letter in any context. Other words go through the tokenizer whole.
+_LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_LATIN = re.compile("[\x21-\x7EªµºÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable character for each byte in byte-level vocabularies: itself, or the next one from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
+
+
+_BYTE = _byte_letters()
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never looks across white space, one distinct word at a time."""
 
@@ -46,6 +61,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -53,27 +69,26 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii():
+        if not _LATIN.fullmatch(word):
             return self._raw(word)
         out = []
         for piece in _PIECE.findall(word.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                if piece.isalpha():
-                    ids = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-                else:
-                    ids = self._raw(piece)
-                self.pieces[piece] = ids
+                spelt = piece if piece.isascii() else "".join([_BYTE[b] for b in piece.encode()])
+                ids = [t.id for t in self.tokenize(spelt)]
+                ids = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
             out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
-        if "<|" in text:  # may hold a special token, which has white space of its own
+        # A special token has white space of its own; and Python's white space is wider by these four.
+        if "<|" in text or _SEPARATORS.search(text):
             return self._raw(text)
-        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.words.clear()
-            self.pieces.clear()
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         known, found = self.words, text.split()
         try:
             return b"".join(map(known.__getitem__, found))

@@ -16,6 +16,7 @@ input (lang, source and whatever their names) are never looked at.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"[^\W\d_]+[0-9@$*!|]+[^\W\d_]+|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": None, ".": None, "-": None, "_": None})
 _BEGINS = (4, 5, 6)
+_EDGES = ".,;:!?\"'()[]{}<>#%&*$-"
+#: Of each byte: 1 for A-Z, 2 for ASCII punctuation, 3 for ! and ?, else 0.
+_BYTE_KIND = np.array([3 if c in "!?" else 2 if c in string.punctuation else 1 if c in string.ascii_uppercase else 0 for c in map(chr, range(256))])
 
 
 def fold(doc_id: Column) -> Column:
@@ -56,49 +60,48 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def features(text: str, words: dict[str, float], begins: dict[str, float]) -> list[float]:
-    """The features of one text, in the order of FEATURES."""
+def features(text: str, words: dict[str, float], begins: dict[str, float], four: frozenset[str]) -> list[float]:
+    """The features of one text, in the order of FEATURES; ``four`` has the first four letters of ``begins``."""
     plain = text.lower()
     found = _WORD.findall(plain)
-    n = len(found)
-    kinds: dict[str, tuple[float, float, bool]] = {}
-    for w in set(found):
-        a, b, c = words.get(w, 0.0), max(begins.get(w[:k], 0.0) for k in _BEGINS), w in LEXICON
-        if a or b or c:
-            kinds[w] = (a, b, c)
+    distinct = set(found)
+    kinds = {w: (words.get(w, 0.0), 0.0, w in LEXICON) for w in distinct & (LEXICON | words.keys())} if distinct else {}
+    for w in [w for w in distinct if w[:4] in four]:
+        a, _, c = kinds.get(w, (0.0, 0.0, False))
+        kinds[w] = (a, max(begins.get(w[:k], 0.0) for k in _BEGINS), c)
+    you = np.array([i for i, w in enumerate(found) if w in SECOND_PERSON]) if distinct & SECOND_PERSON else np.zeros(0)
     lexicon = learned = begun = near = 0
     weight = begin_weight = 0.0
-    you = [i for i, w in enumerate(found) if w in SECOND_PERSON]
-    if kinds:
-        at_you = np.array(you)
-        for i, w in enumerate(found):
-            kind = kinds.get(w)
-            if kind:
-                learned += kind[0] > 0
-                begun += kind[1] > 0
-                weight += kind[0]
-                begin_weight += kind[1]
-                lexicon += kind[2]
-                near += bool(len(you) and np.abs(at_you - i).min() <= 5)
-    hidden = _HIDDEN.findall(plain)
-    unhidden = sum(1 for x in hidden if (y := x.translate(_PLAIN)) in LEXICON or y in words)
-    size, per = max(1, len(text)), max(1, n)
-    upper = sum(map(str.isupper, text))
-    shout = sum(1 for w in _WORD.findall(text) if len(w) > 2 and w.isupper()) if upper > 2 else 0
-    marks = len(text) - sum(map(str.isalnum, text)) - sum(map(str.isspace, text))
+    for i, w in enumerate(found) if kinds else ():
+        kind = kinds.get(w)
+        if kind:
+            learned += kind[0] > 0
+            begun += kind[1] > 0
+            weight += kind[0]
+            begin_weight += kind[1]
+            lexicon += kind[2]
+            near += bool(len(you) and np.abs(you - i).min() <= 5)
+    tokens = text.split()
+    odd = [c for t in {t.lower() for t in tokens if not t.isalpha()} if (c := t.strip(_EDGES)) and not c.isalpha() and _HIDDEN.fullmatch(c)]
+    unhidden = sum(1 for x in odd if (y := x.translate(_PLAIN)) in LEXICON or y in words)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    size, per = max(1, len(raw)), max(1, len(found))
+    kind_of = np.bincount(_BYTE_KIND[raw], minlength=4)
+    shout = sum(1 for t in tokens if len(t) > 2 and t.isupper()) if kind_of[1] > 2 else 0
     return [
-        float(np.log1p(n)), lexicon / per, float(lexicon), learned / per, float(learned), weight, begun / per, float(begun),
-        begin_weight, near / per, len(you) / per, upper / size, shout / per, marks / size, (text.count("!") + text.count("?")) / size,
-        len(hidden) / per, float(unhidden),
+        float(np.log1p(len(found))), lexicon / per, float(lexicon), learned / per, float(learned), weight, begun / per, float(begun),
+        begin_weight, near / per, len(you) / per, kind_of[1] / size, shout / per, (kind_of[2] + kind_of[3]) / size, kind_of[3] / size,
+        len(odd) / per, float(unhidden),
     ]
 
 
 def _feature_rows(words: dict[str, float], begins: dict[str, float]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        four = frozenset(b[:4] for b in begins)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                values = [features(t or "", words, begins) for t in part.column("text").to_pylist()]
+                values = [features(t or "", words, begins, four) for t in part.column("text").to_pylist()]
                 column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)), pa.array([x for v in values for x in v], pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "_features"])
 
