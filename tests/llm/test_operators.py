@@ -1,0 +1,287 @@
+"""Each operator against brute force or its SQL, and on nulls, empty and long texts, repeats, empty tables and extra columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from oracle import same
+from pyspark.sql import functions as F
+
+from sparkquill.llm import catalog, common, decontaminate, exact_dedup, license_scan, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, url_filter, words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, key string, score double"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "clash", 0.5) for i, t in rows], SCHEMA)
+
+
+def phrase(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("w" + "".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd():
+    long = phrase(9, 30_000)
+    base = phrase(1, 60)
+    return [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, base), (6, base), (7, base + " more words"), (8, long), (9, phrase(2, 20) + " " + base), (9, phrase(2, 20) + " " + base), (None, base), (11, "Ünïcode İ ſ x" * 3)]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_sql(spark, sf, name):
+    same(catalog.QUERIES[name](spark, sf), catalog.ORACLES[name], sf)
+
+
+def removed_by_brute_force(rows):
+    w = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (i, _), x in zip(rows, w):
+        for k in range(len(x) - 12):
+            g = tuple(x[k : k + 13])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for (i, _), x in zip(rows, w):
+        gone = {j for k in range(len(x) - 12) if first[tuple(x[k : k + 13])] < i for j in range(k, k + 13)}
+        out.append((i, len(x), len(gone), hashlib.sha256(" ".join(v for j, v in enumerate(x) if j not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup(spark, odd, batches):
+    rows = [r for r in odd if r[0] is not None]
+    found = substring_dedup.substring_dedup(docs(spark, odd), batches, substring_dedup.FingerprintIndex(spark, most_runs=1))
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(r for r in got if r[0] is not None) == removed_by_brute_force(rows)
+    assert [r[2] for r in got if r[0] is None] == [0]
+
+
+def test_substring_dedup_hot_windows(spark):
+    rows = [(i, phrase(100 + i, 15) + " " + phrase(1, 20)) for i in range(40)]
+    frame = docs(spark, rows)
+    found = substring_dedup.FingerprintIndex(spark).append(frame)
+    windows = substring_dedup.repeated_windows(frame, found, hot_rows=3, salts=4)
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame, windows).collect()) == removed_by_brute_force(rows)
+
+
+def test_sharding(spark, odd):
+    got = sharding.shard(docs(spark, odd), 3).collect()
+    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in odd)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding_balances(spark, sf):
+    sizes = [r.b for r in catalog.op2_sharding(spark, sf).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 24 and max(sizes) < 1.35 * sum(sizes) / 24  # 200 texts, one of them 4 % of all bytes
+
+
+def linked_by_brute_force(rows):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    return sorted((i, len(sets[i]), top[i], top[i] == i) for i in sets)
+
+
+def test_near_dedup(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "one two")]
+    for group in range(4):
+        base = phrase(50 + group, 80 + 40 * group).split()
+        for _ in range(14):
+            copy = list(base)
+            for k in rng.choice(len(base), rng.integers(0, 8), replace=False):
+                copy[k] = f"edit{rng.integers(3)}" if rng.random() < 0.5 else phrase(int(rng.integers(1e9)), 1)
+            rows.append((len(rows) + 1, " ".join(copy)))
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows)).collect())
+    assert got == linked_by_brute_force(rows)
+
+
+def test_near_dedup_odd_rows(spark, odd):
+    got = [tuple(r) for r in near_dedup.near_dedup(docs(spark, odd)).collect()]
+    assert len(got) == len(odd) and [r[2:] for r in got if r[0] is None] == [(None, True)]
+
+
+def test_signatures_estimate_similarity():
+    a, b = phrase(1, 400), " ".join(phrase(1, 400).split()[:360] + phrase(2, 40).split())
+    doc, hashes = near_dedup.shingle_sets([a.encode(), b.encode()])
+    s = near_dedup.signatures(doc, hashes, 2, 6144)
+    x, y = (set(hashes[doc == d].tolist()) for d in (0, 1))
+    assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.05
+
+
+def test_toxicity(spark, sf):
+    labels = common.table(spark, sf, "labels")
+    got = toxicity.toxicity(common.table(spark, sf, "documents"), labels, trees=3)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.values())
+
+
+def test_toxicity_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(5, 1, None), (6, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs(spark, odd), labels).count() == len(odd)
+
+
+def padding(histogram, tops):
+    return sum(min(t for t in tops if t >= size) * n - held for size, n, held in histogram)
+
+
+def test_boundaries_are_optimal():
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = sorted(rng.choice(200, 9, replace=False).tolist())
+        h = [(s + 1, int(n), int(n) * (s + 1)) for s, n in zip(sizes, rng.integers(1, 50, 9))]
+        best = min(padding(h, [*c, h[-1][0]]) for c in combinations([s for s, _, _ in h[:-1]], 3))
+        assert padding(h, packing.boundaries(h, 4)) == best
+
+
+def test_packing(spark, odd):
+    got = packing.pack(docs(spark, odd), 4, 100).collect()
+    assert len(got) == len(odd) and all(r.n_tokens <= r.bucket_tokens for r in got)
+    assert len({(r.batch, r.slot) for r in got}) == len(got)
+    for b in {r.batch for r in got}:
+        of = [r for r in got if r.batch == b]
+        assert len(of) == 1 or len(of) * of[0].bucket_tokens <= 100
+    assert packing.pack(docs(spark, []), 4, 100).count() == 0
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(5)
+    counts = {i: int(n) for i, n in enumerate(rng.zipf(1.3, 300) % 10_000 + 1)}
+    limited, free = token_files.code_lengths(counts, 16), token_files.huffman_lengths(counts)
+    assert sum(2.0**-n for n in limited.values()) <= 1 and max(limited.values()) <= 16
+    if max(free.values()) <= 16:
+        assert sum(counts[i] * n for i, n in limited.items()) == sum(counts[i] * n for i, n in free.items())
+    assert max(token_files.code_lengths({i: 2**i for i in range(12)}, 5).values()) == 5
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 65, 5000):
+        ids = (rng.zipf(1.2, n) % 3000).astype(np.int64)
+        kept, size, codes = token_files.canonical(token_files.code_lengths({i: int(c) for i, c in zip(*np.unique(np.append(ids, [1, 2]), return_counts=True))}))
+        code, length = np.zeros(3001, np.uint64), np.zeros(3001, np.int64)
+        code[kept], length[kept] = codes, size
+        bits, marks = token_files.encode_block(ids, code, length)
+        assert (token_files.decode_block(bits, marks, n, token_files.decode_table(kept, size)) == ids).all()
+
+
+def test_token_files(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [r for r in odd if r[0] is not None] + [(20, "Don't you'RE <|endoftext|> a_b ½ 3x\x1c"), (21, "éà ÀÉ##'s \u0085 ﬁ Σας")]
+    plain = Tokenizer.from_file(path)
+    folder = token_files.write_tokens(docs(spark, rows), path, block_ids=500)
+    got = sorted(token_files.token_digests(spark, folder).collect(), key=lambda r: r.start)
+    at = 0
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or ""))):
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(got) == len(rows)
+
+
+def test_exact_dedup_with_colliding_identifiers(spark, odd):
+    rows = odd + [(30, phrase(1, 60).replace(" ", "\n")), (31, "x" * 9000)]
+    frame = docs(spark, rows)
+    fine = sorted(map(tuple, exact_dedup.exact_dedup(frame).collect()), key=str)
+    coarse = exact_dedup.exact_dedup(frame, identify=lambda c: F.pmod(F.xxhash64(c), F.lit(2)), least=16, most=64)
+    assert sorted(map(tuple, coarse.collect()), key=str) == fine
+    sizes = {}
+    for _, t in rows:
+        k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        sizes[k] = sizes.get(k, 0) + 1
+    assert sorted(r[2] for r in fine) == sorted(n for n in sizes.values() for _ in range(n))
+
+
+def test_chunks_join_to_the_text(spark):
+    row = spark.createDataFrame([(phrase(3, 5000),)], "t string").select("t", exact_dedup.chunks(F.col("t")).alias("c")).first()
+    assert "".join(row.c) == row.t and len(row.c) > 10
+
+
+def test_url_filter_odd_rows(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.COM", "http://x.Example.com/en/7?q", "ftp://b.com/en/x#y", "http://example.net/de/81", "http://net/de/1", "http://a.org/es/", "http://notexample.com/en/7", "http://a.org/es/"]
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark), sweep_rows=2).collect()}
+    assert len(got) == len(urls)
+    assert got[0] == got[2] == ("", "", None, "allow") and got[4] == ("a.com", "", None, "allow")
+    assert got[5] == ("x.example.com", "/en/7", "example.com/en/7", "allow") and got[6] == ("b.com", "/en/x", "com/en/", "block")
+    assert got[7][2:] == ("example.net/de/8", "block") and got[8][2:] == ("net/de/", "allow") and got[10][2:] == ("com/en/", "block")
+
+
+def test_decontamination(spark):
+    item = phrase(77, 40)
+    edited = item.split()
+    for k in (5, 14, 23, 32):
+        edited[k] = "other"
+    rows = [(1, None), (2, ""), (3, phrase(1, 300)), (4, phrase(2, 100) + " " + item + " " + phrase(3, 100)), (5, " ".join(edited)), (6, " ".join(item.split()[:8]) + " " + phrase(4, 50))]
+    items = spark.createDataFrame([(1, item, "x"), (2, "too short", "x"), (3, None, "x")], "item_id long, text string, doc_id string")
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in decontaminate.decontaminate(docs(spark, rows), items).collect()}
+    assert got == {1: (False, None), 2: (False, None), 3: (False, None), 4: (True, 1), 5: (True, 1), 6: (False, None)}
+    blocks = decontaminate.passages_scored(docs(spark, rows), items, most_grams=10)
+    assert {r.doc_id for r in blocks.where("score >= 0.6").collect()} == {4, 5}
+
+
+def test_alignment_is_smith_waterman():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 15)
+        h = np.zeros((13, 16), int)
+        for i in range(1, 13):
+            for j in range(1, 16):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontaminate.align(a, b)[0] == h.max()
+
+
+def test_license_scan(spark):
+    mit = license_scan.TEMPLATES[0][1]
+    broken = mit.replace("any person", "any good person").title()
+    rows = [(1, None), (2, ""), (3, "Under the MIT-License, under THE mit license!"), (4, broken), (5, "see apache license, version 2 and CC BY-NC"), (5, "cc"), (6, "cc by and nc")]
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.license_scan(docs(spark, rows)).collect())
+    assert got == sorted([
+        (1, 0, 0, None, None, "", ""), (2, 0, 0, None, None, "", ""), (3, 8, 2, 0, 4, "mit", "mit"), (4, len(broken.split()), 0, None, None, "", "mit"),
+        (5, 9, 2, 1, 6, "apache-2,cc-by-nc", "apache-2,cc-by-nc"), (5, 1, 0, None, None, "", ""), (6, 4, 0, None, None, "", ""),
+    ])
+
+
+def test_base_places_by_brute_force(spark, sf):
+    rows = {r.doc_id: r for r in catalog.op10_license_scan(spark, sf).collect()}
+    for d in common.table(spark, sf, "documents").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in d.text or ""))
+        at = [i for _, p in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = rows[d.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
+
+
+def test_words_and_hashes():
+    texts = [b"", b"  a\tb  c ", b"a b c", "é\x0bü".encode()]
+    w = words.split(texts)
+    assert [w.span(a, b) for a, b in zip(w.bounds, w.bounds[1:])] == [[], [b"a", b"b", b"c"], [b"a", b"b", b"c"], ["é".encode(), "ü".encode()]]
+    assert w.rolling(3)[0] == w.rolling(3)[3] and w.whole(3).tolist() == [True, False, False, True, False, False]
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_sharding", "op3_near_dedup", "op4_toxicity", "op5_packing", "op6_token_files", "op7_exact_dedup", "op8_url_filter", "op9_decontaminate", "op10_license_scan"])
+def test_empty_tables(spark, sf, tmp_path, name):
+    for table in ("documents", "labels", "benchmark", "pages"):
+        common.table(spark, sf, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_numbering_has_no_gaps(spark):
+    frame = spark.range(1000).withColumn("g", F.col("id") % 3)
+    got = common.numbered(frame, ["g"], ["id"], "at", 8).collect()
+    assert sorted((r.g, r["at"]) for r in got) == sorted((g, i) for g in range(3) for i in range(334 if g == 0 else 333))

@@ -1,0 +1,19 @@
+"""Each stage keeps the documents' columns and drops what it should."""
+
+import corpus_pipeline
+from sparkquill.llm import common
+
+
+def test_stages(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    columns = docs.columns
+    before = None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf), "test")
+        assert docs.columns == columns
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert before is None or ids <= before, name
+        before = ids
+    assert len(before) > 100
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.collect()} == before
