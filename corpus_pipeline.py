@@ -16,15 +16,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts one document stays; a null doc_id is a document like others."""
+    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = docs.doc_id.eqNullSafe(kept.kept_id) & (text_key() == kept.kept_key)
+    return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    kept = near_dedup.near_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked documents the one with the smallest id stays; those with a null doc_id stay too."""
+    kept = near_dedup.near_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

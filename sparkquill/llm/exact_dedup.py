@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A chunk ends after this pattern, once it has LEAST characters, and at MOST in any case.
 BOUNDARY, LEAST, MOST = "[aeiou.,][^aeiou][aeiou][^aeiou][^aeiou]", 1024, 8192
@@ -31,14 +33,15 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
 
 
 def recipes(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, n_code_points, recipe (ordered chunk identifiers), text_sha256, unverified.
+    """doc_id, key, n_code_points, recipe (ordered chunk identifiers), text_sha256, unverified.
 
     ``unverified`` holds the text's SHA-256 for documents with a chunk whose identifier two different
     chunks share, else null: identifiers alone decide only where they are proven to name one content.
     """
-    norm = docs.select("doc_id", F.col("text").alias("_text"), normalised(F.col("text")).alias("_norm"))
+    norm = docs.select("doc_id", text_key().alias("key"), F.col("text").alias("_text"), normalised(F.col("text")).alias("_norm"))
     rows = norm.select(
         "doc_id",
+        "key",
         F.length(F.coalesce("_text", F.lit(""))).alias("n_code_points"),
         F.transform(chunks(F.col("_norm"), least, most), lambda c: identify(c)).alias("recipe"),
         F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
@@ -58,7 +61,7 @@ def recipes(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int
 
 
 def exact_dedup(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, key (tells rows of one doc_id apart).
 
     Of equal texts the row with the most code points in the original stays, then the smallest doc_id.
     """
@@ -75,7 +78,7 @@ def exact_dedup(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most:
     )
     same = (rows.recipe_hash == g.g_hash) & (rows.recipe == g.g_recipe) & rows.unverified.eqNullSafe(g.g_unverified)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("keep_points"))
-    return rows.join(g, same).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.join(g, same).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "key")
 
 
 ORACLE = r"""

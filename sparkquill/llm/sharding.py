@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts are a group and stay together, unless a group is so large that no shard could take it and stay
-near the others; then its rows are dealt to pieces by doc_id. Groups over 1/(64 x shards) of the corpus in
+Equal texts are a group and stay together, unless a group is more than half a shard in any size; then its rows
+are dealt to pieces by doc_id, since whole groups of that size would leave shards unlike. Groups over 1/(64 x shards) of the corpus in
 any of the three sizes are items of their own (there are at most 3 x 64 x shards of them); all others are
 bundled by a hash of their text into 256 bundles a shard. The driver thus packs a bounded number of items:
 largest first, each where the dot product of its sizes with the shard's residual capacity is highest, and
@@ -68,8 +68,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = 256) -> DataFrame:
     groups = rows.groupBy("group", "bundle").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     share = F.greatest(*[F.col(d) / F.lit(float(whole[d])) for d in dims])
     own = (share > 1.0 / (OWN * shards)) & (F.col("n") > 0)
-    # A group's pieces: one unless it is so large that it would unbalance a shard.
-    parts = F.least(F.col("n"), F.ceil(share * shards * PIECE)).cast("int").alias("parts")
+    # A group's pieces: one up to half a shard, which the rest can still fill evenly.
+    parts = F.when(share * shards <= 0.5, 1).otherwise(F.least(F.col("n"), F.ceil(share * shards * PIECE)).cast("int")).alias("parts")
     split = [(r.group, r.parts) for r in groups.where(own).select("group", parts).toLocalIterator()]
     split = spark.createDataFrame(split, "group string, parts int")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("string")

@@ -79,6 +79,12 @@ def test_sharding_balances(spark, sf):
     assert len(sizes) == 24 and max(sizes) < 1.35 * sum(sizes) / 24  # 200 texts, one of them 4 % of all bytes
 
 
+def test_sharding_keeps_groups_of_up_to_half_a_shard(spark):
+    rows = [(i, phrase(500 + i, 20)) for i in range(120)] + [(200 + i, phrase(7, 20)) for i in range(12)] + [(300 + i, phrase(8, 20)) for i in range(60)]
+    got = {r.doc_id: r.shard for r in sharding.shard(docs(spark, rows), 4).collect()}
+    assert len({got[200 + i] for i in range(12)}) == 1 and len({got[300 + i] for i in range(60)}) > 1
+
+
 def linked_by_brute_force(rows):
     sets = {}
     for i, t in rows:

@@ -17,3 +17,14 @@ def test_stages(spark, sf):
     assert len(before) > 100
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.collect()} == before
+
+
+def test_dedup_stages_keep_rows_without_ids(spark, sf):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, "a b  c"), (2, "a b c"), (None, "a b c"), (None, "other words"), (4, None), (5, ""), (1, "second text of an id"), (7, near), (8, near + " more"), (None, near + " x")]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, key string")
+    exact = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert exact.columns == docs.columns
+    assert sorted((r[:2] for r in exact.collect()), key=str) == sorted([(1, "a b  c"), (None, "other words"), (4, None), (1, "second text of an id"), (7, near), (8, near + " more"), (None, near + " x")], key=str)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, exact, sf).collect()}
+    assert kept == {(1, "a b  c"), (None, "other words"), (4, None), (1, "second text of an id"), (7, near), (None, near + " x")}
