@@ -62,4 +62,5 @@ ORACLES = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op10_license_scan": license_scan.ORACLE,
 }

@@ -125,3 +125,37 @@ def license_scan(
         named("base_labels", "method_labels").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def oracle(phrases=PHRASES, templates=TEMPLATES, k: int = GRAM) -> str:
+    """DuckDB SQL for the rows of ``license_scan`` over ``documents``: base places by whole phrases, labels by spans."""
+    longest = max(k, *(len(p.split()) for _, p in phrases))
+    gram = lambda n: " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER o" for j in range(1, n))])
+    grams = ", ".join(f"{gram(n)} AS g{n}" for n in range(2, longest + 1))
+    bases = " UNION ALL ".join(f"SELECT rid, p, '{label}' AS label FROM l WHERE g{len(p.split())} = '{p}'" for label, p in phrases)
+    rows = [(t, label, x.split()) for t, (label, x) in enumerate(templates)]
+    values = ", ".join(f"({t}, '{label}', {len(w)}, {q}, '{' '.join(w[q : q + k])}')" for t, label, w in rows for q in range(len(w) - k + 1))
+    parts = ", ".join(f"(q + {j})" for j in range(k))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+l AS (SELECT rid, p, {grams} FROM x WINDOW o AS (PARTITION BY rid ORDER BY p)),
+b AS ({bases}),
+base AS (SELECT rid, count(*) AS n, min(p) AS low, max(p) AS high, list(DISTINCT label) AS names FROM b GROUP BY rid),
+t(template, label, t_words, q, gram) AS (VALUES {values}),
+v AS (SELECT DISTINCT l.rid, template, label, t_words, q, p - q AS diagonal FROM l JOIN t ON l.g{k} = t.gram),
+n AS (SELECT *, diagonal - lag(diagonal) OVER o > {NEIGHBOUR} AS new FROM v WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal, q)),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY diagonal, q ROWS UNBOUNDED PRECEDING) AS span FROM n),
+c AS (SELECT DISTINCT rid, template, label, t_words, span, unnest([{parts}]) AS word FROM s),
+h AS (SELECT rid, label, count(*) / t_words AS share FROM c GROUP BY rid, template, label, t_words, span),
+m AS (SELECT rid, max(share) AS share, coalesce(list(DISTINCT label) FILTER (WHERE share >= {COVERED}), []) AS names FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, low AS first_word, high AS last_word,
+       array_to_string(list_sort(coalesce(base.names, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.names, []), coalesce(m.names, [])))), ',') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
+ORACLE = oracle()

@@ -133,6 +133,17 @@ def test_toxicity(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.values())
 
 
+def test_toxicity_holds_on_rows_it_never_learned_from(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = common.table(spark, folder, "labels")
+    got = toxicity.toxicity(common.table(spark, folder, "documents"), labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    rank = got.score.rank()[got.toxic == 1].sum()
+    assert len(toxic) > 50 and (got.predicted == got.toxic).mean() > 0.97
+    assert (toxic.predicted == 1).mean() > 0.85 and (clean.predicted == 1).mean() < 0.01
+    assert (rank - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean)) > 0.93
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1, None), (6, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs(spark, odd), labels).count() == len(odd)

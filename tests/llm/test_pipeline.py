@@ -1,7 +1,81 @@
 """Each stage keeps the documents' columns and drops what it should."""
 
+import re
+from itertools import combinations
+
+import numpy as np
+
 import corpus_pipeline
-from sparkquill.llm import common
+from sparkquill.llm import common, decontaminate, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def shingles(words, k):
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def plain_copies(rows):
+    best = {}
+    for i, t in rows.items():
+        k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[k] = min(best.get(k, (1, 0)), (-len(t or ""), i))
+    return {i for _, i in best.values()}
+
+
+def plain_near_copies(rows):
+    sets = {i: shingles(plain_words(t), 5) for i, t in rows.items()}
+    top = {i: i for i in rows}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in combinations(sorted(rows), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            low, high = sorted((root(a), root(b)))
+            top[high] = low
+    return {i for i in rows if root(i) == i}
+
+
+def plain_clean(rows, items):
+    """Every pair with a 4-gram in common is aligned whole, without seeds or passages."""
+    words = {i: plain_words(t) for i, t in rows.items()}
+    grams = {i: shingles(w, 4) if len(w) > 3 else set() for i, w in words.items()}
+    bad = set()
+    for text in items:
+        item = plain_words(text)
+        wanted = shingles(item, 4) if len(item) > 3 else set()
+        for i, w in words.items():
+            if i not in bad and wanted & grams[i]:
+                number = {x: n for n, x in enumerate({*item, *w})}
+                score, _ = decontaminate.align(np.array([number[x] for x in item]), np.array([number[x] for x in w]))
+                if score >= decontaminate.LEAST * decontaminate.MATCH * len(item):
+                    bad.add(i)
+    return set(rows) - bad
+
+
+def test_stages_match_plain_versions(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    near = docs.where("size(split(text, ' ')) between 100 and 400").orderBy("doc_id").limit(5)
+    docs = common.materialize(docs.unionByName(near.selectExpr("doc_id + 10000 as doc_id", "concat(text, ' more') as text", "lang", "source", "n_chars")), "planted")
+    predicted = toxicity.toxicity(docs, common.table(spark, sf, "labels")).where("predicted = 1")
+    toxic = {r.doc_id for r in predicted.collect()}
+    items = [r.text for r in common.table(spark, sf, "benchmark").collect()]
+    plain = [lambda rows: set(rows) - toxic, plain_copies, plain_near_copies, lambda rows: plain_clean(rows, items)]
+    for (name, stage), want in zip(corpus_pipeline.STAGES, plain):
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = common.materialize(stage(spark, docs, sf), "test")
+        after = {r.doc_id for r in docs.collect()}
+        assert after == want(before), name
+        assert len(after) < len(before), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in packed) == sorted(after)
 
 
 def test_stages(spark, sf):
