@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of passages.
 
-Every 4-word gram of a test item is counted over the whole corpus (by documents); the rarer half of each
-item's grams are its seeds, whatever their counts, so an item that has leaked into very many documents has
-seeds too. Where seeds stand in a text, a passage around them is cut, as wide as the items need. Passages
-are joined to items through their seeds, and each pair's words are aligned: edited or paraphrased copies
-keep most of an item's score. A document is contaminated if an item reaches ``least`` of its full score.
+Every 4-word gram of a test item is a seed, whatever its count in the corpus, so any copy that keeps one gram
+is aligned. Where seeds stand in a text, a passage around them is cut, as wide as an alignment of ``least`` of
+the full score can reach. Passages are joined to items through their seeds, and each pair's words are aligned:
+edited or paraphrased copies keep most of an item's score. A document is contaminated if an item reaches
+``least`` of its full score. A copy that keeps no four words in a row is not found.
 
 Test items are processed in blocks of at most MOST_GRAMS grams, so what is broadcast is bounded however
 large the benchmark is; each block meets all documents.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -54,20 +54,6 @@ def item_grams(items: DataFrame) -> DataFrame:
     return items.mapInArrow(_gram_rows, "item long, h long, before int, after int")
 
 
-def _count_rows(wanted: np.ndarray):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in W.slices(batch):
-                w = W.split(texts, lower=True)
-                at = np.flatnonzero(w.whole(SEED))
-                place, hit = _found(W.signed(w.rolling(SEED)[at]), wanted)
-                pairs = np.unique(w.doc[at][hit] * len(wanted) + place[hit]) % max(len(wanted), 1)
-                which, n = np.unique(pairs, return_counts=True)
-                yield pa.record_batch([pa.array(wanted[which]), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    return rows
-
-
 def _found(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each value stands in ``ordered``, and whether it does."""
     if not len(ordered):
@@ -76,13 +62,9 @@ def _found(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndar
     return place, ordered[place] == values
 
 
-def document_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """h, n: in how many documents of the whole corpus each of the (bounded) grams stands."""
-    wanted = np.sort(np.array([r.h for r in grams.select("h").distinct().toLocalIterator()], np.int64))
-    return docs.select("text").mapInArrow(_count_rows(wanted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
 def _passage_rows(seeds: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """``before`` and ``after``: how far a passage reaches from the first word of each seed."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in W.slices(batch):
@@ -91,9 +73,8 @@ def _passage_rows(seeds: np.ndarray, before: np.ndarray, after: np.ndarray):
                 place, hit = _found(W.signed(w.rolling(SEED)[at]), seeds)
                 at, place = at[hit], place[hit]
                 doc = w.doc[at]
-                # an edited copy may be longer than the item: a quarter more on both sides
-                low = np.maximum(w.bounds[doc], at - before[place] * 5 // 4 - 4)
-                high = np.minimum(w.bounds[doc + 1], at + after[place] * 5 // 4 + 4)
+                low = np.maximum(w.bounds[doc], at - before[place])
+                high = np.minimum(w.bounds[doc + 1], at + after[place])
                 out: list[tuple] = []
                 i = 0
                 while i < len(at):
@@ -145,7 +126,7 @@ def _score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*kept, pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], ["doc_id", "key", "item_id", "first_word", "score", "end"])
 
 
-def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
+def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS, least: float = LEAST) -> DataFrame:
     """doc_id, key, item_id, score, end_word: every passage that shares a seed with an item, aligned with it."""
     texts = docs.select("doc_id", text_key().alias("key"), "text")
     items = materialize(benchmark.select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text")), "items")
@@ -156,12 +137,10 @@ def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOS
     for block in range(max(1, blocks)):
         here = F.pmod("item", F.lit(max(1, blocks))) == block
         g = grams.where(here)
-        counts = document_counts(docs, g)
-        rarest = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "h")
-        size = Window.partitionBy("item")
-        ranked = g.groupBy("item", "h").agg(F.max("before").alias("before"), F.max("after").alias("after")).join(counts, "h", "left")
-        ranked = ranked.withColumn("rank", F.row_number().over(rarest)).withColumn("of", F.count(F.lit(1)).over(size))
-        seeds = materialize(ranked.where("2 * rank <= of + 1").select("item", "h", "before", "after"), "seeds")
+        # An alignment of ``least`` of the full score holds at most so many words more than the item has.
+        more = F.ceil((F.col("before") + F.col("after")) * (MATCH * (1 - least) / -GAP))
+        wide = g.select("item", "h", (F.col("before") + more).alias("before"), (F.col("after") + more).alias("after"))
+        seeds = materialize(wide.groupBy("item", "h").agg(F.max("before").alias("before"), F.max("after").alias("after")), "seeds")
         reach = sorted((r.h, r.b, r.a) for r in seeds.groupBy("h").agg(F.max("before").alias("b"), F.max("after").alias("a")).toLocalIterator())
         hs, before, after = (np.array([r[i] for r in reach], np.int64) for i in range(3))
         found = texts.mapInArrow(_passage_rows(hs, before, after), "doc_id long, key long, first_word long, passage string, hs array<long>")
@@ -180,7 +159,7 @@ def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOS
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, key, contaminated, item_id, score, end_word (of the best item), n_items."""
     best = F.max(F.struct("score", (-F.col("item_id")).alias("minus"), "end_word")).alias("best")
-    hits = passages_scored(docs, benchmark).groupBy("doc_id", "key").agg(best, F.count_distinct(F.when(F.col("score") >= least, F.col("item_id"))).alias("n_items"))
+    hits = passages_scored(docs, benchmark, least=least).groupBy("doc_id", "key").agg(best, F.count_distinct(F.when(F.col("score") >= least, F.col("item_id"))).alias("n_items"))
     hits = hits.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"), "best", "n_items")
     rows = docs.select("doc_id", text_key().alias("key"))
     return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left").select(

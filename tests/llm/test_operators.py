@@ -253,6 +253,24 @@ def test_decontamination(spark):
     assert {r.doc_id for r in blocks.where("score >= 0.6").collect()} == {4, 5}
 
 
+@pytest.mark.parametrize("beside", [False, True])
+def test_decontamination_finds_every_copy_that_keeps_a_gram(spark, beside):
+    item = phrase(77, 48)
+    sixth = item.split()
+    for k in range(3, 48, 6):
+        sixth[k] = "other"
+    # one gram stays, and two further words stand after it and after each third word
+    longer = item.split()[:4] + [x for k in range(4, 48, 3) for x in ("x", "y", *item.split()[k : k + 3])]
+    rows = [(1, phrase(1, 60) + " " + " ".join(sixth) + " " + phrase(2, 60)), (2, " ".join(longer)), (3, phrase(3, 200))] + [(9, item)] * beside
+    items = spark.createDataFrame([(5, item, "x")], "item_id long, text string, doc_id string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, rows), items).collect()}
+    number = {w: n for n, w in enumerate({w for _, t in rows for w in t.split()})}
+    for i, text in rows:
+        score, _ = decontaminate.align(*(np.array([number.get(w, -1) for w in t.split()]) for t in (item, text)))
+        assert got[i].contaminated == (score >= 0.6 * 2 * 48) == (i != 3)
+        assert i == 3 or got[i].score == score / 96
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(8)
     for _ in range(40):
