@@ -1,9 +1,10 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, banded buckets, star-shaped edges.
 
 A document's set is its distinct 5-word shingles. Equal sets are one node. One hash of each shingle falls
-into one of ROWS x BANDS bins; a bin keeps its smallest hash, and an empty bin borrows from bins that a
+into one of rows x BANDS bins; a bin keeps its smallest hash, and an empty bin borrows from bins that a
 universal hash names for it, so that two sets agree in a bin as likely as they overlap. BANDS groups of
-ROWS bins make buckets: at a similarity of 0.85 two sets miss all buckets once in millions.
+rows bins make buckets; the rows follow from ``percent``, so that at just this similarity two sets miss all
+buckets less than once in millions.
 
 Pairs within a bucket are not listed. Each node is compared with one centre, the member of its buckets that
 meets the most others; links are confirmed on the full sets and connected. Only buckets that then still
@@ -30,14 +31,27 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import materialize
 
-SHINGLE, ROWS, BANDS = 5, 6, 32
-#: Sets with fewer shingles are similar enough only if they are equal.
-LEAST = 6
+SHINGLE, BANDS = 5, 32
+#: The share of pairs of just the asked similarity that all bands may miss.
+MOST_MISSED = 3e-7
 #: A pair is linked from this similarity on, in percent.
 PERCENT = 85
 _ATTEMPTS = 2048
 
 
+def band_rows(percent: int) -> int:
+    """The most bins of a band that keep the share of missed pairs under MOST_MISSED: 6 at 85, 4 at 80."""
+    rows = 1
+    while rows < 16 and (1 - (percent / 100) ** (rows + 1)) ** BANDS <= MOST_MISSED:
+        rows += 1
+    return rows
+
+
+def least_shingles(percent: int) -> int:
+    """Sets with fewer shingles are similar enough only if they are equal: 6 at 85, 4 at 80."""
+    return -(-percent // max(100 - percent, 1))
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the text and shingle hash, sorted by both, each once."""
     w = W.split(texts, lower=True)
@@ -55,7 +69,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], hashes[new]
 
 
-def signatures(doc: np.ndarray, hashes: np.ndarray, n: int, bins: int = ROWS * BANDS) -> np.ndarray:
+def signatures(doc: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.ndarray:
     """One-permutation MinHash of n sets, densified; rows of empty sets mean nothing."""
     bin_ = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     # hashes are sorted within a set and bins rise with them: the first in a bin is its minimum
@@ -76,7 +90,7 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, n: int, bins: int = ROWS * B
     return out
 
 
-def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     n, bins = signature.shape
     key = np.arange(bins // rows, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for r in range(rows):
@@ -84,28 +98,33 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in W.slices(batch):
-            n = len(texts)
-            doc, hashes = shingle_sets(texts)
-            sizes = np.bincount(doc, minlength=n)
-            digest = np.zeros((2, n), np.uint64)
-            for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-                np.add.at(digest[i], doc, W.mix(hashes ^ np.uint64(salt)))
-            keys = bands(signatures(doc, hashes, n))
-            banded = sizes >= LEAST
-            offsets = np.concatenate(([0], np.cumsum(banded * BANDS)))
-            yield pa.record_batch(
-                [
-                    part.column("doc_id"),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(W.signed(digest[0])),
-                    pa.array(W.signed(digest[1])),
-                    W.lists(W.signed(keys[banded].ravel()), offsets, pa.int64()),
-                ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
-            )
+def _signature_rows(percent: int):
+    rows, least = band_rows(percent), least_shingles(percent)
+
+    def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in W.slices(batch):
+                n = len(texts)
+                doc, hashes = shingle_sets(texts)
+                sizes = np.bincount(doc, minlength=n)
+                digest = np.zeros((2, n), np.uint64)
+                for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+                    np.add.at(digest[i], doc, W.mix(hashes ^ np.uint64(salt)))
+                keys = bands(signatures(doc, hashes, n, rows * BANDS), rows)
+                banded = sizes >= least
+                offsets = np.concatenate(([0], np.cumsum(banded * BANDS)))
+                yield pa.record_batch(
+                    [
+                        part.column("doc_id"),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.array(W.signed(digest[0])),
+                        pa.array(W.signed(digest[1])),
+                        W.lists(W.signed(keys[banded].ravel()), offsets, pa.int64()),
+                    ],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                )
+
+    return signature_rows
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +198,7 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for rows with a doc_id."""
-    rows = materialize(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signature_rows, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    rows = materialize(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signature_rows(percent), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     alike = ["n_shingles", "set_a", "set_b"]
     nodes = rows.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from sparkquill.llm import common, decontaminate, toxicity
+from sparkquill.llm import common, decontaminate, near_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,6 +78,28 @@ def test_stages_match_plain_versions(spark, sf):
     assert sorted(r.doc_id for r in packed) == sorted(after)
 
 
+def test_near_dedup_at_80_percent(spark):
+    def changed(tag, n, places):
+        return " ".join(f"x{tag}{k}" if k in places else f"{tag}{k}" for k in range(n))
+
+    texts = [changed("a", 8, ()), changed("a", 9, ()), changed("b", 7, ()), changed("b", 8, ())]
+    for tag in (f"c{i}" for i in range(12)):  # 0.81, 0.83, 0.78 and 0.66 to the first
+        texts += [changed(tag, 100, p) for p in ((), (20, 50), (99, 0, 40, 42), (20, 21, 50, 51), (10, 30, 60, 80))]
+    rows = {i: t for i, t in enumerate(texts)}
+    sets = {i: shingles(plain_words(t), 5) for i, t in rows.items()}
+    top = dict.fromkeys(rows)
+    for i in rows:
+        top[i] = i
+    for _ in rows:
+        for a, b in combinations(rows, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                top[a] = top[b] = min(top[a], top[b])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.near_dedup(docs, 80).where("kept").collect()}
+    assert kept == {i for i in rows if top[i] == i}
+    assert 1 not in kept and 3 in kept and 5 not in kept and 8 in kept
+
+
 def test_stages(spark, sf):
     docs = common.table(spark, sf, "documents")
     columns = docs.columns
