@@ -7,6 +7,8 @@ merge-joined with the runs and with itself; documents on both sides of a match a
 then appended as a run, and once there are too many runs they are merged into one. Candidates are verified:
 their texts are read again, the windows under matching fingerprints are hashed whole (96 bits of two
 hashes of all 13 words with independent byte tables), and a window is a repeat if a smaller doc_id has it too.
+The index holds no texts: a call on an index with earlier runs takes the earlier documents as ``history``, of
+which only candidates are read beyond their doc_id. Results of earlier calls are not revised.
 
 Defined results: null or empty texts have no words and keep none (``kept_sha256`` is that of the empty
 text); texts under 13 words are kept whole; rows with a null doc_id are kept whole and repeat nothing;
@@ -197,10 +199,15 @@ def remove_repeats(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """Takes ``docs`` into an index in ``batches`` of ascending doc_id, and removes repeated windows."""
+def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Takes ``docs`` into an index in ``batches`` of ascending doc_id, and removes repeated windows.
+
+    ``history`` (doc_id, text) holds all documents that the index took in before; it gives no rows of its own.
+    """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
+    if index.runs and history is None:
+        raise ValueError("an index with earlier runs needs the texts of their documents as history")
     known = docs.where("doc_id is not null")
     edges = known.selectExpr(f"percentile_approx(doc_id, array({', '.join(str(i / batches) for i in range(1, batches))}), 1000) e").first()["e"] if batches > 1 else []
     edges = [None, *sorted(set(edges or [])), None]
@@ -212,7 +219,8 @@ def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex |
         found = index.append(batch)
         index.compact()
         candidates = found if candidates is None else candidates.unionByName(found)
-    windows = materialize(repeated_windows(known, candidates), "windows")
+    texts = known if history is None else known.select("doc_id", "text").unionByName(history.where("doc_id is not null").select("doc_id", "text"))
+    windows = materialize(repeated_windows(texts, candidates), "windows")
     return remove_repeats(docs, windows)
 
 

@@ -59,6 +59,20 @@ def test_substring_dedup(spark, odd, batches):
     assert [r[2] for r in got if r[0] is None] == [0]
 
 
+def test_substring_dedup_calls_on_one_index(spark):
+    shared = [phrase(s, 20) for s in (1, 2, 3)]
+    old = [(1, phrase(10, 30) + " " + shared[0]), (3, shared[1] + " " + phrase(11, 30)), (9, phrase(12, 15) + " " + shared[2])]
+    new = [(5, phrase(13, 5) + " " + shared[0] + " " + phrase(14, 20)), (6, shared[1] + " " + shared[0]), (7, shared[2] + " " + phrase(15, 9)), (11, shared[2])]
+    index = substring_dedup.FingerprintIndex(spark, most_runs=1)
+    first = substring_dedup.substring_dedup(docs(spark, old), 1, index)
+    assert sorted(tuple(r) for r in first.collect()) == removed_by_brute_force(old)
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs(spark, new), 1, index)
+    second = substring_dedup.substring_dedup(docs(spark, new), 1, index, docs(spark, old))
+    want = [r for r in removed_by_brute_force(old + new) if r[0] in {i for i, _ in new}]
+    assert sorted(tuple(r) for r in second.collect()) == want and sum(r[2] for r in want) == 80
+
+
 def test_substring_dedup_hot_windows(spark):
     rows = [(i, phrase(100 + i, 15) + " " + phrase(1, 20)) for i in range(40)]
     frame = docs(spark, rows)
