@@ -2,25 +2,33 @@
 
 Used inside Arrow map functions: Spark partitions and shuffles; this turns one slice of a batch into arrays.
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; these are single bytes in UTF-8, so no
-character is ever cut. Hashes are 64-bit polynomials over a random byte table, finished by a mixer; they
-propose equal sequences, and every caller verifies what they propose.
+character is ever cut. A word is hashed to two halves of 64 seeded bits each, eight bytes at a time with a mixer
+after each step (words of one length up to eight bytes never collide; long words are left to XXH3), and the hash of
+a few words in a row is a polynomial of at most 13 terms over theirs, finished by the mixer. No polynomial runs
+over bytes, so words whose bytes are arranged to cancel under one do nothing here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _BASE = 0x5851F42D4C957F2D
+#: Of each half: the seed, and what a step multiplies with.
+_HALVES = ((0x2545F4914F6CDD1D, 0x9FB21C651E98DF25), (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE, _SECOND = np.random.default_rng(20).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
@@ -42,40 +50,52 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def _prefix(values: np.ndarray, up: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up, out=out[1:])
+def byte_hashes(data: bytes, start: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+    """One of two 64-bit hashes of each range of ``data``, which must end in seven further bytes."""
+    seed, odd = map(U, _HALVES[half])
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = end - start
+    out = mix(size.astype(U) * odd + seed)
+    rest = slice(None)
+    for at in range(0, _LONG, 8):
+        if at:
+            rest = np.flatnonzero((size > at) & (size <= _LONG))
+            if not len(rest):
+                break
+        eight = eights[start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
+        out[rest] = mix((out[rest] ^ eight) * odd)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = xxhash.xxh3_128_digest(data[start[i] : end[i]], _HALVES[0][0])
+        out[i] = int.from_bytes(digest[8 * half : 8 * half + 8], "little")
     return out
 
 
-def _hashes(data: bytes, start: np.ndarray, end: np.ndarray, byte_table: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data))
-    sums = _prefix(byte_table[np.frombuffer(data, np.uint8)], up)
-    return mix((sums[end] - sums[start]) * down[start])
-
-
 @dataclass
 class Words:
-    """The words of some texts: byte ranges in ``data``, number of the text, and a hash of each."""
+    """The words of some texts: byte ranges in ``data`` and number of the text."""
 
     data: bytes
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
-    hash: np.ndarray
     bounds: np.ndarray  # words of text d are bounds[d]:bounds[d + 1]
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return byte_hashes(self.data, self.start, self.end, 0)
+
     def rolling(self, k: int, second: bool = False) -> np.ndarray:
         """A hash of words i..i+k-1 for each i; those that cross texts are for the caller to leave out.
 
-        ``second``: from word hashes by another byte table, to verify what the first proposes.
+        ``second``: from the other half of the words' hashes, to verify what the first proposes.
         """
-        words = _hashes(self.data, self.start, self.end, _SECOND) if second else self.hash
-        n = len(words)
+        n = len(self.start)
         if n < k:
             return np.zeros(0, U)
+        words = byte_hashes(self.data, self.start, self.end, 1) if second else self.hash
         up, down = _powers(n)
-        sums = _prefix(words, up)
+        sums = np.zeros(n + 1, U)
+        np.cumsum(words * up, out=sums[1:])
         return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
     def whole(self, k: int) -> np.ndarray:
@@ -89,18 +109,17 @@ class Words:
 
 def split(texts: list[bytes], lower: bool = False) -> Words:
     """The words of ``texts``; ``lower`` lower-cases A-Z alone."""
-    data = b"\n".join(texts) + b"\n"
+    data = b"\n".join(texts) + b"\n" * 8  # a word's last eight bytes can be read at once
     raw = np.frombuffer(data, np.uint8)
     if lower:
         raw = _LOWER[raw]
         data = raw.tobytes()
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.diff(_SPACE[raw].view(np.int8), prepend=1)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
-    doc = np.searchsorted(starts, start, side="right") - 1
-    return Words(data, start, end, doc, _hashes(data, start, end, _TABLE), np.searchsorted(doc, np.arange(len(texts) + 1)))
+    bounds = np.searchsorted(start, starts)
+    return Words(data, start, end, np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
