@@ -10,18 +10,24 @@ Writing takes two steps, as codes need the counts of the whole corpus: documents
 doc_id, tokenised and cut into blocks of plain ids in the shared folder; then ids are counted and each block
 is coded. Spark's writers commit both, so lost tasks are simply run again.
 
+A tokenizer file whose parts are those of WORD_PARTS never looks across white space, and cuts words into runs of
+letters, single digits and runs of other characters, each tokenised for itself: texts are cut in arrays, and a worker
+looks the pieces up (by 128 bits of hash) among those it has tokenised. With any other file whole texts go through
+the tokenizer. A corpus may use at most 65 536 different ids (codes have at most LONGEST bits).
+
 Defined results: null or empty texts have the end id alone; rows that repeat a doc_id stand side by side,
-in the order of their texts; a null doc_id comes first; an empty table gives empty tables; further columns of
-the input are not looked at.
+in the order of a hash of their texts, and may stand in different files; a null doc_id comes first; an empty table
+gives empty tables; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +35,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import materialize, new_folder, remove_folder, shuffles_dropped
 
 END, BLOCK, STRIDE, LONGEST = 2, 1 << 16, 64, 16
-#: Words whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
-#: What the tokenizer's own pattern finds in lower-cased words whose letters are Latin: those up to U+017F
-#: whose lower case is one letter in any context. Other words go through the tokenizer whole.
-_LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-_LATIN = re.compile("[\x21-\x7EªµºÀ-ÖØ-öø-įı-ňŊ-ſ]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_ENCODERS: dict[str, WordEncoder] = {}
+#: Words whose ids a Python worker remembers; beyond, it starts anew. And bytes of text that are tokenised at once.
+REMEMBERED, AT_ONCE = 600_000, 1 << 20
+#: The parts of a tokenizer file that make words independent of each other (fixed values of that format).
+WORD_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Kinds of bytes: white space, letters, digits, others; and those that leave a word to the tokenizer: apostrophes
+#: (which join letters), angle brackets and bars (special tokens), control characters, all beyond Latin-1's letters.
+_SPACE, _LETTER, _DIGIT, _OTHER, _RARE = range(5)
+_KIND = np.full(256, _RARE, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+for _range, _kind in ((b"\t\n\v\f\r ", _SPACE), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _LETTER), (b"0123456789", _DIGIT), (b"'<>|", _RARE)):
+    _KIND[list(_range)] = _kind
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_CODERS: dict[str, Coder] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -50,59 +72,129 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-_BYTE = _byte_letters()
-
-
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that never looks across white space, one distinct word at a time."""
+_BYTE = dict(enumerate(_byte_letters()))
+
+
+def pieces(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, start and end of each piece, whether it is a rare word (not lower-cased), and where each text's pieces begin."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n" * 8, np.uint8)
+    kind = _KIND[raw]
+    low = _LOWER[raw]
+    # À-ÿ but × and ÷: two bytes, the second from 0x80; capitals have their small letters 0x20 further
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    second = raw[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead + 1] += ((raw[lead + 1] <= 0x9E) * 32).astype(np.uint8)
+    # a word with a rare byte is one piece of that kind, as it stands
+    space = kind == _SPACE
+    first, last = (np.flatnonzero(x) + 1 for x in (~space[1:] & space[:-1], space[1:] & ~space[:-1]))
+    first = first if space[0] else np.insert(first, 0, 0)
+    words = np.unique(np.searchsorted(last, np.flatnonzero(kind == _RARE), side="right"))
+    for a, b in zip(first[words].tolist(), last[words].tolist()):
+        kind[a:b], low[a:b] = _RARE, raw[a:b]
+    new = kind == _DIGIT
+    new[1:] |= kind[1:] != kind[:-1]
+    new[0] = True
+    after = np.flatnonzero(new)  # where a piece or white space begins
+    kept = np.flatnonzero(~space[after])
+    start, end = after[kept], after[kept + 1]
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    return low.tobytes(), start, end, kind[start] == _RARE, np.searchsorted(start, starts)
+
+
+class Rows:
+    """Row numbers by 128-bit keys, looked up many at once (open addressing)."""
+
+    def __init__(self, bits: int = 20):
+        self.bits, self.held = bits, 0
+        self.key, self.row = np.zeros((2, 1 << bits), np.uint64), np.full(1 << bits, -1, np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The row of each key; -1 if there is none."""
+        slot, out, todo = (a >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(a), -1), np.arange(len(a))
+        while len(todo):
+            row = self.row[slot]
+            hit = (self.key[0][slot] == a[todo]) & (self.key[1][slot] == b[todo]) & (row >= 0)
+            out[todo[hit]] = row[hit]
+            on = ~hit & (row >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> None:
+        """Takes in keys that it does not hold, each once."""
+        if 2 * (self.held + len(a)) > 1 << self.bits:
+            kept = self.row >= 0
+            old = self.key[0][kept], self.key[1][kept], self.row[kept]
+            self.__init__(max(self.bits + 1, (4 * (self.held + len(a))).bit_length()))
+            self.add(*old)
+        self.held += len(a)
+        slot, todo = (a >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(a))
+        while len(todo):
+            places, first = np.unique(slot, return_index=True)
+            first = first[self.row[places] < 0]
+            at, which = slot[first], todo[first]
+            self.key[0][at], self.key[1][at], self.row[at] = a[which], b[which], row[which]
+            on = np.ones(len(todo), bool)
+            on[first] = False
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+
+class Coder:
+    """Ids of many whole texts at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_word = all(parts.get(k) == v for k, v in WORD_PARTS.items()) and all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["normalized"] or t["lstrip"] or t["rstrip"]) for t in parts["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not _LATIN.fullmatch(word):
-            return self._raw(word)
-        out = []
-        for piece in _PIECE.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelt = piece if piece.isascii() else "".join([_BYTE[b] for b in piece.encode()])
-                ids = [t.id for t in self.tokenize(spelt)]
-                ids = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        # A special token has white space of its own; and Python's white space is wider by these four.
-        if "<|" in text or _SEPARATORS.search(text):
-            return self._raw(text)
-        for memory in (self.words, self.pieces):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        known, found = self.words, text.split()
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            for word in found:
-                if word not in known:
-                    known[word] = self._word(word)
-            return b"".join(map(known.__getitem__, found))
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Rows()
+        self.ids, self.first, self.size = array("I"), array("q"), array("q")
+
+    def _learn(self, pieces_: list[bytes], rare: list[bool]) -> None:
+        for piece, whole in zip(pieces_, rare):
+            if whole:
+                ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in self.tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_BYTE))]
+            self.first.append(len(self.ids))
+            self.size.append(len(ids))
+            self.ids.extend(ids)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        if not self.by_word:
+            found = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        if self.known.held > REMEMBERED:
+            self._forget()
+        data, start, end, rare, bounds = pieces(texts)
+        a, b = (W.byte_hashes(data, start, end, half) for half in (0, 1))
+        row = self.known.find(a, b)
+        while len(new := np.flatnonzero(row < 0)):
+            new = new[np.unique(a[new], return_index=True)[1]]
+            at = np.arange(len(self.first), len(self.first) + len(new))
+            self._learn([data[i:j] for i, j in zip(start[new].tolist(), end[new].tolist())], rare[new].tolist())
+            self.known.add(a[new], b[new], at)
+            todo = np.flatnonzero(row < 0)
+            row[todo] = self.known.find(a[todo], b[todo])
+        size, first = np.frombuffer(self.size, np.int64)[row], np.frombuffer(self.first, np.int64)[row]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, np.diff(ends[bounds])
+
+
+def coder(path: str) -> Coder:
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
 
 
 BLOCK_SCHEMA = "file int, block int, doc_ids array<long>, lengths array<long>, ids binary"
@@ -115,12 +207,11 @@ def _plain_blocks(path: str, end: int, block_ids: int):
         file, block = TaskContext.get().partitionId(), 0
         docs: list = []
         lengths: list[int] = []
-        parts: list[bytes] = []
-        tail = np.array([end], "<u4").tobytes()
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+            ids = np.concatenate(parts)
+            small = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
             out = pa.record_batch(
                 [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([bytes([small.itemsize]) + small.tobytes()], pa.binary())],
                 ["file", "block", "doc_ids", "lengths", "ids"],
@@ -128,17 +219,23 @@ def _plain_blocks(path: str, end: int, block_ids: int):
             docs.clear(), lengths.clear(), parts.clear()
             return out
 
-        held, coder = 0, encoder(path)
+        held, of = 0, coder(path)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = coder.encode(text.as_py() or "") + tail
-                docs.append(doc_id)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= block_ids:
-                    yield flush()
-                    block, held = block + 1, 0
+            for part, texts in W.slices(batch, most=AT_ONCE):
+                ids, sizes = of.encode(texts)
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end), sizes + 1
+                done = 0  # ids before the document at hand; those of the block begin at ``begun``
+                begun = 0
+                for doc_id, size in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
+                    docs.append(doc_id)
+                    lengths.append(size)
+                    done, held = done + size, held + size
+                    if held >= block_ids:
+                        parts.append(ids[begun:done])
+                        yield flush()
+                        block, held, begun = block + 1, 0, done
+                if begun < done:
+                    parts.append(ids[begun:done])
         if docs:
             yield flush()
 
@@ -274,7 +371,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges may end between texts of one doc_id, so one id of very many rows is no hot key.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("of"), "text")
+    ordered = rows.repartitionByRange(files, "doc_id", "of").sortWithinPartitions("doc_id", "of").select("doc_id", "text")
     scratch = new_folder(spark, "plain")
     plain = materialize(ordered.mapInArrow(_plain_blocks(tokenizer, end, block_ids), BLOCK_SCHEMA), "plain", f"{scratch}/blocks")
     counted = plain.select("ids").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

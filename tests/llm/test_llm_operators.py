@@ -219,13 +219,67 @@ def test_token_files(spark, odd):
     folder = token_files.write_tokens(docs(spark, rows), path, block_ids=500)
     got = sorted(token_files.token_digests(spark, folder).collect(), key=lambda r: r.start)
     at = 0
-    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or ""))):
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: r[0])):
         ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert len(got) == len(rows)
 
 
+def plain_digests(path, rows):
+    """doc_id, start, n_tokens, ids_crc32 by the tokenizer alone."""
+    from tokenizers import Tokenizer
+
+    plain, at, out = Tokenizer.from_file(path), 0, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        out.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_files_of_a_whole_table(spark):
+    import public_tokenizers
+
+    got = catalog.op6_token_files(spark, "/root/testdata/sf0.01").select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, got.collect())) == plain_digests(str(public_tokenizers.path("word_bpe_49k.json")), rows)
+
+
+def test_token_files_of_another_tokenizer(spark, sf, odd):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    frame = common.table(spark, sf, "documents").select("doc_id", "text")
+    got = token_files.token_digests(spark, token_files.write_tokens(frame, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, got.collect())) == plain_digests(path, [tuple(r) for r in frame.collect()])
+
+
+def test_tokenising_in_arrays():
+    import public_tokenizers
+
+    rng = np.random.default_rng(12)
+    signs = list("abcXYZ019 \t\n.,#'<|>-_éÀÿß÷×½ªµ²İıſŸŁ日本Σς\u0301\u00a0\u2003\x1c\x85") + ["'s", "'LL", "<|endoftext|>", "don't", " the ", "\U0001f600"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))).encode() for _ in range(3000)]
+    coder = token_files.Coder(str(public_tokenizers.path("word_bpe_49k.json")))
+    for some in (texts, texts[:5], [b""], [b"", b" "]):
+        ids, sizes = coder.encode(some)
+        want = [e.ids for e in coder.tokenizer.encode_batch([t.decode() for t in some], add_special_tokens=False)]
+        assert coder.by_word and sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_rows_of_keys():
+    rng = np.random.default_rng(13)
+    rows, held = token_files.Rows(4), {}
+    for _ in range(20):
+        a, b = rng.integers(0, 40, 30).astype(np.uint64) << np.uint64(59), rng.integers(0, 40, 30).astype(np.uint64)
+        keys = list(zip(a.tolist(), b.tolist()))
+        assert rows.find(a, b).tolist() == [held.get(k, -1) for k in keys]
+        new = [k for k in dict.fromkeys(keys) if k not in held]
+        held |= {k: len(held) + i for i, k in enumerate(new)}
+        rows.add(*np.array(new, np.uint64).reshape(-1, 2).T, np.array([held[k] for k in new], np.int64))
+
+
 def test_exact_dedup_with_colliding_identifiers(spark, odd):
     rows = odd + [(30, phrase(1, 60).replace(" ", "\n")), (31, "x" * 9000)]
     frame = docs(spark, rows)
@@ -316,6 +370,22 @@ def test_base_places_by_brute_force(spark, sf):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
 
 
+def colliding(n):
+    """Two words of 2^n letters that every polynomial hash modulo 2^64 takes for one."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_do_not_collide(spark):
+    x, y = colliding(11)
+    rows = [(1, " ".join([x] + [f"w{i}" for i in range(12)])), (2, " ".join([y] + [f"w{i}" for i in range(12)]))]
+    assert sorted(tuple(r) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()) == removed_by_brute_force(rows)
+    rows = [(1, " ".join([x, y] * 20)), (2, " ".join([y, y] * 20)), (3, " ".join([y, x] * 20))]
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows)).collect()) == linked_by_brute_force(rows)
+
+
 def test_words_and_hashes():
     texts = [b"", b"  a\tb  c ", b"a b c", "é\x0bü".encode()]
     w = words.split(texts)
