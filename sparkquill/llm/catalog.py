@@ -17,7 +17,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), 85).drop("key", "first")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

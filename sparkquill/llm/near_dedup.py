@@ -7,16 +7,18 @@ rows bins make buckets; the rows follow from ``percent``, so that at just this s
 buckets less than once in millions.
 
 Pairs within a bucket are not listed. Each node is compared with one centre, the member of its buckets that
-meets the most others; links are confirmed on the full sets and connected. Only buckets that then still
-hold several components go on, with those pairs that could link. For these, shingles that no other open
-node has are counted: a pair differs by all of them at least, and if both were compared with one centre,
-by what the two distances from it and the unique shingles leave (``feasible``). A pair is thus left out only
-if it is connected already or proven too unlike, and copies with edits of their own are proven so at once.
+meets the most others; links are confirmed on the full sets and connected. Where a bucket then still holds several
+components, its nodes go on with exact candidates: of two sets that are similar enough, the rarest shingles (as many
+as may be missing, and one) have one in common, so each of these shingles that several such nodes have is a smaller
+bucket, and a node whose rarest shingles nobody shares is done. In these, stars are drawn in rounds: a member is a
+centre in one round, each round has twice the centres of the one before, and only buckets that still hold several
+components go on. A pair is thus left out only if it is connected already or proven too unlike; all pairs of a
+bucket are met only if no two of them are linked and all share a shingle that is among the rarest of each.
 
 Defined results: null or empty texts, or without words, have an empty set, link with nothing and are kept;
 so are rows with a null doc_id (component null); texts under five words are one shingle; rows that repeat a
-doc_id are one node where their texts are equal, and where not each row follows its own text's links; an
-empty table gives an empty result; further columns of the input are not looked at.
+doc_id are told apart by their texts, and each row follows its own text's links; an empty table gives an empty
+result; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize
+from .common import materialize, text_key
 
 SHINGLE, BANDS = 5, 32
 #: The share of pairs of just the asked similarity that all bands may miss.
 MOST_MISSED = 3e-7
 #: A pair is linked from this similarity on, in percent.
-PERCENT = 85
+PERCENT = 80
+#: Leaves of one centre that a task compares; a centre with more is dealt over several.
+LEAVES = 256
 _ATTEMPTS = 2048
 
 
@@ -115,13 +119,13 @@ def _signature_rows(percent: int):
                 offsets = np.concatenate(([0], np.cumsum(banded * BANDS)))
                 yield pa.record_batch(
                     [
-                        part.column("doc_id"),
+                        part.column("node"),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(W.signed(digest[0])),
                         pa.array(W.signed(digest[1])),
                         W.lists(W.signed(keys[banded].ravel()), offsets, pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["node", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return signature_rows
@@ -136,11 +140,16 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, common: the edges with the sizes of their full sets and of what they share."""
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    # Leaves first: each is in few edges. A centre of very many leaves is then joined where Spark may split it.
-    rows = edges.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
+    """a, b, n_a, n_b, common: the edges with the sizes of their full sets and of what they share.
+
+    ``a`` are centres: one of very many leaves stands in several tasks, each with a part of its leaves.
+    """
+    salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAVES).cast("int").alias("salts"))
+    dealt = edges.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    centres = salts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    of_a = sets.join(centres, "node").select(F.col("node").alias("a"), "salt", F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    rows = dealt.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), ["a", "salt"])
     return rows.select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
 
 
@@ -148,23 +157,6 @@ def linked(percent: int) -> F.Column:
     return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
-def feasible(percent: int) -> F.Column:
-    """Whether two open nodes (columns n, u, centre, d and o_n, o_u, o_centre, o_d) may be similar enough.
-
-    Their sets share at most the smaller number of shingles that aren't unique (u are), and differ in both
-    nodes' unique ones. With d elements between a node and its centre, two nodes of one centre differ in
-    d + o_d less twice the elements that both differences hold, which are at most d - u and o_d - o_u.
-    """
-    n, u, d, o_n, o_u, o_d = (F.col(c) for c in ("n", "u", "d", "o_n", "o_u", "o_d"))
-    shared = F.least(n - u, o_n - o_u)
-    apart = F.when(F.col("centre") == F.col("o_centre"), d + o_d - 2 * F.least(d - u, o_d - o_u)).otherwise(0)
-    return (
-        (100 * F.least(n, o_n) >= percent * F.greatest(n, o_n))
-        & ((100 - percent) * shared >= percent * (u + o_u))
-        & ((100 + percent) * F.coalesce(apart, F.lit(0)) <= (100 - percent) * (n + o_n))
-    )
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``links`` (a, b).
 
@@ -196,53 +188,88 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(fresh), "labels")
 
 
+def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, n, slot, size: ``nodes`` by those of their rarest shingles that several of them have.
+
+    Sets of n shingles that are similar enough share all but n - ceil(n * percent / 100), so one of that many and
+    one more, in any order that all sets follow. ``slot`` says in which round a node is a centre of its bucket.
+    """
+    held = materialize(sets.join(nodes.hint("merge"), "node", "left_semi").select("node", F.explode("shingles").alias("h")), "held")
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    ordered = held.join(counts.hint("merge"), "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("fs"))
+    n = F.size("fs")
+    rarest = F.slice("fs", F.lit(1), (n - F.ceil(n * F.lit(percent) / 100) + 1).cast("int"))
+    rows = ordered.select("node", n.alias("n"), F.explode(F.filter(rarest, lambda x: x["f"] > 1)).alias("x")).select(F.col("x.h").alias("bucket"), "node", "n")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(sizes.hint("merge"), "bucket")
+    return materialize(rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "node"), F.col("size"))), "rare")
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of buckets that hold several components, with their ``component``."""
+    placed = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(mixed.hint("merge"), "bucket")
+
+
+def _some(rows: DataFrame) -> bool:
+    return rows.limit(1).count() > 0
+
+
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for rows with a doc_id."""
-    rows = materialize(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signature_rows(percent), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    """doc_id, key, n_shingles, component_id, first (whether no smaller row is linked) for rows with a doc_id."""
+    node = F.struct("doc_id", text_key().alias("key")).alias("node")
+    rows = docs.where("doc_id is not null").select(node, "text")
+    rows = materialize(rows.mapInArrow(_signature_rows(percent), "node struct<doc_id:long,key:long>, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     alike = ["n_shingles", "set_a", "set_b"]
-    nodes = rows.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = rows.where("n_shingles > 0").groupBy(*alike).agg(F.min("node").alias("node"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
 
-    in_bucket = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(in_bucket.join(sizes.hint("merge"), "bucket"), "members")
-    meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
-    members = materialize(members.join(meets, "node").select("bucket", "node", "n", "meets"), "members")
-    sets = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
-    sets = materialize(sets.mapInArrow(_set_rows, "node long, shingles array<long>"), "sets")
-
-    centre = F.struct("meets", (-F.col("node")).alias("minus"), "n")
-    stars = members.groupBy("bucket").agg(F.max(centre).alias("centre"))
-    best = members.join(stars.hint("merge"), "bucket").where(F.col("node") != -F.col("centre.minus"))
-    first = best.groupBy(F.col("node").alias("b")).agg(F.max("centre").alias("centre")).select((-F.col("centre.minus")).alias("a"), "b")
-    first = materialize(measured(first, sets), "stars")
-    labels = components(first.where(linked(percent)))
-
-    placed = members.select("bucket", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = materialize(placed.join(mixed.hint("merge"), "bucket"), "open")
-    here = open_.select("node").distinct()
-    lone = sets.join(here.hint("merge"), "node", "left_semi").select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.first("node").alias("node")).where("k = 1")
-    unique = lone.groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    from_centre = first.select(F.col("b").alias("node"), F.col("a").alias("centre"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
-    known = here.join(unique, "node", "left").join(from_centre, "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"), "centre", "d")
-    open_ = materialize(open_.join(known.hint("merge"), "node"), "open")
-    other = open_.select(F.col("bucket").alias("o_bucket"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "u", "centre", "d", "component")])
-    may = (F.col("bucket") == F.col("o_bucket")) & (F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & feasible(percent)
-    pairs = open_.join(other.hint("merge"), may).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-    links = materialize(measured(pairs, sets).where(linked(percent)).select("a", "b"), "links")
-    if links.limit(1).count():
-        labels = _relabel(labels, links)
-
-    by_set = nodes.select(*alike, "node")
-    of_rows = rows.select("doc_id", *alike).join(by_set.hint("merge"), alike, "left").join(labels.hint("merge"), "node", "left")
-    return of_rows.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    meets = members.groupBy("node").agg((-F.sum("size")).alias("order"))  # the smallest meets the most
+    members = materialize(members.join(meets, "node").select("bucket", "node", "order"), "members")
+    wanted = members.select(F.col("node.doc_id").alias("doc_id"), F.col("node.key").alias("key")).distinct()
+    sets = docs.select("doc_id", text_key().alias("key"), "text").join(wanted.hint("merge"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    sets = materialize(sets.select(F.struct("doc_id", "key").alias("node"), "text").mapInArrow(_set_rows, "node struct<doc_id:long,key:long>, shingles array<long>"), "sets")
+
+    stars = members.groupBy("bucket").agg(F.min(F.struct("order", "node")).alias("centre"))
+    edges = members.join(stars.hint("merge"), "bucket").where(F.col("node") != F.col("centre.node"))
+    edges = edges.groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("centre")).select(F.col("centre.node").alias("a"), "b")
+    labels = components(measured(edges, sets).where(linked(percent)))
+
+    open_ = materialize(_open(members.select("bucket", "node"), labels).select("node").distinct(), "open")
+    rare = _rare_buckets(open_, sets, percent) if _some(open_) else None
+    first, after = 0, 1  # slots of this round's centres
+    while rare is not None:
+        rare = materialize(_open(rare, labels).where(F.col("size") > first).drop("component"), "rare")
+        if not _some(rare):
+            break
+        here = rare.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        centres = here.where((F.col("slot") >= first) & (F.col("slot") < after)).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"), F.col("slot").alias("s"))
+        other = (F.col("component") != F.col("c")) & (F.col("slot") >= first) & ((F.col("slot") > F.col("s")) | ((F.col("slot") == F.col("s")) & (F.col("node") > F.col("a"))))
+        alike_size = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+        edges = here.join(centres.hint("merge"), "bucket").where(other & alike_size).select("a", F.col("node").alias("b")).distinct()
+        links = materialize(measured(materialize(edges, "edges"), sets).where(linked(percent)).select("a", "b"), "links")
+        if _some(links):
+            labels = _relabel(labels, links)
+        first, after = after, 2 * after + 1
+
+    of_rows = rows.select("node", *alike).withColumnRenamed("node", "row")
+    of_rows = of_rows.join(nodes.select(*alike, "node").hint("merge"), alike, "left").join(labels.hint("merge"), "node", "left")
+    top = F.coalesce("component", "node", "row")
+    return of_rows.select("row.doc_id", "row.key", "n_shingles", top["doc_id"].alias("component_id"), (F.col("row") == top).alias("first"))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, key (tells texts of one doc_id apart), n_shingles, component_id, kept, first.
+
+    ``kept``: doc_id = component_id. ``first``: the row's own text is its component's first, which differs from
+    ``kept`` only where a doc_id repeats with texts that are linked.
+    """
     placed = near_components(docs, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    unknown = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    unknown = docs.where("doc_id is null").select("doc_id", text_key().alias("key"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("first"), F.lit(True).alias("kept"))
     return placed.unionByName(unknown)
 
 

@@ -99,7 +99,10 @@ def test_sharding_keeps_groups_of_up_to_half_a_shard(spark):
     assert len({got[200 + i] for i in range(12)}) == 1 and len({got[300 + i] for i in range(60)}) > 1
 
 
-def linked_by_brute_force(rows):
+FOUR = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def linked_by_brute_force(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
@@ -108,7 +111,7 @@ def linked_by_brute_force(rows):
     for _ in sets:
         for a in sets:
             for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     top[a] = top[b] = min(top[a], top[b])
     return sorted((i, len(sets[i]), top[i], top[i] == i) for i in sets)
 
@@ -123,15 +126,44 @@ def test_near_dedup(spark):
             for k in rng.choice(len(base), rng.integers(0, 8), replace=False):
                 copy[k] = f"edit{rng.integers(3)}" if rng.random() < 0.5 else phrase(int(rng.integers(1e9)), 1)
             rows.append((len(rows) + 1, " ".join(copy)))
-    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows)).collect())
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), 85).select(FOUR).collect())
     assert got == linked_by_brute_force(rows)
 
 
 def test_near_dedup_odd_rows(spark, odd):
-    got = [tuple(r) for r in near_dedup.near_dedup(docs(spark, odd)).collect()]
+    got = [tuple(r) for r in near_dedup.near_dedup(docs(spark, odd), 85).select(FOUR).collect()]
     assert len(got) == len(odd) and [r[2:] for r in got if r[0] is None] == [(None, True)]
 
 
+def test_near_dedup_of_a_repeated_id_with_unlike_texts(spark):
+    a, b = phrase(60, 60), phrase(61, 60)
+    rows = [(1, a + " more"), (9, a), (9, b), (12, b + " more"), (12, b + " more")]
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), 85).select("doc_id", "component_id", "kept", "first").collect())
+    assert got == [(1, 1, True, True), (9, 1, False, False), (9, 9, True, True), (12, 9, False, False), (12, 9, False, False)]
+    rows = [(9, a), (9, a + " more"), (3, b), (None, a)]
+    got = sorted((tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), 85).select("doc_id", "component_id", "kept", "first").collect()), key=str)
+    # two linked texts of one id: both have the id's component, one is the first
+    assert sorted(r[:3] for r in got if r[0] == 9) == [(9, 9, True)] * 2 and sorted(r[3] for r in got if r[0] == 9) == [False, True]
+    assert (3, 3, True, True) in got and (None, None, True, True) in got
+
+
+def test_near_dedup_where_buckets_hold_many_unlinked_texts(spark, monkeypatch):
+    # With buckets of two rows all of these meet; most share rare words with others they aren't linked to.
+    monkeypatch.setattr(near_dedup, "band_rows", lambda percent: 2)
+    monkeypatch.setattr(near_dedup, "LEAVES", 3)
+    rng = np.random.default_rng(21)
+    base = phrase(70, 60).split()
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.choice(12, rng.integers(1, 5), replace=False):
+            copy[5 * k] = f"edit{k}v{rng.integers(3)}"
+        rows.append((i, " ".join(copy)))
+    assert len({r[2] for r in linked_by_brute_force(rows)}) > 4
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), 85).select(FOUR).collect())
+    assert got == linked_by_brute_force(rows)
+
+
 def test_signatures_estimate_similarity():
     a, b = phrase(1, 400), " ".join(phrase(1, 400).split()[:360] + phrase(2, 40).split())
     doc, hashes = near_dedup.shingle_sets([a.encode(), b.encode()])
@@ -383,7 +415,7 @@ def test_long_words_do_not_collide(spark):
     rows = [(1, " ".join([x] + [f"w{i}" for i in range(12)])), (2, " ".join([y] + [f"w{i}" for i in range(12)]))]
     assert sorted(tuple(r) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()) == removed_by_brute_force(rows)
     rows = [(1, " ".join([x, y] * 20)), (2, " ".join([y, y] * 20)), (3, " ".join([y, x] * 20))]
-    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows)).collect()) == linked_by_brute_force(rows)
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), 85).select(FOUR).collect()) == linked_by_brute_force(rows)
 
 
 def test_words_and_hashes():
