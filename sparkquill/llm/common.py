@@ -80,15 +80,20 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bins: int = 256) -> DataFrame:
+#: Rows that one task numbers, and the fewest slices of a group.
+SLICE_ROWS, SLICES = 500_000, 64
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, n_rows: int) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps inside each ``group``, whatever the group's size.
 
-    A row_number over a group would take the whole group to one task. Here rows are first dealt to
-    ``bins`` slices of each group by a hash of ``order``, numbered inside the slice, and moved up by the
-    sizes of the slices before. The table of sizes is broadcast: it has groups x bins rows, and callers
-    have a fixed number of groups (shards, buckets). The order inside a group is
-    thus (slice, order): fixed by the rows alone.
+    A row_number over a group would take the whole group to one task. Here rows are first dealt to slices
+    of each group by a hash of ``order``, numbered inside the slice, and moved up by the sizes of the slices before.
+    The slices follow from ``n_rows``, the rows of all groups. The table of sizes is broadcast: it has groups x
+    slices rows, callers have a fixed number of groups (shards, buckets), and ten billion rows make 20 000 slices. The
+    order inside a group is thus (slice, order): fixed by the rows alone.
     """
+    bins = max(SLICES, -(-n_rows // SLICE_ROWS))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
     sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,8 +6,9 @@ the full score can reach. Passages are joined to items through their seeds, and
 edited or paraphrased copies keep most of an item's score. A document is contaminated if an item reaches
 ``least`` of its full score. A copy that keeps no four words in a row is not found.
 
-Test items are processed in blocks of at most MOST_GRAMS grams, so what is broadcast is bounded however
-large the benchmark is; each block meets all documents.
+Test items are processed in blocks of about MOST_GRAMS grams (an item is never cut), so the seeds that are broadcast
+are bounded however large the benchmark is; each block meets all documents. Items' texts are joined by their id, as
+Spark sees fit by their size. A seed that many items share pairs each passage with all of them, as each may be the source.
 
 Defined results: null or empty texts aren't contaminated; items under four words can't be sought and match
 nothing; item ids may repeat (each text is sought); of equal scores the smallest item_id is named; rows that
@@ -133,6 +134,7 @@ def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOS
     grams = materialize(item_grams(items.select("item", "text")), "grams")
     blocks = -(-grams.count() // most_grams)
     # An item is never cut: blocks hold whole items, dealt by their hash.
+    items = items.join(grams.select("item").distinct(), "item", "left_semi")
     scored = None
     for block in range(max(1, blocks)):
         here = F.pmod("item", F.lit(max(1, blocks))) == block
@@ -149,7 +151,7 @@ def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOS
             .join(F.broadcast(seeds.select("h", "item")), "h")
             .groupBy("doc_id", "key", "first_word", "item")
             .agg(F.first("passage").alias("passage"))
-            .join(F.broadcast(items.where(here).select("item", "item_id", F.col("text").alias("item_text"))), "item")
+            .join(items.where(here).select("item", "item_id", F.col("text").alias("item_text")), "item")
         )
         part = pairs.mapInArrow(_score_rows, "doc_id long, key long, item_id long, first_word long, score double, end long")
         scored = part if scored is None else scored.unionByName(part)
@@ -158,16 +160,16 @@ def passages_scored(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOS
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, key, contaminated, item_id, score, end_word (of the best item), n_items."""
-    best = F.max(F.struct("score", (-F.col("item_id")).alias("minus"), "end_word")).alias("best")
+    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("item_id").isNull().alias("unnamed"), "item_id", "end_word")).alias("best")
     hits = passages_scored(docs, benchmark, least=least).groupBy("doc_id", "key").agg(best, F.count_distinct(F.when(F.col("score") >= least, F.col("item_id"))).alias("n_items"))
     hits = hits.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"), "best", "n_items")
-    rows = docs.select("doc_id", text_key().alias("key"))
+    rows, score = docs.select("doc_id", text_key().alias("key")), -F.col("best.less")
     return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left").select(
         "doc_id",
         "key",
-        F.coalesce(F.col("best.score") >= least, F.lit(False)).alias("contaminated"),
-        F.when(F.col("best.score") >= least, -F.col("best.minus")).alias("item_id"),
-        F.coalesce("best.score", F.lit(0.0)).alias("score"),
-        F.when(F.col("best.score") >= least, F.col("best.end_word")).alias("end_word"),
+        F.coalesce(score >= least, F.lit(False)).alias("contaminated"),
+        F.when(score >= least, F.col("best.item_id")).alias("item_id"),
+        F.coalesce(score, F.lit(0.0)).alias("score"),
+        F.when(score >= least, F.col("best.end_word")).alias("end_word"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
     )

@@ -2,7 +2,9 @@
 
 Normalised texts are cut where their content says so, chunks become verified identifiers, and documents
 are compared as ordered lists of identifiers: a long text moves once, as chunks, to verify identifiers, and
-never again; what the grouping moves is 8 bytes a chunk.
+never again; what the grouping moves is 8 bytes a chunk. Recipes are written once and read from there. Identifiers
+that name two contents are next to none: where their table is as small as MOST_SHARED it goes to every task, and
+only beyond that are recipes' identifiers moved to meet it, each once a text.
 
 Defined results: a null text is an empty one, and all texts without visible characters are equal; a null
 doc_id takes part, and loses ties against any doc_id; rows that repeat the kept row's doc_id with an equal
@@ -15,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import bounded, materialize, text_key
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A chunk ends after this pattern, once it has LEAST characters, and at MOST in any case.
+#: Identifiers of several contents up to which their table is broadcast (16 bytes each).
+MOST_SHARED = 1_000_000
 BOUNDARY, LEAST, MOST = "[aeiou.,][^aeiou][aeiou][^aeiou][^aeiou]", 1024, 8192
 
 
@@ -46,18 +50,21 @@ def recipes(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int
         F.transform(chunks(F.col("_norm"), least, most), lambda c: identify(c)).alias("recipe"),
         F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
     )
+    rows = materialize(rows, "recipes")
     # Each identifier's contents, combined in the scanning tasks first: a chunk that a third of the
     # documents have reaches the reducer once a task.
-    content = norm.select(F.explode(chunks(F.col("_norm"), least, most)).alias("chunk"))
+    content = docs.select(F.explode(chunks(normalised(F.col("text")), least, most)).alias("chunk"))
     dictionary = content.select(identify("chunk").alias("id"), "chunk").distinct()
-    shared = dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("id")
-    doubtful = (
-        rows.select("text_sha256", F.explode("recipe").alias("id"))
-        .join(shared, "id", "left_semi")
-        .select(F.col("text_sha256").alias("unverified"))
-        .distinct()
-    )
-    return rows.join(doubtful, rows.text_sha256 == doubtful.unverified, "left")
+    shared = materialize(dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("id"), "shared")
+    used = rows.select("text_sha256", F.explode("recipe").alias("id"))
+    if bounded(shared, MOST_SHARED):
+        doubtful = used.join(F.broadcast(shared), "id", "left_semi")
+    else:
+        doubtful = used.distinct().join(shared, "id", "left_semi")
+    doubtful = materialize(doubtful.select(F.col("text_sha256").alias("unverified")).distinct(), "doubtful")
+    if not bounded(doubtful, 0):
+        return rows.join(doubtful, rows.text_sha256 == doubtful.unverified, "left")
+    return rows.withColumn("unverified", F.lit(None).cast("string"))
 
 
 def exact_dedup(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -66,15 +73,15 @@ def exact_dedup(docs: DataFrame, identify=F.xxhash64, least: int = LEAST, most:
     Of equal texts the row with the most code points in the original stays, then the smallest doc_id.
     """
     rows = recipes(docs, identify, least, most).withColumn("recipe_hash", F.xxhash64("recipe"))
-    best = F.max(F.struct("n_code_points", (-F.col("doc_id")).alias("minus_id")))
+    best = F.min(F.struct((-F.col("n_code_points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id"))
     groups = rows.groupBy("recipe_hash", "recipe", "unverified").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
     g = groups.select(
         F.col("recipe_hash").alias("g_hash"),
         F.col("recipe").alias("g_recipe"),
         F.col("unverified").alias("g_unverified"),
         "group_size",
-        (-F.col("best.minus_id")).alias("keep_id"),
-        F.col("best.n_code_points").alias("keep_points"),
+        F.col("best.doc_id").alias("keep_id"),
+        (-F.col("best.less")).alias("keep_points"),
     )
     same = (rows.recipe_hash == g.g_hash) & (rows.recipe == g.g_recipe) & rows.unverified.eqNullSafe(g.g_unverified)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("keep_points"))

@@ -49,7 +49,7 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bins: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per document."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -83,5 +83,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, bins: int = 256) -> DataFrame:
     chosen = place(shares, shards)
     placed = spark.createDataFrame([(name, int(s)) for (name, *_), s in zip(items, chosen)], "item string, shard int")
     found = named.join(F.broadcast(placed), "item")
-    slotted = numbered(found.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32"], "slot", bins)
+    slotted = numbered(found.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32"], "slot", whole["n"])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

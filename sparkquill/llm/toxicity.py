@@ -9,8 +9,8 @@ their id; that is the one bounded sample here, and every row is scored.
 
 Defined results: null or empty texts have features of 0 and a score like other texts; rows that repeat are
 all scored; labels with a null are not learned from; without labels of both kinds in each part the score is
-a fixed function of the fixed lexicon's density; an empty table gives an empty result; other columns of the
-input (lang, source and whatever their names) are never looked at.
+a fixed function of the fixed lexicon's density; a null doc_id is scored and not held out; an empty table gives
+an empty result; other columns of the input (lang, source and whatever their names) are never looked at.
 """
 
 from __future__ import annotations
@@ -141,18 +141,19 @@ class Model:
         self.words, self.begins, self.trees, self.calibration = words, begins, trees, calibration
 
     def score(self, docs: DataFrame, out: str = "score") -> DataFrame:
-        """``docs`` and a column ``out``."""
-        rows = with_features(docs, self.words, self.begins)
+        """``docs`` and a column ``out``. Columns have other names meanwhile, so none of theirs meets one of ours."""
+        columns = docs.columns
+        inner = docs.toDF(*["text" if c == "text" else f"in{i}" for i, c in enumerate(columns)])
+        rows = with_features(inner, self.words, self.begins)
         if self.trees is None:
             density = F.col("_features")[FEATURES.index("lexicon_density")]
-            return rows.withColumn(out, 1 - F.exp(-40 * density)).drop("_features")
-        kept = docs.columns
-        raw = _margin(self.trees, rows)
-        calibrated = self.calibration.setFeaturesCol("_margin").setPredictionCol("_calibrated").transform(raw)
-        # The step function has level parts; a thousandth of the trees' own order tells texts apart there.
-        smooth = 1 / (1 + F.exp(-2 * F.col("_margin")))
-        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("_calibrated") + 0.001 * smooth))
-        return calibrated.select(*kept, score.alias(out))
+            scored = rows.withColumn("_score", 1 - F.exp(-40 * density))
+        else:
+            calibrated = self.calibration.setFeaturesCol("_margin").setPredictionCol("_calibrated").transform(_margin(self.trees, rows))
+            # The step function has level parts; a thousandth of the trees' own order tells texts apart there.
+            smooth = 1 / (1 + F.exp(-2 * F.col("_margin")))
+            scored = calibrated.withColumn("_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("_calibrated") + 0.001 * smooth)))
+        return scored.select(*inner.columns, "_score").toDF(*columns, out)
 
 
 def _margin(trees, rows: DataFrame) -> DataFrame:
@@ -187,4 +188,4 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees: i
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     scored = fit(docs, labels, **how).score(docs.select("doc_id", "text"))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -1,14 +1,18 @@
 """URL filters as a sort-merge range join, in DataFrame functions only.
 
-A host's labels are reversed, so a rule (host, path) is the key ``com.example/en/`` and covers the interval
-of keys that begin with it. A url is looked up once for each of its host's ancestors (``com``, ``com.example``,
-...), since a rule fits its host and all subdomains. Rule starts and url keys are sorted together, and a
-sweep carries the stack of nested rules that were open when the last rule began; the innermost one that
-still covers the url's key is that ancestor's rule, and over the ancestors the longest rule wins.
-
-Defined results: a null url, or one without ``://``, has an empty host and path and no rule; no rule means
-the default verdict; equal urls are judged once and rows that repeat are all returned; of rules that repeat
-the blocking one holds; an empty table gives an empty result; further columns are not looked at.
+A host's labels are reversed, so a rule (host, path) is the key ``com.example/en/`` (with a separator between its
+parts that sorts before all others) and covers the interval of keys that begin with it. A url has the keys of its
+host and of each ancestor (``com``, ``com.example``, ...) with its path, since a rule fits its host and all
+subdomains. Rules and url keys are sorted together over the whole key space, by ranges: one key of very many urls
+goes on in the next range. A sweep carries the stack of nested rules that were open when the last rule began, from
+range to range too; the innermost one that still covers a key is that ancestor's rule, and over a url's ancestors the
+longest rule wins.
+
+Defined results: a null url, or one without ``://``, has an empty host and path and no rule; so has one whose host
+is empty; no rule means the default verdict; equal urls are judged once and rows that repeat are all returned; of
+rules that repeat the blocking one holds, and of rules of one length the deeper host's; null rules and rules without
+a host fit nothing, a rule without an action blocks; an empty table of pages gives an empty result, one of rules the
+default for all; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [
     ("com/en/", "block"),
@@ -24,8 +30,8 @@ RULES = [
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 ]
-#: Rows of one host that a task sweeps; a host with more is dealt over several sweeps.
-SWEEP_ROWS = 16_384
+#: Between host and path of a key; sorts before what can follow a host, so nested keys stand together.
+BETWEEN = "\x01"
 
 
 def _rest(url: Column) -> Column:
@@ -51,54 +57,49 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]] = RULES) -> Dat
 
 
 def with_stacks(rules: DataFrame) -> DataFrame:
-    """rev, path, stack: for each rule, the rules open as it begins (itself last), outermost first."""
-    parted = rules.groupBy("rule").agg(F.max("action").alias("action")).select(
+    """key, stack: for each rule, the rules whose intervals hold its own (itself last), outermost first."""
+    named = rules.groupBy("rule").agg(F.max(F.coalesce("action", F.lit("block"))).alias("action")).select(
         "rule",
         "action",
         reversed_host(F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER)).alias("rev"),
         F.regexp_extract("rule", "(?s)^[^/]*(/.*)$", 1).alias("path"),
-    )
-    inner = parted.select("rev", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
-    prefixes = inner.select("rev", "path", F.substring("path", F.lit(1), F.col("n")).alias("outer_path"))
-    outer = parted.select("rev", F.col("path").alias("outer_path"), "rule", "action")
-    entry = F.struct(F.length("outer_path").alias("n"), "outer_path", "rule", "action")
-    return prefixes.join(outer, ["rev", "outer_path"]).groupBy("rev", "path").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
+    ).where("rev <> ''")
+    key = F.concat("rev", F.lit(BETWEEN), "path")
+    keyed = named.groupBy(key.alias("key")).agg(F.max(F.struct("action", "rule")).alias("best"), F.first("rev").alias("rev"), F.first("path").alias("path"))
+    inner = keyed.select("key", "rev", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("part"))
+    outer = keyed.select(F.col("key").alias("outer_key"), "best")
+    nested = inner.withColumn("outer_key", F.concat("rev", F.lit(BETWEEN), "part")).join(outer, "outer_key")
+    entry = F.struct(F.length("outer_key").alias("n"), "outer_key", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
+    return nested.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``."""
-    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    spark = pages.sparkSession
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = rows.where("host <> ''").select("host", "path").distinct()
-    stacks = with_stacks(rules)
-
     labels = F.reverse(F.split("host", "\\."))
-    probes = urls.select(
-        "host",
-        "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))).alias("rev"),
-    )
-    # Hosts with rules, and over how many sweeps each host's urls are dealt; counted before anything moves.
-    sweeps = (
-        probes.groupBy("rev")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(stacks.select("rev").distinct(), "rev")
-        .select("rev", F.ceil(F.col("n") / sweep_rows).cast("int").alias("sweeps"))
-    )
-    dealt = probes.join(sweeps, "rev").select(
-        "rev", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).cast("int").alias("sweep"), "path", "host", F.lit(1).alias("kind"), F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack")
-    )
-    starts = stacks.join(sweeps, "rev").select(
-        "rev", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1)).alias("sweep"), "path", F.lit(None).cast("string").alias("host"), F.lit(0).alias("kind"), "stack"
-    )
-    sorted_sweep = Window.partitionBy("rev", "sweep").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = starts.unionByName(dealt).withColumn("open", F.last("stack", ignorenulls=True).over(sorted_sweep)).where("kind = 1")
-    covering = F.filter("open", lambda r: F.col("path").startswith(r["outer_path"]))
-    hit = swept.select("rev", "host", "path", F.try_element_at(covering, F.lit(-1)).alias("hit")).where("hit is not null")
-    rank = F.struct(F.length("hit.rule").alias("n"), F.length("rev").alias("host_n"), F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"))
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
+    probes = urls.select("host", "path", F.explode(ancestors).alias("rev")).select(F.concat("rev", F.lit(BETWEEN), "path").alias("key"), F.lit(1).alias("kind"), "host", "path")
+    starts = with_stacks(rules).select("key", F.lit(0).alias("kind"), "stack")
+    events = starts.unionByName(probes, allowMissingColumns=True)
+    # Hosts break ties, so one key may reach over several ranges. Written, so that all below see the same ranges.
+    sorted_ = events.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "kind", "host")
+    placed = materialize(sorted_.withColumn("range", F.spark_partition_id()), "urls")
+
+    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # What each range leaves open for the next ones: one row a range.
+    ends = placed.groupBy("range").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("left_open"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("range", F.last("left_open", ignorenulls=True).over(earlier).alias("carried"))
+    swept = placed.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1").join(F.broadcast(carried), "range")
+    covering = F.filter(F.coalesce("open", "carried"), lambda r: F.startswith("key", r["outer_key"]))
+    hit = swept.select("host", "path", "key", F.try_element_at(covering, F.lit(-1)).alias("hit")).where("hit is not null")
+    rank = F.struct(F.length("hit.rule").alias("n"), F.length("key").alias("host_n"), F.col("hit.rule").alias("rule"), F.col("hit.action").alias("action"))
     best = hit.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    judged = rows.where("host <> ''").join(best, ["host", "path"], "left")
+    nowhere = rows.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return judged.unionByName(nowhere).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""

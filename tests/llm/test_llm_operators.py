@@ -190,6 +190,18 @@ def test_toxicity_holds_on_rows_it_never_learned_from(spark):
     assert (rank - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean)) > 0.93
 
 
+def test_toxicity_of_rows_without_ids_and_with_clashing_names(spark, sf):
+    source = common.table(spark, sf, "documents")
+    clash = source.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("_features", "_vector", "_margin", "_calibrated", "_raw", "_score", "score", "in0")])
+    labels = common.table(spark, sf, "labels")
+    model = toxicity.fit(source, labels, trees=2)
+    assert sorted(map(tuple, model.score(clash, "own").select("doc_id", "own").collect())) == sorted(map(tuple, model.score(source, "own").select("doc_id", "own").collect()))
+    assert model.score(clash, "own").columns == [*clash.columns, "own"]
+    assert toxicity.Model({}, {}).score(clash, "own").select("_features").distinct().collect() == [("mine",)]
+    rows = toxicity.toxicity(spark.createDataFrame([(None, "x"), (3, "x")], "doc_id long, text string"), labels).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {None: False, 3: zlib.crc32(b"3") % 5 == 0}
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1, None), (6, None, 1), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs(spark, odd), labels).count() == len(odd)
@@ -220,6 +232,42 @@ def test_packing(spark, odd):
     assert packing.pack(docs(spark, []), 4, 100).count() == 0
 
 
+def test_packing_by_brute_force(spark):
+    """The query on a whole table: sizes by plain counting, least padding by a plain dynamic program, batches without gaps."""
+    folder = "/root/testdata/sf0.01"
+    rows = catalog.op5_packing(spark, folder).collect()
+    texts = {r.doc_id: r.text for r in common.table(spark, folder, "documents").collect()}
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(WORD.findall(t or "")) for i, t in texts.items()} and len(rows) == len(texts)
+    sizes = sorted(r.n_tokens for r in rows)
+    distinct = sorted(set(sizes))
+    before = [0] + [sum(1 for s in sizes if s <= d) for d in distinct]
+    total = [0] + [sum(s for s in sizes if s <= d) for d in distinct]
+    cost = {0: 0}
+    for _ in range(packing.BUCKETS):
+        cost = {j: min(c + distinct[j - 1] * (before[j] - before[i]) - (total[j] - total[i]) for i, c in cost.items() if i < j) for j in range(1, len(distinct) + 1)} | {0: 0}
+    best = cost[len(distinct)]
+    assert best <= sum(r.padding for r in rows) <= best + sum(s for s in sizes if s > 1024) / 512
+    for b in {r.bucket for r in rows}:
+        of = [r for r in rows if r.bucket == b]
+        top, capacity = max(r.n_tokens for r in of), max(1, packing.BUDGET // max(1, max(r.n_tokens for r in of)))
+        assert {r.bucket_tokens for r in of} == {top} and all(r.padding == top - r.n_tokens for r in of)
+        at = sorted((r.batch, r.slot) for r in of)
+        assert at == [(at[0][0] + i // capacity, i % capacity) for i in range(len(of))]
+
+
+def test_sharding_balances_all_sizes(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = catalog.op2_sharding(spark, folder).collect()
+    words = {r.doc_id: r.n for r in common.table(spark, folder, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(sharding.WORD)).alias("n")).collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(words) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    for share, of in ((0.002, lambda r: r.size), (0.01, lambda r: words[r.doc_id]), (0.02, lambda r: 1)):
+        loads = np.bincount([r.shard for r in rows], weights=[of(r) for r in rows], minlength=24)
+        assert len(loads) == 24 and np.abs(loads / loads.mean() - 1).max() < share
+    for s in range(24):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_code_lengths():
     rng = np.random.default_rng(5)
     counts = {i: int(n) for i, n in enumerate(rng.zipf(1.3, 300) % 10_000 + 1)}
@@ -325,6 +373,16 @@ def test_exact_dedup_with_colliding_identifiers(spark, odd):
     assert sorted(r[2] for r in fine) == sorted(n for n in sizes.values() for _ in range(n))
 
 
+def test_exact_dedup_ties_and_edge_ids(spark, monkeypatch):
+    rows = [(-(2**63), "a b"), (5, "a  b"), (5, "a  b"), (None, "ab  "), (2, "x"), (None, "x"), (7, None), (3, " ")]
+    want = sorted([(-(2**63), 5, 4, False), (5, 5, 4, True), (5, 5, 4, True), (None, 5, 4, False), (2, 2, 2, True), (None, 2, 2, False), (7, 3, 2, False), (3, 3, 2, True)], key=str)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(exact_dedup, "MOST_SHARED", most)
+        for how in ({}, {"identify": lambda c: F.pmod(F.xxhash64(c), F.lit(2)), "least": 1, "most": 4}):
+            got = exact_dedup.exact_dedup(docs(spark, rows), **how).select("doc_id", "keep_id", "group_size", "kept").collect()
+            assert sorted(map(tuple, got), key=str) == want
+
+
 def test_chunks_join_to_the_text(spark):
     row = spark.createDataFrame([(phrase(3, 5000),)], "t string").select("t", exact_dedup.chunks(F.col("t")).alias("c")).first()
     assert "".join(row.c) == row.t and len(row.c) > 10
@@ -333,13 +391,48 @@ def test_chunks_join_to_the_text(spark):
 def test_url_filter_odd_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.COM", "http://x.Example.com/en/7?q", "ftp://b.com/en/x#y", "http://example.net/de/81", "http://net/de/1", "http://a.org/es/", "http://notexample.com/en/7", "http://a.org/es/"]
     pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark), sweep_rows=2).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark), ranges=7).collect()}
     assert len(got) == len(urls)
     assert got[0] == got[2] == ("", "", None, "allow") and got[4] == ("a.com", "", None, "allow")
     assert got[5] == ("x.example.com", "/en/7", "example.com/en/7", "allow") and got[6] == ("b.com", "/en/x", "com/en/", "block")
     assert got[7][2:] == ("example.net/de/8", "block") and got[8][2:] == ("net/de/", "allow") and got[10][2:] == ("com/en/", "block")
 
 
+def judged_by_brute_force(url, rules, default="allow"):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    name = re.match("[^/?#]*", rest)[0].translate({c: c + 32 for c in range(65, 91)})
+    tail = re.match("[^/?#]*([^?#]*)", rest)[1]
+    best = None
+    for rule, action in rules:
+        h, slash, q = (rule or "").partition("/")
+        if h and name and (name == h.lower() or name.endswith("." + h.lower())) and tail.startswith(slash + q):
+            best = max(best or (), (len(rule), len(h), rule, action or "block"))
+    return (name, tail, best[2], best[3]) if best else (name, tail, None, default)
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_url_filter_by_brute_force(spark, ranges):
+    rng = np.random.default_rng(14)
+    hosts = ["com", "net", "a.com", "b.a.com", "c.b.a.com", "A.Com", "xa.com", "com.net", "acom", "a-b.com", ""]
+    paths = ["", "/", "/x", "/x/", "/x/y", "/x/y/z", "/xy", "/X", "?q=/x", "#/x", "/x?y", "/\u00e9/\x02"]
+    urls = [None, "", "a.com/x"] + ["http://" + h + p for h in hosts for p in paths] * 2
+    rules = [("com/x/", "block"), ("com/x/", "allow"), ("com", "allow"), ("a.com/", "block"), ("a.com/x/y", "allow"), ("B.A.com/x", "block"), ("net/x", None), (None, "block"), ("/x", "block"), ("", "block"), ("a-b.com/x/y/z", "allow")]
+    pages = spark.createDataFrame([(int(i), u, "h") for i, u in zip(rng.permutation(len(urls)), urls)], "page_id long, url string, host string")
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "rule string, action string"), ranges=ranges).collect()}
+    assert got == {r.page_id: judged_by_brute_force(r.url, rules) for r in pages.collect()}
+    none = url_filter.judge_urls(pages, spark.createDataFrame([], "rule string, action string"), "block", ranges).collect()
+    assert len(none) == len(urls) and {(r.rule, r.verdict) for r in none} == {(None, "block")}
+
+
+def test_decontamination_ties_repeats_and_missing_ids(spark):
+    item = phrase(77, 30)
+    rows = [(3, item), (3, item), (None, item), (-(2**63), item + " x"), (4, phrase(2, 30))]
+    items = spark.createDataFrame([(8, item), (7, item), (None, item), (-(2**63), " ".join(item.split()[:9])), (9, "a b"), (10, None)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.contaminated, r.item_id, r.score) for r in decontaminate.decontaminate(docs(spark, rows), items).collect()), key=str)
+    low = -(2**63)  # part of the item, found whole: as good a score, and the smallest id
+    assert got == sorted([(3, True, low, 1.0), (3, True, low, 1.0), (None, True, low, 1.0), (low, True, low, 1.0), (4, False, None, 0.0)], key=str)
+
+
 def test_decontamination(spark):
     item = phrase(77, 40)
     edited = item.split()
@@ -434,5 +527,5 @@ def test_empty_tables(spark, sf, tmp_path, name):
 
 def test_numbering_has_no_gaps(spark):
     frame = spark.range(1000).withColumn("g", F.col("id") % 3)
-    got = common.numbered(frame, ["g"], ["id"], "at", 8).collect()
+    got = common.numbered(frame, ["g"], ["id"], "at", 8 * common.SLICE_ROWS).collect()
     assert sorted((r.g, r["at"]) for r in got) == sorted((g, i) for g in range(3) for i in range(334 if g == 0 else 333))
