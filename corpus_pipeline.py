@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+
+Stages keep all columns, whatever their names, and tell rows of one doc_id apart by their texts. Null and empty
+texts are documents without words: they are scored like others, equal each other, have no near copies and hold no
+test item. Rows without a doc_id are documents of their own. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +16,10 @@ from sparkquill.llm.common import materialize, table, text_key
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go; what is scored is kept beside its row."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), "toxicity"
+    while score in map(str.lower, docs.columns):
+        score += "_"
+    return model.score(docs, score).where(f"{score} < 0.5").drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +31,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; those with a null doc_id stay too."""
-    kept = near_dedup.near_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").select(*docs.columns)
+    """Of each group linked at a similarity of 0.8 the smallest row stays; those with a null doc_id stay too."""
+    first = near_dedup.near_dedup(docs.select("doc_id", "text"), 80).where("first")
+    first = first.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = docs.doc_id.eqNullSafe(first.kept_id) & (text_key() == first.kept_key)
+    return docs.join(first, same, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
