@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkquill.llm import common, decontaminate, near_dedup, toxicity
@@ -37,7 +38,7 @@ def plain_near_copies(rows):
         return i
 
     for a, b in combinations(sorted(rows), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             low, high = sorted((root(a), root(b)))
             top[high] = low
     return {i for i in rows if root(i) == i}
@@ -124,3 +125,33 @@ def test_dedup_stages_keep_rows_without_ids(spark, sf):
     assert sorted((r[:2] for r in exact.collect()), key=str) == sorted([(1, "a b  c"), (None, "other words"), (4, None), (1, "second text of an id"), (7, near), (8, near + " more"), (None, near + " x")], key=str)
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, exact, sf).collect()}
     assert kept == {(1, "a b  c"), (None, "other words"), (4, None), (1, "second text of an id"), (7, near), (None, near + " x")}
+
+
+def test_near_dedup_stage_keeps_unlike_rows_of_one_id(spark, sf):
+    a, b = (" ".join(f"{tag}{k}" for k in range(40)) for tag in "ab")
+    rows = [(1, a + " q"), (9, a), (9, b), (9, b + " z"), (9, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()), key=str)
+    assert len(kept) in (3, 4) and (1, a + " q") in kept and (None, a) in kept and {t for i, t in kept if i == 9} in ({b}, {b + " z"})
+
+
+def test_stages_on_clashing_names_and_empty_tables(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    names = ["_features", "toxicity", "Toxicity_", "node", "key", "kept_key", "leak", "first", "component", "score", "in0"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect())
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns and sorted(r.doc_id for r in got.where("_features = '_features'").collect()) == want, name
+        none = stage(spark, wide.limit(0), sf)
+        assert none.columns == wide.columns and none.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), sf).count() == 0
+
+
+def test_stages_on_nulls(spark, sf):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, None), (3, "one"), (3, None), (4, "x " * 30_000)], "doc_id long, text string")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = common.materialize(stage(spark, kept, sf), "test")
+    assert sorted(map(str, (tuple(r)[:1] for r in kept.collect()))) == sorted(map(str, [(1,), (3,), (4,)]))
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == 3
