@@ -53,6 +53,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder of the shared file system holds; none where there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within it, each action's shuffle files go as the action ends (they are of no use after a write)."""

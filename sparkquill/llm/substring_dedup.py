@@ -2,13 +2,17 @@
 
 A window is 13 words in a row. Its fingerprint is the smallest hash of its nine 5-word parts: equal windows
 have equal fingerprints, and as neighbouring windows mostly share theirs, a text has about one for five
-words. The index holds (fingerprint, doc_id) in immutable runs, each sorted by fingerprint. A new batch is
-merge-joined with the runs and with itself; documents on both sides of a match are candidates; the batch is
-then appended as a run, and once there are too many runs they are merged into one. Candidates are verified:
-their texts are read again, the windows under matching fingerprints are hashed whole (96 bits of two
-hashes of all 13 words with independent byte tables), and a window is a repeat if a smaller doc_id has it too.
-The index holds no texts: a call on an index with earlier runs takes the earlier documents as ``history``, of
-which only candidates are read beyond their doc_id. Results of earlier calls are not revised.
+words. The index holds (fingerprint, doc_id) in immutable runs, each bucketed by fingerprint and sorted in its
+buckets; a manifest names them, and an index is opened again from it. A new batch becomes a run of the same buckets and is
+merge-joined with the earlier runs bucket by bucket, so history is read in order and never shuffled; documents
+on both sides of a match are candidates. Before a batch comes in, runs that are too many are merged into one.
+A fingerprint of more than HOT_ROWS rows of a run has one row there that sums them up; its own rows lie beside, in
+files of even size, and are read where the sum matches.
+
+Candidates are verified: their texts are read again, the windows under matching fingerprints are hashed whole (96 bits
+from two independent hashes of all 13 words), and a window is a repeat if a smaller doc_id has it too. The index holds
+no texts: a call on an index with earlier runs takes the earlier documents as ``history``, of which only candidates are
+read beyond their doc_id. Results of earlier calls are not revised.
 
 Defined results: null or empty texts have no words and keep none (``kept_sha256`` is that of the empty
 text); texts under 13 words are kept whole; rows with a null doc_id are kept whole and repeat nothing;
@@ -19,6 +23,8 @@ empty result; further columns of the input are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, new_folder, remove_folder, shuffles_dropped
+from .common import bounded, files_in, materialize, new_folder, remove_folder, shuffles_dropped
 
 WINDOW, PART = 13, 5
-#: Rows of one fingerprint above which its windows are dealt over SALTS tasks.
-HOT_ROWS, SALTS = 5_000, 16
+#: Rows of one fingerprint that one task takes; a fingerprint with more is dealt over several.
+HOT_ROWS = 5_000
+#: Hot fingerprints up to which their table is broadcast (32 bytes each).
+MOST_HOT = 1_000_000
 #: Runs that an index holds before they are merged into one.
 MOST_RUNS = 4
 
@@ -62,53 +70,121 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, "fp long, doc_id long")
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id) under one folder of the shared file system."""
+RUN = "fp long, doc_id long, n long, last long"
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = MOST_RUNS):
-        self.spark, self.most_runs = spark, most_runs
-        self.folder = folder or new_folder(spark, "fingerprints")
-        self.runs: list[str] = []
-        self._made = 0
 
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema("fp long, doc_id long").parquet(*self.runs) if self.runs else None
+class FingerprintIndex:
+    """Runs of fingerprints under one folder of the shared file system.
+
+    A run is a bucketed table (fp, doc_id, n, last): plain rows have no n; a row with n sums up the n rows of a hot
+    fingerprint, from the smallest doc_id to ``last``, whose own rows are in the folder ``hot`` beside it.
+    """
 
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{self._made}"
-        self._made += 1
+    def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = MOST_RUNS, hot_rows: int = HOT_ROWS):
+        self.spark, self.most_runs, self.hot_rows = spark, most_runs, hot_rows
+        self.folder = folder or new_folder(spark, "fingerprints")
+        self.runs: list[dict] = []
+        self.tables: dict[str, str] = {}
+        self.version = 0
+        known = [name for name in files_in(spark, self.folder) if name.startswith("manifest-")]
+        if known:
+            latest = max(known, key=lambda name: int(name.split("-")[1]))
+            self.version = int(latest.split("-")[1])
+            self.runs = json.loads(spark.read.text(f"{self.folder}/{latest}", wholetext=True).first().value)
+        # one number of buckets for all runs of an index: that of the shuffles of the session that began it
+        self.buckets = self.runs[0]["buckets"] if self.runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _commit(self, runs: list[dict]) -> None:
+        """A new manifest: Spark's writer makes it whole or not at all, and readers take the last one."""
+        self.version += 1
+        self.spark.createDataFrame([(json.dumps(runs),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.version}")
+        self.runs = runs
+
+    def _table(self, run: dict) -> DataFrame:
+        """A run's rows as a bucketed table, whose buckets join and group without a shuffle."""
+        name = self.tables.get(run["name"])
+        if name is None:
+            name = self.tables[run["name"]] = f"fingerprints_{uuid.uuid4().hex}"
+            path = f"{self.folder}/{run['name']}/rows"
+            self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, doc_id BIGINT, n BIGINT, last BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _hot(self, run: dict) -> DataFrame:
+        return self.spark.read.schema("fp long, doc_id long").parquet(f"{self.folder}/{run['name']}/hot")
+
+    def _write(self, rows: DataFrame) -> dict:
+        """``rows`` (fp, doc_id), which are read several times, as a run."""
+        run = {"name": f"run-{uuid.uuid4().hex[:12]}", "buckets": self.buckets, "hot": False}
+        summed = F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+        hot = materialize(rows.groupBy("fp").agg(*summed).where(F.col("n") > self.hot_rows), "hot")
+        plain = rows
+        if not bounded(hot, 0):
+            run["hot"] = True
+            named = F.broadcast(hot.select("fp")) if bounded(hot, MOST_HOT) else hot.select("fp")
+            plain = rows.join(named, "fp", "left_anti")
+            rows.join(named, "fp", "left_semi").write.option("compression", "zstd").parquet(f"{self.folder}/{run['name']}/hot")
+        nothing = F.lit(None).cast("long")
+        sums = hot.select("fp", F.col("first").alias("doc_id"), "n", "last")
+        every = plain.select("fp", "doc_id", nothing.alias("n"), nothing.alias("last")).unionByName(sums)
+        name = self.tables[run["name"]] = f"fingerprints_{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
-            rows.sortWithinPartitions("fp", "doc_id").write.option("compression", "zstd").parquet(path)
-        return path
+            dealt = every.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
+            dealt.write.option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.folder}/{run['name']}/rows").saveAsTable(name)
+        return run
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Adds a batch as a run; gives the candidates: doc_id, fp, n (rows of that fingerprint so far)."""
-        before = self.history()
-        run = self._write(fingerprints(docs))
-        rows = self.spark.read.schema("fp long, doc_id long").parquet(run)
-        everything = rows if before is None else before.unionByName(rows)
-        # Counts combine in each task first, so a fingerprint of a third of all rows is no hot key here;
-        # in the join below its rows can be split, as the counted side has one row for it.
-        counts = everything.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id")).alias("last"), F.min("doc_id").alias("first"))
-        repeated = counts.where("first < last").select("fp", "n")
-        if before is not None:
-            # What the history repeats within itself was found when it was appended.
-            repeated = repeated.join(rows.select("fp").distinct(), "fp", "left_semi")
-        found = everything.join(repeated.hint("merge"), "fp")
-        self.runs.append(run)
-        return materialize(found.select("doc_id", "fp", "n"), "candidates")
+        self.compact()
+        scratch = new_folder(self.spark, "prints")
+        run = self._write(materialize(fingerprints(docs), "prints", f"{scratch}/rows"))
+        remove_folder(self.spark, scratch)
+        runs = [*self.runs, run]
+        # Each run by fingerprint: buckets are read as they lie, and meet those of the same number in the other runs.
+        sums = lambda r: self._table(r).groupBy("fp").agg(
+            F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.min("doc_id").alias("first"), F.max(F.coalesce("last", "doc_id")).alias("last"), F.max("n").isNotNull().alias("hot")
+        )
+        of = sums(run)
+        for number, old in enumerate(self.runs):
+            of = of.join(sums(old).select("fp", *[F.col(c).alias(f"{c}_{number}") for c in ("n", "first", "last", "hot")]).hint("merge"), "fp", "left")
+        every = lambda name: [name, *[f"{name}_{i}" for i in range(len(self.runs))]]
+        total = sum((F.coalesce(c, F.lit(0)) for c in every("n")), F.lit(0))
+        first, last = (F.least(*every("first")), F.greatest(*every("last"))) if self.runs else (F.col("first"), F.col("last"))
+        hot = sum((F.coalesce(c, F.lit(False)).cast("int") for c in every("hot")), F.lit(0)) > 0
+        repeated = of.where(first < last).select("fp", total.alias("n"), hot.alias("hot"))
+        found = [self._table(r).where("n is null").select("fp", "doc_id").join(repeated.select("fp", "n").hint("merge"), "fp") for r in runs]
+        if any(r["hot"] for r in runs):
+            matched = materialize(repeated.where("hot").select("fp", "n"), "hot")
+            named = F.broadcast(matched) if bounded(matched, MOST_HOT) else matched
+            found += [self._hot(r).join(named, "fp") for r in runs if r["hot"]]
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        before = self.spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket is read as sorted as it is
+        try:
+            candidates = materialize(rows.select("doc_id", "fp", "n"), "candidates")
+        finally:
+            self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", before)
+        self._commit(runs)
+        return candidates
 
     def compact(self) -> None:
         """Merges the runs into one if they are more than ``most_runs``."""
-        if len(self.runs) > self.most_runs:
-            old = self.runs
-            self.runs = [self._write(self.history().repartition("fp"))]
-            for path in old:
-                remove_folder(self.spark, path)
+        if len(self.runs) <= self.most_runs:
+            return
+        old, rows = self.runs, None
+        for run in old:
+            plain = self._table(run).where("n is null").select("fp", "doc_id")
+            both = plain.unionByName(self._hot(run)) if run["hot"] else plain
+            rows = both if rows is None else rows.unionByName(both)
+        self._commit([self._write(rows)])
+        for run in old:
+            self.spark.sql(f"DROP TABLE {self.tables.pop(run['name'])}")
+            remove_folder(self.spark, f"{self.folder}/{run['name']}")
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, fps, hot -> the windows under the listed fingerprints."""
+    """doc_id, text, fps, salts -> the windows under the listed fingerprints; one of several salts is dealt by its document."""
     for batch in batches:
         for part, texts in W.slices(batch):
             w = W.split(texts)
@@ -118,11 +194,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(listed.offsets.to_numpy())
             flat = listed.flatten()
             wanted = flat.to_numpy(zero_copy_only=False).view(np.uint64) if len(flat) else np.zeros(0, np.uint64)
-            hot = part.column("hot").flatten().to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+            salts = part.column("salts").flatten().to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, np.int32)
             # documents and their fingerprints as one sorted key, to look windows up at once
             key = W.mix(wanted ^ W.mix(np.repeat(np.arange(len(texts)), sizes).astype(np.uint64)))
             order = np.argsort(key)
-            key, hot = key[order], hot[order]
+            key, salts = key[order], salts[order]
             mine = W.mix(prints ^ W.mix(doc.astype(np.uint64)))
             at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
             hit = key[at] == mine if len(key) else np.zeros(len(mine), bool)
@@ -136,33 +212,35 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, doc, at, whole = first[order], doc[order], at[order], whole[order]
             check = w.rolling(WINDOW, second=True)[first]
             take = pa.array(doc)
+            ids = part.column("doc_id").take(take)
+            dealt = salts[at] if len(at) else np.zeros(0, np.int32)
+            salt = np.where(dealt > 1, W.mix(ids.to_numpy().view(np.uint64)) % np.maximum(dealt, 1).astype(np.uint64), -1).astype(np.int32) if len(at) else dealt
             yield pa.record_batch(
                 [
                     pa.array(W.signed(whole)),
                     pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    part.column("doc_id").take(take),
-                    pa.array(hot[at].astype(bool) if len(at) else np.zeros(0, bool)),
+                    ids,
+                    pa.array(salt, pa.int32()),
                 ],
-                ["whole", "check", "doc_id", "hot"],
+                ["whole", "check", "doc_id", "salt"],
             )
 
 
-def repeated_windows(docs: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def repeated_windows(docs: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, whole: windows (by hash) of a document that also start in a document with a smaller doc_id."""
-    listed = candidates.groupBy("doc_id", "fp").agg(F.max("n").alias("n"))
-    listed = listed.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.col("n") > hot_rows).alias("hot"))
+    listed = candidates.groupBy("doc_id", "fp").agg(F.ceil(F.max("n") / hot_rows).cast("int").alias("salts"))
+    listed = listed.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("salts").alias("salts"))
     texts = docs.select("doc_id", "text").join(listed.hint("merge"), "doc_id")
-    rows = texts.mapInArrow(_window_rows, "whole long, check int, doc_id long, hot boolean")
-    # A window of a very frequent fingerprint is dealt over salts: its smallest document of each salt
-    # is found first, and these few are compared with each other in a second step.
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(-1)
+    rows = texts.mapInArrow(_window_rows, "whole long, check int, doc_id long, salt int")
+    # A window of a very frequent fingerprint is dealt over as many salts as its rows ask for: its smallest document
+    # of each salt is found first, and these few are compared with each other in a second step.
     window = ["whole", "check", "salt"]
     least = F.min("doc_id").over(Window.partitionBy(*window).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    seen = rows.select("whole", "check", "doc_id", salt.alias("salt")).withColumn("least", least)
+    seen = rows.withColumn("least", least)
     later = F.col("doc_id") > F.col("least")
     across = F.min("doc_id").over(Window.partitionBy("whole", "check"))
     # One condition over both columns, so that it isn't moved below the first exchange, which both branches share.
-    firsts = seen.where(F.least(F.col("salt").cast("long"), F.col("least") - F.col("doc_id")) >= 0).withColumn("least", across)
+    firsts = seen.where(F.when(later, -1).otherwise(F.col("salt")) >= 0).withColumn("least", across)
     return seen.where(later).unionByName(firsts.where(later)).select("doc_id", "whole")
 
 
@@ -217,7 +295,6 @@ def substring_dedup(docs: DataFrame, batches: int = 2, index: FingerprintIndex |
         batch = batch if low is None else batch.where(F.col("doc_id") > low)
         batch = batch if high is None else batch.where(F.col("doc_id") <= high)
         found = index.append(batch)
-        index.compact()
         candidates = found if candidates is None else candidates.unionByName(found)
     texts = known if history is None else known.select("doc_id", "text").unionByName(history.where("doc_id is not null").select("doc_id", "text"))
     windows = materialize(repeated_windows(texts, candidates), "windows")

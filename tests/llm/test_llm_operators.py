@@ -50,6 +50,14 @@ def removed_by_brute_force(rows):
     return sorted(out)
 
 
+def test_substring_dedup_edge_ids(spark):
+    rows = [(i, phrase(5, 30)) for i in (2**63 - 1, -(2**63), 0, 7)]
+    for hot_rows in (5, 1):
+        index = substring_dedup.FingerprintIndex(spark, hot_rows=hot_rows)
+        windows = substring_dedup.repeated_windows(docs(spark, rows), index.append(docs(spark, rows)), hot_rows)
+        assert sorted(tuple(r) for r in substring_dedup.remove_repeats(docs(spark, rows), windows).collect()) == removed_by_brute_force(rows)
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_substring_dedup(spark, odd, batches):
     rows = [r for r in odd if r[0] is not None]
@@ -73,11 +81,34 @@ def test_substring_dedup_calls_on_one_index(spark):
     assert sorted(tuple(r) for r in second.collect()) == want and sum(r[2] for r in want) == 80
 
 
+def test_substring_dedup_index_is_opened_again(spark):
+    rows = [(i, phrase(200 + i, 20) + " " + phrase(300 + i % 3, 15) + " " + phrase(400 + i % 2, 15)) for i in range(24)]
+    folder, got = common.new_folder(spark, "again"), []
+    for at in range(0, 24, 4):  # six calls, each on an index opened from the folder; hot fingerprints and merged runs
+        index = substring_dedup.FingerprintIndex(spark, folder, most_runs=2, hot_rows=3)
+        assert len(index.runs) <= 3 and bool(index.runs) == bool(at)
+        found = substring_dedup.substring_dedup(docs(spark, rows[at : at + 4]), 1, index, docs(spark, rows[:at]))
+        got += [tuple(r) for r in found.collect()]
+    assert sorted(got) == removed_by_brute_force(rows)
+    assert len(common.files_in(spark, folder)) < 20 and any(r["hot"] for r in index.runs)
+
+
+def test_substring_dedup_does_not_shuffle_history(spark, monkeypatch):
+    index = substring_dedup.FingerprintIndex(spark)
+    plans = []
+    write = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name, *path: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name, *path))
+    for at in (0, 10):
+        index.append(docs(spark, [(at + i, phrase(at + i, 30) + " " + phrase(7, 20)) for i in range(10)]))
+    plan = [p for name, p in plans if name == "candidates"][1]
+    assert plan.count("SortMergeJoin") >= 3 and "Exchange" not in plan and "Bucketed: true" in plan
+
+
 def test_substring_dedup_hot_windows(spark):
     rows = [(i, phrase(100 + i, 15) + " " + phrase(1, 20)) for i in range(40)]
     frame = docs(spark, rows)
-    found = substring_dedup.FingerprintIndex(spark).append(frame)
-    windows = substring_dedup.repeated_windows(frame, found, hot_rows=3, salts=4)
+    found = substring_dedup.FingerprintIndex(spark, hot_rows=5).append(frame)
+    windows = substring_dedup.repeated_windows(frame, found, hot_rows=3)
     assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame, windows).collect()) == removed_by_brute_force(rows)
 
 
