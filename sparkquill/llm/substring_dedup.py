@@ -6,8 +6,8 @@ words. The index holds (fingerprint, doc_id) in immutable runs, each bucketed by
 buckets; a manifest names them, and an index is opened again from it. A new batch becomes a run of the same buckets and is
 merge-joined with the earlier runs bucket by bucket, so history is read in order and never shuffled; documents
 on both sides of a match are candidates. Before a batch comes in, runs that are too many are merged into one.
-A fingerprint of more than HOT_ROWS rows of a run has one row there that sums them up; its own rows lie beside, in
-files of even size, and are read where the sum matches.
+A fingerprint of more than HOT_ROWS rows in a batch has one row in the run that sums them up; its own rows lie beside,
+in files of even size, and are read where the sum matches.
 
 Candidates are verified: their texts are read again, the windows under matching fingerprints are hashed whole (96 bits
 from two independent hashes of all 13 words), and a window is a repeat if a smaller doc_id has it too. The index holds
@@ -26,6 +26,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, "fp long, doc_id long")
 
 
-RUN = "fp long, doc_id long, n long, last long"
-
-
 class FingerprintIndex:
     """Runs of fingerprints under one folder of the shared file system.
 
-    A run is a bucketed table (fp, doc_id, n, last): plain rows have no n; a row with n sums up the n rows of a hot
-    fingerprint, from the smallest doc_id to ``last``, whose own rows are in the folder ``hot`` beside it.
+    A run is a bucketed table (fp, doc_id, n, last): plain rows have no n; a row with n sums up the n rows that a hot
+    fingerprint has in one batch, from the smallest doc_id to ``last``; the rows themselves are in a folder of the run.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, most_runs: int = MOST_RUNS, hot_rows: int = HOT_ROWS):
@@ -105,39 +103,47 @@ class FingerprintIndex:
         name = self.tables.get(run["name"])
         if name is None:
             name = self.tables[run["name"]] = f"fingerprints_{uuid.uuid4().hex}"
-            path = f"{self.folder}/{run['name']}/rows"
+            path = f"{self.folder}/{run['name']}"
             self.spark.sql(f"CREATE TABLE {name} (fp BIGINT, doc_id BIGINT, n BIGINT, last BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run['buckets']} BUCKETS LOCATION '{path}'")
         return self.spark.table(name)
 
     def _hot(self, run: dict) -> DataFrame:
-        return self.spark.read.schema("fp long, doc_id long").parquet(f"{self.folder}/{run['name']}/hot")
-
-    def _write(self, rows: DataFrame) -> dict:
-        """``rows`` (fp, doc_id), which are read several times, as a run."""
-        run = {"name": f"run-{uuid.uuid4().hex[:12]}", "buckets": self.buckets, "hot": False}
-        summed = F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-        hot = materialize(rows.groupBy("fp").agg(*summed).where(F.col("n") > self.hot_rows), "hot")
-        plain = rows
-        if not bounded(hot, 0):
-            run["hot"] = True
-            named = F.broadcast(hot.select("fp")) if bounded(hot, MOST_HOT) else hot.select("fp")
-            plain = rows.join(named, "fp", "left_anti")
-            rows.join(named, "fp", "left_semi").write.option("compression", "zstd").parquet(f"{self.folder}/{run['name']}/hot")
-        nothing = F.lit(None).cast("long")
-        sums = hot.select("fp", F.col("first").alias("doc_id"), "n", "last")
-        every = plain.select("fp", "doc_id", nothing.alias("n"), nothing.alias("last")).unionByName(sums)
-        name = self.tables[run["name"]] = f"fingerprints_{uuid.uuid4().hex}"
+        return self.spark.read.schema("fp long, doc_id long").parquet(*[f"{self.folder}/{x}" for x in run["hot"]])
+
+    def _save(self, rows: DataFrame, path: str) -> str:
+        """``rows``, dealt by fp to one task a bucket and sorted, as a bucketed table; gives its name."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
-            dealt = every.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
-            dealt.write.option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.folder}/{run['name']}/rows").saveAsTable(name)
+            rows.write.option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
+        return name
+
+    def _write(self, rows: DataFrame, hot: list[str]) -> dict:
+        """``rows`` (fp, doc_id, n, last) as a run; ``hot`` names the folders of its hot fingerprints."""
+        run = {"name": f"run-{uuid.uuid4().hex[:12]}", "buckets": self.buckets, "hot": hot}
+        dealt = rows.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
+        self.tables[run["name"]] = self._save(dealt, f"{self.folder}/{run['name']}")
+        return run
+
+    def _take_in(self, docs: DataFrame) -> dict:
+        scratch = new_folder(self.spark, "prints")
+        rows = materialize(fingerprints(docs), "prints", f"{scratch}/rows")
+        summed = F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")
+        sums = materialize(rows.groupBy("fp").agg(*summed).where(F.col("n") > self.hot_rows), "hot")
+        nothing, folders = F.lit(None).cast("long"), []
+        every = rows.select("fp", "doc_id", nothing.alias("n"), nothing.alias("last"))
+        if not bounded(sums, 0):
+            named = F.broadcast(sums.select("fp")) if bounded(sums, MOST_HOT) else sums.select("fp")
+            folders = [f"hot-{uuid.uuid4().hex[:12]}"]
+            rows.join(named, "fp", "left_semi").write.option("compression", "zstd").parquet(f"{self.folder}/{folders[0]}")
+            every = every.join(named, "fp", "left_anti").unionByName(sums)
+        run = self._write(every, folders)
+        remove_folder(self.spark, scratch)
         return run
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Adds a batch as a run; gives the candidates: doc_id, fp, n (rows of that fingerprint so far)."""
         self.compact()
-        scratch = new_folder(self.spark, "prints")
-        run = self._write(materialize(fingerprints(docs), "prints", f"{scratch}/rows"))
-        remove_folder(self.spark, scratch)
+        run = self._take_in(docs)
         runs = [*self.runs, run]
         # Each run by fingerprint: buckets are read as they lie, and meet those of the same number in the other runs.
         sums = lambda r: self._table(r).groupBy("fp").agg(
@@ -150,34 +156,42 @@ class FingerprintIndex:
         total = sum((F.coalesce(c, F.lit(0)) for c in every("n")), F.lit(0))
         first, last = (F.least(*every("first")), F.greatest(*every("last"))) if self.runs else (F.col("first"), F.col("last"))
         hot = sum((F.coalesce(c, F.lit(False)).cast("int") for c in every("hot")), F.lit(0)) > 0
-        repeated = of.where(first < last).select("fp", total.alias("n"), hot.alias("hot"))
-        found = [self._table(r).where("n is null").select("fp", "doc_id").join(repeated.select("fp", "n").hint("merge"), "fp") for r in runs]
-        if any(r["hot"] for r in runs):
-            matched = materialize(repeated.where("hot").select("fp", "n"), "hot")
-            named = F.broadcast(matched) if bounded(matched, MOST_HOT) else matched
-            found += [self._hot(r).join(named, "fp") for r in runs if r["hot"]]
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        before = self.spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
-        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")  # one file a bucket is read as sorted as it is
-        try:
+        scratch = new_folder(self.spark, "repeated")
+        with self._sorted_buckets():
+            repeated = self.spark.table(self._save(of.where(first < last).select("fp", total.alias("n"), hot.alias("hot")), f"{scratch}/rows"))
+            found = [self._table(r).where("n is null").select("fp", "doc_id").join(repeated.select("fp", "n").hint("merge"), "fp") for r in runs]
+            if any(r["hot"] for r in runs):
+                matched = materialize(repeated.where("hot").select("fp", "n"), "hot")
+                named = F.broadcast(matched) if bounded(matched, MOST_HOT) else matched
+                found += [self._hot(r).join(named, "fp") for r in runs if r["hot"]]
+            rows = found[0]
+            for more in found[1:]:
+                rows = rows.unionByName(more)
             candidates = materialize(rows.select("doc_id", "fp", "n"), "candidates")
-        finally:
-            self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", before)
+        remove_folder(self.spark, scratch)
         self._commit(runs)
         return candidates
 
+    @contextmanager
+    def _sorted_buckets(self):
+        """Within it, a bucket of one file is read as sorted as it was written."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def compact(self) -> None:
-        """Merges the runs into one if they are more than ``most_runs``."""
+        """Merges the runs into one if they are more than ``most_runs``; folders of hot fingerprints stay as they are."""
         if len(self.runs) <= self.most_runs:
             return
-        old, rows = self.runs, None
-        for run in old:
-            plain = self._table(run).where("n is null").select("fp", "doc_id")
-            both = plain.unionByName(self._hot(run)) if run["hot"] else plain
-            rows = both if rows is None else rows.unionByName(both)
-        self._commit([self._write(rows)])
+        old = self.runs
+        rows = self._table(old[0])
+        for run in old[1:]:
+            rows = rows.unionByName(self._table(run))
+        self._commit([self._write(rows, [x for run in old for x in run["hot"]])])
         for run in old:
             self.spark.sql(f"DROP TABLE {self.tables.pop(run['name'])}")
             remove_folder(self.spark, f"{self.folder}/{run['name']}")
