@@ -8,12 +8,12 @@ buckets less than once in millions.
 
 Pairs within a bucket are not listed. Each node is compared with one centre, the member of its buckets that
 meets the most others; links are confirmed on the full sets and connected. Where a bucket then still holds several
-components, its nodes go on with exact candidates: of two sets that are similar enough, the rarest shingles (as many
+components, its nodes go on with exact candidates. Of two sets that are similar enough, the rarest shingles (as many
 as may be missing, and one) have one in common, so each of these shingles that several such nodes have is a smaller
-bucket, and a node whose rarest shingles nobody shares is done. In these, stars are drawn in rounds: a member is a
-centre in one round, each round has twice the centres of the one before, and only buckets that still hold several
-components go on. A pair is thus left out only if it is connected already or proven too unlike; all pairs of a
-bucket are met only if no two of them are linked and all share a shingle that is among the rarest of each.
+bucket, and a node whose rarest shingles nobody shares is done. In a small bucket, members outside its largest component
+meet the others, and of these pairs only those are measured that could still link: a pair differs by all shingles that
+no other open node has at least, and if both were compared with one centre, by what the two distances from it and the
+unique shingles leave (``feasible``). A pair is thus left out only if it is connected already or proven too unlike.
 
 Defined results: null or empty texts, or without words, have an empty set, link with nothing and are kept;
 so are rows with a null doc_id (component null); texts under five words are one shingle; rows that repeat a
@@ -188,21 +188,56 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(fresh), "labels")
 
 
+def feasible(percent: int) -> F.Column:
+    """Whether two open nodes (columns n, u, centre, d and o_n, o_u, o_centre, o_d) may be similar enough.
+
+    Their sets share at most the smaller number of shingles that aren't unique (u are), and differ in both
+    nodes' unique ones. With d elements between a node and its centre, two nodes of one centre differ in
+    d + o_d less twice the elements that both differences hold, which are at most d - u and o_d - o_u.
+    """
+    n, u, d, o_n, o_u, o_d = (F.col(c) for c in ("n", "u", "d", "o_n", "o_u", "o_d"))
+    shared = F.least(n - u, o_n - o_u)
+    apart = F.when(F.col("centre") == F.col("o_centre"), d + o_d - 2 * F.least(d - u, o_d - o_u)).otherwise(0)
+    return (
+        (100 * F.least(n, o_n) >= percent * F.greatest(n, o_n))
+        & ((100 - percent) * shared >= percent * (u + o_u))
+        & ((100 + percent) * F.coalesce(apart, F.lit(0)) <= (100 - percent) * (n + o_n))
+    )
+
+
 def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """bucket, node, n, slot, size: ``nodes`` by those of their rarest shingles that several of them have.
+    """bucket, node, n, u, shorter: ``nodes`` by those of their rarest shingles that several of them have.
 
-    Sets of n shingles that are similar enough share all but n - ceil(n * percent / 100), so one of that many and
-    one more, in any order that all sets follow. ``slot`` says in which round a node is a centre of its bucket.
+    In any order that all sets follow, two sets that are similar enough have a shingle in common among the first
+    n - ceil(n * percent / 100) + 1 of the one with more, and the first n - ceil(n * 2 * percent / (100 + percent)) + 1
+    of the other (``shorter``: the shingle is among these too). u shingles are the node's alone.
     """
     held = materialize(sets.join(nodes.hint("merge"), "node", "left_semi").select("node", F.explode("shingles").alias("h")), "held")
     counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     ordered = held.join(counts.hint("merge"), "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("fs"))
     n = F.size("fs")
-    rarest = F.slice("fs", F.lit(1), (n - F.ceil(n * F.lit(percent) / 100) + 1).cast("int"))
-    rows = ordered.select("node", n.alias("n"), F.explode(F.filter(rarest, lambda x: x["f"] > 1)).alias("x")).select(F.col("x.h").alias("bucket"), "node", "n")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes.hint("merge"), "bucket")
-    return materialize(rows.withColumn("slot", F.pmod(F.xxhash64("bucket", "node"), F.col("size"))), "rare")
+    first = lambda part, of: (n - F.floor((n * part + (of - 1)) / of) + 1).cast("int")  # noqa: E731  (whole numbers: no share is rounded)
+    unique = F.size(F.filter("fs", lambda x: x["f"] == 1)).alias("u")
+    rarest = ordered.select("node", n.alias("n"), unique, first(2 * percent, 100 + percent).alias("short"), F.posexplode(F.slice("fs", F.lit(1), first(percent, 100))).alias("at", "x"))
+    return rarest.where("x.f > 1").select(F.col("x.h").alias("bucket"), "node", "n", "u", (F.col("at") < F.col("short")).alias("shorter"))
+
+
+def _further_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of open nodes in different components that may be similar enough; of ``stars``, how far a node is from its centre."""
+    far = stars.select(F.col("b").alias("node"), F.col("a").alias("centre"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
+    known = nodes.join(labels.hint("merge"), "node", "left").join(far.hint("merge"), "node", "left")
+    known = known.select("node", F.coalesce("component", "node").alias("component"), "centre", "d")
+    rows = materialize(_rare_buckets(nodes, sets, percent).join(known.hint("merge"), "node"), "rare")
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    # Of each bucket with several components, the largest: its members need not meet each other.
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = materialize(rows.join(largest.select("bucket", F.col("top.component").alias("top")).hint("merge"), "bucket"), "rare")
+    other = rows.select(F.col("bucket").alias("o_bucket"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "u", "shorter", "centre", "d", "component")])
+    met = (F.col("o_component") == F.col("top")) | (F.col("node") < F.col("o_node"))
+    less = F.struct("n", "node") < F.struct(F.col("o_n").alias("n"), F.col("o_node").alias("node"))
+    may = (F.col("bucket") == F.col("o_bucket")) & (F.col("component") != F.col("o_component")) & met & F.when(less, F.col("shorter")).otherwise(F.col("o_shorter")) & feasible(percent)
+    pairs = rows.where("component <> top").join(other.hint("merge"), may)
+    return materialize(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "pairs")
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -237,24 +272,15 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = members.groupBy("bucket").agg(F.min(F.struct("order", "node")).alias("centre"))
     edges = members.join(stars.hint("merge"), "bucket").where(F.col("node") != F.col("centre.node"))
     edges = edges.groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("centre")).select(F.col("centre.node").alias("a"), "b")
-    labels = components(measured(edges, sets).where(linked(percent)))
+    first = materialize(measured(edges, sets), "stars")
+    labels = components(first.where(linked(percent)))
 
     open_ = materialize(_open(members.select("bucket", "node"), labels).select("node").distinct(), "open")
-    rare = _rare_buckets(open_, sets, percent) if _some(open_) else None
-    first, after = 0, 1  # slots of this round's centres
-    while rare is not None:
-        rare = materialize(_open(rare, labels).where(F.col("size") > first).drop("component"), "rare")
-        if not _some(rare):
-            break
-        here = rare.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        centres = here.where((F.col("slot") >= first) & (F.col("slot") < after)).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"), F.col("slot").alias("s"))
-        other = (F.col("component") != F.col("c")) & (F.col("slot") >= first) & ((F.col("slot") > F.col("s")) | ((F.col("slot") == F.col("s")) & (F.col("node") > F.col("a"))))
-        alike_size = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-        edges = here.join(centres.hint("merge"), "bucket").where(other & alike_size).select("a", F.col("node").alias("b")).distinct()
-        links = materialize(measured(materialize(edges, "edges"), sets).where(linked(percent)).select("a", "b"), "links")
+    if _some(open_):
+        pairs = _further_pairs(open_, sets, labels, first, percent)
+        links = materialize(measured(pairs, sets).where(linked(percent)).select("a", "b"), "links")
         if _some(links):
             labels = _relabel(labels, links)
-        first, after = after, 2 * after + 1
 
     of_rows = rows.select("node", *alike).withColumnRenamed("node", "row")
     of_rows = of_rows.join(nodes.select(*alike, "node").hint("merge"), alike, "left").join(labels.hint("merge"), "node", "left")
