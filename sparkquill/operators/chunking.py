@@ -1,50 +1,66 @@
-"""Texts to paragraphs and chunks."""
+"""Texts to paragraphs, chunks and parents of chunks."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
+#: Tokens of a chunk, share of it that the next one repeats, tokens of a parent.
+MOST_TOKENS, OVERLAP, PARENT_TOKENS = 900, 0.12, 2400
+TEXT_KINDS, ALONE = ["paragraph", "list_item", "text"], ["table", "code"]
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """First line, last line (from 1) and text of each maximal run of lines that aren't blank."""
+    lines, begin = text.split("\n"), None
+    for at, line in enumerate([*lines, ""]):
+        blank = not line.strip(" \t\n\x0b\f\r")
+        if blank and begin is not None:
+            yield begin + 1, at, "\n".join(lines[begin:at])
+        begin = None if blank else at if begin is None else begin
+
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, line_start, line_end, text: maximal runs of non-blank lines, inside the row.
+    """doc_id, paragraph, line_start, line_end, text: maximal runs of lines that aren't blank.
 
-    A fold over the document's lines carries the open run; nothing is shuffled, and one document is one task's work.
+    One pass over each document's lines, inside its task: nothing is shuffled, and a document costs what it is long.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    run = "array<struct<line_start:int,line_end:int,text:string>>"
-    start = F.struct(F.array().cast(run).alias("runs"), F.lit(0).alias("at"), F.lit(False).alias("open"))
 
-    def step(acc, line):
-        n, blank = acc["at"] + 1, F.trim(line) == ""
-        last = F.try_element_at(acc["runs"], F.lit(-1))
-        grown = F.struct(last["line_start"].alias("line_start"), n.alias("line_end"), F.concat(last["text"], F.lit("\n"), line).alias("text"))
-        fresh = F.struct(n.alias("line_start"), n.alias("line_end"), line.alias("text"))
-        head = F.slice(acc["runs"], F.lit(1), F.greatest(F.size(acc["runs"]) - 1, F.lit(0)))
-        runs = F.when(blank, acc["runs"]).when(acc["open"], F.concat(head, F.array(grown))).otherwise(F.concat(acc["runs"], F.array(fresh)))
-        return F.struct(runs.cast(run).alias("runs"), n.alias("at"), (~blank).alias("open"))
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(d, i, *r) for d, t in zip(frame["doc_id"], frame["text"]) for i, r in enumerate(_runs(t or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "line_start", "line_end", "text"])
 
-    found = F.aggregate(lines, start, step, lambda a: a["runs"])
-    return docs.select("doc_id", F.posexplode(found).alias("paragraph", "p")).select("doc_id", "paragraph", "p.line_start", "p.line_end", "p.text")
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, paragraph int, line_start int, line_end int, text string")
 
 
 def _windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of ``size`` characters, ended at a sentence or else a word; the next begins ``overlap`` before the end."""
-    out, at = [], 0
-    while at < len(text):
-        part, end = text[at : at + size], at + size
+    """Windows of ``size`` characters; the next begins ``overlap`` before the end of the one before.
+
+    A window that the text goes on after ends behind its last full stop or line end, if that is in its second half,
+    else before its last space, if it has one. Places are looked up in sorted lists; each window begins later than the last.
+    """
+    stops, spaces = ([m.start() for m in re.finditer(p, text)] for p in ("[.\n]", " "))
+    before = lambda places, end: places[i - 1] if (i := bisect_left(places, end)) else -1
+    out, begin = [], 0
+    while begin < len(text):
+        end = begin + size
         if end < len(text):
-            stop = max(part.rfind("."), part.rfind("\n"))
-            cut = stop + 1 if stop > size * 0.5 else part.rfind(" ")
-            if cut > 0:
-                part, end = part[:cut], at + cut
-        if part.strip():
-            out.append(part.strip())
-        at = max(end - overlap, at + 1)  # always moves on
-    return out
+            stop, space = before(stops, end), before(spaces, end)
+            if 2 * (stop - begin) > size:
+                end = stop + 1
+            elif space > begin:
+                end = space
+        out.append(text[begin:end].strip())
+        begin = max(end - overlap, begin + 1)
+    return [x for x in out if x]
 
 
 def char_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -56,3 +72,115 @@ def char_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFram
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_index int, content string")
+
+
+def _lines(text: str, size: int) -> Iterator[tuple[int, int, str]]:
+    held: list[str] = []
+    lines, length = text.split("\n"), 0
+    for at, line in enumerate(lines, 1):
+        held.append(line)
+        length += len(line) + 1
+        if length >= size or at == len(lines):
+            if content := "\n".join(held).strip(" \t\n\x0b\f\r") and "\n".join(held):
+                yield at - len(held) + 1, at, content
+            held, length = [], 0
+
+
+def line_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
+    """doc_id, line_start, line_end, content: whole lines, closed once they hold ``size`` characters (a line's end is one).
+
+    Where a chunk ends depends on where it began, so each document is one pass. Blank chunks are left out.
+    """
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(d, *r) for d, t in zip(frame["doc_id"], frame["text"]) for r in _lines(t or "", size)]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_start", "line_end", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line_start int, line_end int, content string")
+
+
+def families(units: DataFrame) -> DataFrame:
+    """``units`` (doc_id, unit, kind, ...) and family: texts in a row share one, tables and code stand alone, the rest goes."""
+    order = Window.partitionBy("doc_id").orderBy("unit")
+    kept = units.where(F.col("kind").isin(TEXT_KINDS + ALONE)).withColumn("text_kind", F.col("kind").isin(TEXT_KINDS))
+    new = ~F.col("text_kind") | ~F.coalesce(F.lag("text_kind").over(order), F.lit(False))
+    return kept.withColumn("family", F.sum(new.cast("int")).over(order)).drop("text_kind")
+
+
+def _packed(frame: list[tuple], most: int, overlap: int) -> Iterator[tuple[list[int], str, list[str]]]:
+    """Units (number, heading path, text) in order -> numbers, content and heading of each chunk."""
+    tokens = lambda text: max(1, len(text) // 4)
+    held: list[tuple] = []
+    for unit in frame:
+        other = bool(held) and bool(unit[1]) and unit[1] != held[0][1]
+        over = bool(held) and tokens("\n\n".join(u[2] for u in [*held, unit])) > most
+        if other or over:
+            yield [u[0] for u in held], "\n\n".join(u[2] for u in held), held[0][1]
+            tail = len(held)
+            if over and not other:
+                room = overlap
+                while tail and tokens(held[tail - 1][2]) <= room:
+                    tail -= 1
+                    room -= tokens(held[tail][2])
+            held = held[tail:]
+        held.append(unit)
+    if held:
+        yield [u[0] for u in held], "\n\n".join(u[2] for u in held), held[0][1]
+
+
+DOC_CHUNKS = "doc_id long, family long, chunk int, unit_first int, unit_last int, heading_path array<string>, content string"
+
+
+def document_chunks(units: DataFrame, most: int = MOST_TOKENS, overlap: float = OVERLAP) -> DataFrame:
+    """Chunks of whole units of one family; a heading or the token limit closes one, and after the limit the next repeats its end.
+
+    Which units a chunk holds depends on the one before, so units are dealt by document and family and streamed in
+    order; what is held is the family at hand.
+    """
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cut(key, run):
+            for i, (at, content, path) in enumerate(_packed(run, most, int(most * overlap))):
+                yield (*key, i, at[0], at[-1], path, content)
+
+        key, run = None, []
+        for frame in frames:
+            rows = []
+            for doc, family, unit, path, text in zip(frame["doc_id"], frame["family"], frame["unit"], frame["heading_path"], frame["text"]):
+                if (doc, family) != key:
+                    rows += cut(key, run) if run else []
+                    key, run = (doc, family), []
+                run.append((unit, list(path), text or ""))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOC_CHUNKS.split(", ")])
+        if run:
+            yield pd.DataFrame(list(cut(key, run)), columns=[c.split()[0] for c in DOC_CHUNKS.split(", ")])
+
+    dealt = families(units).select("doc_id", "family", "unit", "heading_path", "text").repartition("doc_id", "family").sortWithinPartitions("doc_id", "family", "unit")
+    return dealt.mapInPandas(pack, DOC_CHUNKS)
+
+
+def parents(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:
+    """doc_id, seq, parent from (doc_id, seq, heading_path, tokens): chunks in a row under one heading share a parent of at most ``most`` tokens.
+
+    A fold over a document's chunks (numbers alone, not their texts) carries the open parent.
+    """
+    entry = F.struct("seq", F.concat_ws("\x01", "heading_path").alias("key"), "tokens")
+    rows = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("cs"))
+    out = "array<struct<seq:int,parent:int>>"
+    start = F.struct(F.lit(0).alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("held"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["key"].eqNullSafe(c["key"]) & (acc["held"] + c["tokens"] <= most)
+        parent = F.when(same, acc["parent"]).otherwise(acc["parent"] + 1)
+        held = F.when(same, acc["held"] + c["tokens"]).otherwise(c["tokens"].cast("long"))
+        return F.struct(parent.alias("parent"), c["key"].alias("key"), held.alias("held"), F.array_append(acc["out"], F.struct(c["seq"].cast("int").alias("seq"), parent.alias("parent"))).cast(out).alias("out"))
+
+    return rows.select("doc_id", F.explode(F.aggregate("cs", start, step, lambda a: a["out"])).alias("p")).select("doc_id", "p.seq", "p.parent")
+
+
+def parent_chunks(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:
+    """doc_id, parent, n_chunks, content, heading_path from (doc_id, seq, heading_path, tokens, content)."""
+    placed = chunks.join(parents(chunks, most), ["doc_id", "seq"])
+    piece = F.sort_array(F.collect_list(F.struct("seq", "content", "heading_path"))).alias("p")
+    return placed.groupBy("doc_id", "parent").agg(piece).select("doc_id", "parent", F.size("p").alias("n_chunks"), F.array_join(F.transform("p", lambda x: x["content"]), "\n\n").alias("content"), F.get("p", F.lit(0))["heading_path"].alias("heading_path"))

@@ -6,15 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 RRF_K, DENSE_K, LEXICAL_K, IDENTIFIER_K, FUSED = 60, 40, 40, 20, 20
 STRONG_LEXICAL, PRESENCE_FLOOR, DENSE_FLOOR = 0.4, 0.45, 0.55
-#: Query vectors that one pass over the chunk vectors carries.
-QUERY_BLOCK = 4096
+#: Scores of an identifier found in a chunk, its symbol's name, within that name, within the path.
+OVERLAP, SYMBOL, IN_SYMBOL, IN_PATH, EXACT = 1.0, 0.9, 0.6, 0.6, 0.9
+#: Numbers in the query matrix that one pass over the chunk vectors carries (8 bytes each).
+MATRIX = 4_000_000
+#: Query terms and identifiers that are broadcast; a batch with more is joined by a shuffle (terms) or in blocks.
+MOST_BROADCAST = 500_000
+# Columns that a search may be filtered by, and the source types of a scope.
+FIELDS = {"version_id", "document_id", "symbol_name", "chunk_type", "project_id", "source_type"}
+SCOPES = {"documents": ["document"], "images": ["image"], "code": ["repository", "directory", "archive"]}
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -23,38 +30,70 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def filters(asked: dict, fields: set[str] = FIELDS) -> list[Column]:
+    """Conditions of a search: equal or in a list; ``document_ids`` means document_id; empty, null and unknown ones are left out.
+
+    ``scope`` stands for its source types unless ``source_type`` is asked for itself; ``all`` asks for nothing.
+    """
+    asked = {k: v for k, v in asked.items() if v is not None and v != "" and v != []}
+    if "document_ids" in asked:
+        asked["document_id"] = asked.pop("document_ids")
+    if "source_type" not in asked and asked.get("scope") in SCOPES:
+        asked["source_type"] = SCOPES[asked["scope"]]
+    return [F.col(k).isin(v) if isinstance(v, (list, tuple, set)) else F.col(k) == v for k, v in sorted(asked.items()) if k in fields]
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
     """qid, chunk_id, score, rank by cosine; exact.
 
-    vectors (chunk_id, embedding), queries (qid, embedding). Each block of query vectors goes to all tasks as one
-    matrix; a task keeps its own k best for each query, so the shuffle carries k rows a task and query.
-    Vectors of length 0 or null match nothing.
+    vectors (chunk_id, embedding), queries (qid, embedding): a stated query set against all rows, in blocks of
+    MATRIX numbers. A block goes to all tasks as one matrix; a task merges each Arrow batch into its k best of each
+    query, so the shuffle carries k rows a task and query. Vectors of length 0, null ones, and those of another
+    length than the first query's match nothing.
     """
+    asked = queries.where("embedding is not null and size(embedding) > 0").select("qid", "embedding")
     out, block = None, []
 
     def searched(rows: list) -> DataFrame:
+        size = len(rows[0].embedding) if rows else 0
+        rows = [r for r in rows if len(r.embedding) == size and None not in r.embedding]
         ids = np.array([r.qid for r in rows], np.int64)
-        matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), size)
         length = np.linalg.norm(matrix, axis=1)
         ids, matrix = ids[length > 0], matrix[length > 0] / length[length > 0, None]
 
+        def best(chunk: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The k best of each row of scores (queries x chunks) by score, then chunk."""
+            if score.shape[1] > k:
+                # all that reach the k-th score are kept, so ties are decided by the chunk alone
+                least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                reach = int((score >= least).sum(axis=1).max())
+                at = np.argpartition(-score, reach - 1, axis=1)[:, :reach] if reach < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                chunk, score = np.take_along_axis(chunk, at, 1), np.take_along_axis(score, at, 1)
+            order = np.lexsort((chunk, -score), axis=1)[:, :k]
+            return np.take_along_axis(chunk, order, 1), np.take_along_axis(score, order, 1)
+
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
-                column = batch.column("embedding")
-                m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                m = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, size)
                 norm = np.linalg.norm(m, axis=1)
                 keep = norm > 0
-                chunk = batch.column("chunk_id").to_numpy()[keep]
-                score = np.round((m[keep] / norm[keep, None]) @ matrix.T, 6)
-                for q in range(len(ids)):
-                    top = np.lexsort((chunk, -score[:, q]))[:k]
-                    yield pa.record_batch([pa.array(np.full(len(top), ids[q])), pa.array(chunk[top]), pa.array(score[top, q])], ["qid", "chunk_id", "score"])
+                here = np.round(matrix @ (m[keep] / norm[keep, None]).T, 6)
+                names = np.broadcast_to(batch.column("chunk_id").to_numpy()[keep], here.shape)
+                chunk, score = best(np.concatenate((chunk, names), 1), np.concatenate((score, here), 1))
+            yield pa.record_batch([pa.array(np.repeat(ids, chunk.shape[1])), pa.array(chunk.ravel()), pa.array(score.ravel())], ["qid", "chunk_id", "score"])
 
-        return vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(local, "qid long, chunk_id long, score double")
+        same = vectors.where((F.size("embedding") == size) & ~F.exists("embedding", lambda x: x.isNull()))
+        return same.select("chunk_id", "embedding").mapInArrow(local, "qid long, chunk_id long, score double")
 
-    for row in queries.where("embedding is not null").select("qid", "embedding").toLocalIterator():
+    for row in asked.toLocalIterator():
         block.append(row)
-        if len(block) == QUERY_BLOCK:
+        if len(block) * len(block[0].embedding) >= MATRIX:
             out, block = searched(block) if out is None else out.unionByName(searched(block)), []
     if block or out is None:
         out = searched(block) if out is None else out.unionByName(searched(block))
@@ -67,26 +106,70 @@ def merge_sources(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"), F.max_by("source", F.struct("score", -F.col("source"))).alias("source"))
 
 
+def cover_density(hits: Column, n_terms: Column) -> Column:
+    """The sum of 1 / length over minimal covers: stretches with all terms that hold no shorter such stretch.
+
+    ``hits``: (at, term) by place, terms from 0. A fold keeps where each term stood last; at each hit the shortest
+    stretch that ends there begins at the earliest of these, and is a minimal cover if none that ended before began there.
+    """
+    start = F.struct(F.transform(F.sequence(F.lit(1), n_terms), lambda i: F.lit(-1)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("score"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, i: F.when(i == hit["term"], hit["at"]).otherwise(x))
+        begin = F.array_min(last)
+        new = begin > acc["from"]
+        return F.struct(last.alias("last"), F.when(new, begin).otherwise(acc["from"]).alias("from"), F.when(new, acc["score"] + 1.0 / (hit["at"] - begin + 1)).otherwise(acc["score"]).alias("score"))
+
+    return F.aggregate(hits, start, step, lambda a: a["score"])
+
+
 def lexical(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_K) -> DataFrame:
-    """qid, chunk_id, score, rank: chunks with every term of the query; score = occurrences of terms per lexeme.
+    """qid, chunk_id, score, rank: chunks with every term of the query, by cover density.
 
-    An inverted-index join on terms: only occurrences of terms that some query has leave the scanning side.
+    Words that no query asks for leave in the scanning task, where they meet the queries' terms (broadcast if they are
+    few). What is left is gathered by chunk. A chunk is matched to a query by the query's rarest term alone, and
+    holds all its terms or is dropped in place.
     """
-    wanted = queries.select("qid", T.query_terms(F.col("text")).alias("terms")).withColumn("n_terms", F.size("terms"))
-    wanted = wanted.select("qid", "n_terms", F.explode("terms").alias("term"))
-    split = chunks.select("chunk_id", T.lexemes(F.col("text")).alias("w"))
-    occurs = split.select("chunk_id", F.size("w").alias("n_words"), F.explode("w").alias("term"))
-    counted = occurs.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = counted.join(wanted, "term").groupBy("qid", "n_terms", "chunk_id", "n_words").agg(F.count(F.lit(1)).alias("met"), F.sum("tf").alias("tf"))
-    return ranked(hits.where("met = n_terms").select("qid", "chunk_id", F.round(F.col("tf") / F.col("n_words"), 6).alias("score")), k)
+    asked = queries.select("qid", T.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    terms = asked.select(F.explode("terms").alias("word")).distinct()
+    split = chunks.select("chunk_id", F.posexplode(T.lexemes(F.col("text"))).alias("at", "word"))
+    met = split.join(F.broadcast(terms) if _few(terms) else terms, "word")
+    held = met.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("hits"))
+    held = held.select("chunk_id", "hits", F.array_distinct(F.transform("hits", lambda h: h["word"])).alias("words"))
+    seen = held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    each = asked.select("qid", "terms", F.explode("terms").alias("word")).join(seen, "word", "left")
+    rarest = each.groupBy("qid", "terms").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("least"))
+    rarest = rarest.where("least.df > 0").select("qid", "terms", F.col("least.word").alias("word"))
+    pairs = held.select("chunk_id", "hits", "words", F.explode("words").alias("word")).join(rarest, "word")
+    whole = pairs.where(F.size(F.array_except("terms", "words")) == 0)
+    mine = F.filter(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), (F.array_position("terms", h["word"]) - 1).cast("int").alias("term"))), lambda h: h["term"] >= 0)
+    scored = whole.select("qid", "chunk_id", mine.alias("hits"), F.size("terms").alias("n"))
+    return ranked(scored.select("qid", "chunk_id", F.round(cover_density(F.col("hits"), F.col("n")), 6).alias("score")), k)
 
 
 def by_identifier(chunks: DataFrame, queries: DataFrame, k: int = IDENTIFIER_K) -> DataFrame:
-    """qid, chunk_id, score, rank: chunks that share an identifier with the query."""
+    """qid, chunk_id, score, rank: chunks that hold an identifier of the query, by the best way it is held.
+
+    chunks (chunk_id, text, and symbol and path where there are such columns): OVERLAP if an identifier is among the
+    chunk's own, SYMBOL if it is the symbol's name in any case, IN_SYMBOL or IN_PATH if it stands within these (``_`` and
+    ``%`` as in LIKE). Whole matches are joins by equality; parts are sought for the stated query set in blocks.
+    """
     wanted = queries.select("qid", F.explode(T.identifiers(F.col("text"))).alias("token")).distinct()
-    has = chunks.select("chunk_id", F.explode(T.identifiers(F.col("text"))).alias("token"))
-    hits = has.join(wanted, "token").select("qid", "chunk_id").distinct().withColumn("score", F.lit(1.0))
-    return ranked(hits, k)
+    own = chunks.select("chunk_id", F.explode(T.identifiers(F.col("text"))).alias("token"))
+    hits = own.join(wanted, "token").select("qid", "chunk_id", F.lit(OVERLAP).alias("score"))
+    columns = [c for c in ("symbol", "path") if c in chunks.columns]
+    if "symbol" in columns:
+        named = chunks.where("symbol is not null").select("chunk_id", F.lower("symbol").alias("token"))
+        hits = hits.unionByName(named.join(wanted.withColumn("token", F.lower("token")), "token").select("qid", "chunk_id", F.lit(SYMBOL).alias("score")))
+    if columns:
+        tokens = wanted.select("qid", F.concat(F.lit("%"), F.lower("token"), F.lit("%")).alias("like"))
+        blocks = 1 if _few(tokens) else -(-tokens.count() // MOST_BROADCAST)
+        within = F.greatest(*[F.when(F.like(F.lower(c), F.col("like")), F.lit(s)).otherwise(F.lit(0.0)) for c, s in (("symbol", IN_SYMBOL), ("path", IN_PATH)) if c in columns], F.lit(0.0))
+        for block in range(blocks):
+            here = tokens.where(F.pmod(F.xxhash64("like"), F.lit(blocks)) == block)
+            near = chunks.select("chunk_id", *columns).join(F.broadcast(here), T.any_of([F.coalesce(F.like(F.lower(c), F.col("like")), F.lit(False)) for c in columns]))
+            hits = hits.unionByName(near.select("qid", "chunk_id", within.alias("score")))
+    return ranked(hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -121,13 +204,78 @@ def answerable(signals: DataFrame) -> DataFrame:
     return signals.withColumn("reason", reason).withColumn("answerable", F.col("reason").isin("lexical_or_identifier", "term_presence", "dense"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, window: int = FUSED) -> DataFrame:
-    """qid, chunk_id, rank, score, sources: the whole retrieval for a batch of queries."""
-    lists = [
-        f(*a).select("qid", "chunk_id", "rank", F.lit(name).alias("source"))
-        for name, f, a in (("dense", dense, (vectors, queries)), ("lexical", lexical, (chunks, queries)), ("identifier", by_identifier, (chunks, queries)))
-    ]
-    fused = fuse(lists[0].unionByName(lists[1]).unionByName(lists[2])).where(F.col("rank") <= window)
-    kept = dedupe(fused, chunks.select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")))
+def kept_by_reranker(fused: DataFrame, scores: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """``fused`` in a reranker's order: the k best of those it scored (qid, chunk_id, rerank); without scores the k first as they are.
+
+    Chunks it left out are dropped, scores of chunks that weren't asked for are skipped, and what is no number counts as 0.
+    """
+    if scores is None:
+        return fused.where(F.col("rank") <= k)
+    number = F.coalesce(F.col("rerank").try_cast("double"), F.lit(0.0))
+    rows = fused.drop("score").join(scores.select("qid", "chunk_id", number.alias("score")), ["qid", "chunk_id"])
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "rank", "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def evidence(final: DataFrame, lists: dict[str, DataFrame], chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, chunk_id, rank, dense, lexical, identifier, exact_identifier, presence of each chunk of the final list.
+
+    ``lists``: what the dense, lexical and identifier searches gave. Presence: a significant term of the query stands in the chunk's text.
+    """
+    rows = final.select("qid", "chunk_id", "rank")
+    for name in ("dense", "lexical", "identifier"):
+        rows = rows.join(lists[name].select("qid", "chunk_id", F.col("score").alias(f"{name}_score")), ["qid", "chunk_id"], "left")
+    texts = rows.select("chunk_id").distinct().join(chunks.select("chunk_id", "text"), "chunk_id")
+    rows = rows.join(texts, "chunk_id", "left").join(queries.select("qid", T.significant_terms(F.col("text")).alias("terms")), "qid", "left")
+    return rows.select(
+        "qid", "chunk_id", "rank", F.col("dense_score").alias("dense"), F.col("lexical_score").alias("lexical"), F.col("identifier_score").isNotNull().alias("identifier"),
+        F.coalesce(F.col("identifier_score") >= EXACT, F.lit(False)).alias("exact_identifier"), F.coalesce(T.has_any_term(F.col("text"), F.col("terms")), F.lit(False)).alias("presence"),
+    )
+
+
+def fallback_evidence(candidates: DataFrame) -> DataFrame:
+    """The same columns where only fused candidates (qid, chunk_id, rank, score, source) are known."""
+    of = lambda name: F.when(F.col("source") == name, F.col("score")).alias(name)
+    found = F.col("source") == "identifier"
+    return candidates.select("qid", "chunk_id", "rank", of("dense"), of("lexical"), found.alias("identifier"), (found & (F.col("score") >= EXACT)).alias("exact_identifier"), F.lit(False).alias("presence"))
+
+
+def signals(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """What ``answerable`` asks of each query: the best scores, whether anything shows, and the number of chunks."""
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    best = rows.groupBy("qid").agg(F.max("dense").alias("dense"), F.max("lexical").alias("lexical"), any_("exact_identifier"), any_("presence"), F.count(F.lit(1)).alias("n"))
+    found = queries.select("qid", T.is_smalltalk(F.coalesce("text", F.lit(""))).alias("smalltalk")).join(best, "qid", "left")
+    return found.select("qid", "smalltalk", "dense", "lexical", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("exact_identifier", "presence")], F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def stages(**tables: DataFrame) -> DataFrame:
+    """stage, qid, chunk_id, rank, score: every stage's list under its name, to see what each one did."""
+    rows = None
+    for name, table in tables.items():
+        score = F.col("score") if "score" in table.columns else F.lit(None).cast("double")
+        one = table.select(F.lit(name).alias("stage"), "qid", "chunk_id", "rank", score.alias("score"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def searched(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -> dict[str, DataFrame]:
+    """The three lists of a batch of queries."""
+    return {"dense": dense(vectors, queries), "lexical": lexical(chunks, queries), "identifier": by_identifier(chunks, queries)}
+
+
+def fused_window(lists: dict[str, DataFrame], chunks: DataFrame, window: int = FUSED) -> DataFrame:
+    """qid, chunk_id, rank, score, sources: the lists fused, cut, without equal contents. Only chunks of the window are hashed."""
+    ranks = None
+    for name, found in lists.items():
+        one = found.select("qid", "chunk_id", "rank", F.lit(name).alias("source"))
+        ranks = one if ranks is None else ranks.unionByName(one)
+    fused = fuse(ranks).where(F.col("rank") <= window)
+    hits = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    kept = dedupe(fused, hits.select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")))
     order = Window.partitionBy("qid").orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(order)).select("qid", "chunk_id", "rank", "score", "sources")
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, window: int = FUSED) -> DataFrame:
+    """qid, chunk_id, rank, score, sources: the whole retrieval for a batch of queries."""
+    return fused_window(searched(chunks, vectors, queries), chunks, window)

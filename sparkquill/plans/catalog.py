@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, retrieval, snapshots
+from ..operators import chunking, evaluation, retrieval, snapshots, symbols
 from ..sources import files
 from ..streaming import events as E
 
@@ -54,20 +54,48 @@ _DENSE = """
 dense AS (SELECT * FROM (SELECT q.item_id AS qid, c.vec_id AS chunk_id, round(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
    , row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS rank
    FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id CROSS JOIN embeddings c) WHERE rank <= 40)"""
-_LEXICAL = f"""{_TERMS},
-d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-o AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
-tf AS (SELECT doc_id, n, term, count(*) AS tf FROM o GROUP BY ALL),
-t AS (SELECT qid, len(terms) AS k, unnest(terms) AS term FROM q),
-h AS (SELECT qid, k, doc_id, n, count(*) AS met, sum(tf) AS tf FROM tf JOIN t USING (term) GROUP BY ALL),
-lexical AS (SELECT * FROM (SELECT qid, doc_id AS chunk_id, round(tf / n, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(tf / n, 6) DESC, doc_id) AS rank
-   FROM h WHERE met = k) WHERE rank <= 40)"""
+def lexical_sql(asked: str = "q") -> str:
+    """Cover density: of each place where a query's word stands, where its other words stood last."""
+    return f"""
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    o AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place FROM d),
+    t AS (SELECT qid, len(terms) AS k, unnest(terms) AS term FROM {asked}),
+    h AS (SELECT qid, k, doc_id, place, term FROM o JOIN t USING (term)),
+    whole AS (SELECT qid, doc_id FROM h GROUP BY qid, doc_id, k HAVING count(DISTINCT term) = k),
+    g AS (SELECT h.* FROM h JOIN whole USING (qid, doc_id)),
+    l AS (SELECT a.qid, a.doc_id, a.k, a.place AS z, b.term, max(b.place) AS last FROM g a JOIN g b ON a.qid = b.qid AND a.doc_id = b.doc_id AND b.place <= a.place GROUP BY ALL),
+    c AS (SELECT qid, doc_id, z, min(last) AS a FROM l GROUP BY qid, doc_id, k, z HAVING count(*) = k),
+    m AS (SELECT qid, doc_id, a, min(z) AS z FROM c GROUP BY ALL),
+    s AS (SELECT qid, doc_id AS chunk_id, round(sum(1.0::DOUBLE / (z - a + 1)), 6) AS score FROM m GROUP BY ALL),
+    lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 40)"""
+
+
+_LEXICAL = f"{_TERMS},{lexical_sql()}"
 _FUSED = """
 u AS (SELECT qid, chunk_id, rank, 'dense' AS source FROM dense UNION ALL SELECT qid, chunk_id, rank, 'lexical' FROM lexical),
 f AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id::VARCHAR) AS rank FROM f)"""
 
 
+_WINDOW = """
+x AS (SELECT r.*, CASE WHEN doc_id IS NOT NULL THEN md5(coalesce(text, '')) END AS hash FROM r LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid, hash ORDER BY rank) AS nth FROM x),
+final AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, score, sources FROM y WHERE nth = 1 OR hash IS NULL)"""
+_SIGNIFICANT = f"""
+kept AS (SELECT qid, list_filter(w, lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)) AS w FROM k),
+sig AS (SELECT qid, list_distinct(list_concat(w, list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN regexp_full_match(w[i], '\\p{{L}}+') AND regexp_full_match(w[i + 1], '\\p{{L}}+') THEN w[i] || w[i + 1] END), lambda t: t IS NOT NULL))) AS terms FROM kept)"""
+# The test items hold no identifiers; the search for them is compared in identifier_search.
+_EVIDENCE = """
+e AS (SELECT f.qid, f.chunk_id, f.rank, d.score AS dense, l.score AS lexical, false AS identifier, false AS exact_identifier,
+        coalesce(len(list_filter(sig.terms, lambda t: contains(lower(doc.text), t))) > 0, false) AS presence
+      FROM final f LEFT JOIN dense d ON d.qid = f.qid AND d.chunk_id = f.chunk_id LEFT JOIN lexical l ON l.qid = f.qid AND l.chunk_id = f.chunk_id
+      LEFT JOIN sig ON sig.qid = f.qid LEFT JOIN documents doc ON doc.doc_id = f.chunk_id)"""
+_SMALL = r"""
+sm AS (SELECT item_id AS qid, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[‘’“”]', chr(39), 'g'), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM benchmark),
+smalltalk AS (SELECT qid, t = '' OR (list_any_value(list_filter(list_transform(%s, lambda k: contains(t, k)), lambda b: b)) IS NOT NULL
+  AND NOT (length(t) >= 20 AND len(list_filter(string_split(t, ' '), lambda x: length(x) > 1 AND NOT list_contains(%s, x))) > 0)) AS smalltalk FROM sm)""" % (str(T.GREETINGS), str(T.SOCIAL_ONLY))
+
+
 @query(f"WITH {_DENSE.strip()} SELECT qid, chunk_id, score, rank FROM dense")
 def dense_batch_topk(spark, sf_dir):
     return retrieval.dense(vectors(spark, sf_dir), queries_(spark, sf_dir))
@@ -78,6 +106,13 @@ def lexical_search(spark, sf_dir):
     return retrieval.lexical(chunks(spark, sf_dir), queries_(spark, sf_dir))
 
 
+@query(f"WITH {_TERMS.strip()}, two AS (SELECT qid, list_sort(terms)[1:2] AS terms FROM q WHERE len(terms) > 0),{lexical_sql('two')} SELECT qid, chunk_id, score, rank FROM lexical")
+def lexical_ranked(spark, sf_dir):
+    """Two words of each item, so that many documents hold them, apart or side by side."""
+    two = queries_(spark, sf_dir).select("qid", F.array_join(F.slice(F.sort_array(T.query_terms(F.col("text"))), 1, 2), " ").alias("text"))
+    return retrieval.lexical(chunks(spark, sf_dir), two)
+
+
 @query(f"WITH {_DENSE.strip()}, {_LEXICAL.strip()}, {_FUSED.strip()} SELECT qid, chunk_id, score, sources, rank FROM r")
 def rrf_fusion(spark, sf_dir):
     q = queries_(spark, sf_dir)
@@ -87,10 +122,7 @@ def rrf_fusion(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_DENSE.strip()}, {_LEXICAL.strip()}, {_FUSED.strip()},
-    x AS (SELECT r.*, CASE WHEN doc_id IS NOT NULL THEN md5(coalesce(text, '')) END AS hash FROM r LEFT JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
-    y AS (SELECT *, row_number() OVER (PARTITION BY qid, hash ORDER BY rank) AS nth FROM x)
-    SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, score, sources FROM y WHERE nth = 1 OR hash IS NULL"""
+    f"WITH {_DENSE.strip()}, {_LEXICAL.strip()}, {_FUSED.strip()}, {_WINDOW.strip()} SELECT qid, chunk_id, rank, score, sources FROM final"
 )
 def hybrid_search(spark, sf_dir):
     return retrieval.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), queries_(spark, sf_dir))
@@ -118,21 +150,42 @@ def query_terms(spark, sf_dir):
     return queries_(spark, sf_dir).select("qid", F.sort_array(T.query_terms(F.col("text"))).alias("terms"))
 
 
-@query()
-def identifier_search(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.col("html").alias("text"))
-    asked = read(spark, sf_dir, "pages").where("page_id % 20 = 0").select(F.col("page_id").alias("qid"), F.col("url").alias("text"))
-    return retrieval.by_identifier(pages, asked)
+def _identifiers_sql(text: str) -> str:
+    """The seven patterns without look-around, which this dialect lacks: a word's edge, and a bracket that is cut off again."""
+    plain = [
+        r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*){1,}\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
+        r"\b[A-Z][A-Z0-9]*\d+[A-Z0-9]*\b", r"\b[A-Za-z_]\w*(?:Error|Exception)\b",
+    ]
+    found = [f"regexp_extract_all({text}, '{p}')" for p in plain] + [f"list_transform(regexp_extract_all({text}, '\\b[a-z_][a-zA-Z0-9]*\\('), lambda x: x[:-2])"]
+    out = found[0]
+    for more in found[1:]:
+        out = f"list_concat({out}, {more})"
+    return f"list_distinct(list_filter({out}, lambda t: length(t) >= 2))"
 
 
 @query(
-    r"""SELECT page_id, list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(url, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b'), regexp_extract_all(url, '\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b')),
-    lambda t: length(t) >= 2))) AS found FROM pages"""
+    f"""WITH a AS (SELECT page_id AS qid, unnest({_identifiers_sql("coalesce(url, '')")}) AS token FROM pages WHERE page_id % 20 = 0),
+    own AS (SELECT page_id AS chunk_id, unnest({_identifiers_sql("coalesce(html, '')")}) AS token FROM pages),
+    n AS (SELECT page_id AS chunk_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS symbol, lower(url) AS path FROM pages),
+    h AS (SELECT qid, chunk_id, 1.0 AS score FROM own JOIN a USING (token) UNION ALL SELECT qid, chunk_id, 0.9 FROM n JOIN a ON symbol = lower(token)
+      UNION ALL SELECT qid, chunk_id, 0.6 FROM n JOIN a ON symbol LIKE '%' || lower(token) || '%' OR path LIKE '%' || lower(token) || '%'),
+    b AS (SELECT qid, chunk_id, max(score)::DOUBLE AS score FROM h GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 20"""
 )
+def identifier_search(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    held = pages.select(F.col("page_id").alias("chunk_id"), F.col("html").alias("text"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("symbol"), F.col("url").alias("path"))
+    return retrieval.by_identifier(held, pages.where("page_id % 20 = 0").select(F.col("page_id").alias("qid"), F.col("url").alias("text")))
+
+
+@query(f"SELECT page_id, list_sort({_identifiers_sql('x')}) AS found FROM (SELECT page_id, concat(url, ' ', html) AS x FROM pages)")
 def identifier_extract(spark, sf_dir):
-    url = F.col("url")
-    found = F.concat(*[F.regexp_extract_all(url, F.lit(T.IDENTIFIERS[i]), F.lit(0)) for i in (1, 3)])
-    return read(spark, sf_dir, "pages").select("page_id", F.sort_array(F.array_distinct(found)).alias("found"))
+    return read(spark, sf_dir, "pages").select("page_id", F.sort_array(T.identifiers(F.concat_ws(" ", "url", "html"))).alias("found"))
+
+
+@query(f"WITH {_TERMS.strip()}, {_SIGNIFICANT.strip()} SELECT qid, list_sort(terms) AS terms FROM sig")
+def significant_terms(spark, sf_dir):
+    return queries_(spark, sf_dir).select("qid", F.sort_array(T.significant_terms(F.col("text"))).alias("terms"))
 
 
 @query(
@@ -147,29 +200,33 @@ def smalltalk_flags(spark, sf_dir):
     return c.select("conv_id", "turn", T.is_smalltalk(F.coalesce("text", F.lit(""))).alias("smalltalk"))
 
 
-@query(
-    f"""WITH {_TERMS.strip()}, t AS (SELECT qid, unnest(terms) AS term FROM q), d AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents),
-    o AS (SELECT doc_id, unnest(w) AS term FROM d) SELECT qid, count(DISTINCT doc_id) AS n_docs FROM t JOIN o USING (term) GROUP BY qid"""
-)
+@query(f"WITH {_TERMS.strip()}, t AS (SELECT qid, unnest(list_sort(terms)[1:3]) AS term FROM q) SELECT qid, count(DISTINCT doc_id) AS n_docs FROM t JOIN documents ON contains(lower(text), term) GROUP BY qid")
 def term_presence(spark, sf_dir):
-    wanted = queries_(spark, sf_dir).select("qid", F.explode(T.query_terms(F.col("text"))).alias("term"))
-    has = chunks(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct(T.lexemes(F.col("text")))).alias("term"))
-    return wanted.join(has, "term").groupBy("qid").agg(F.count_distinct("chunk_id").alias("n_docs"))
+    """How many documents hold one of three words of an item, inside words too; the items are a stated query set, broadcast as it is small."""
+    wanted = queries_(spark, sf_dir).select("qid", F.slice(F.sort_array(T.query_terms(F.col("text"))), 1, 3).alias("terms"))
+    texts = chunks(spark, sf_dir).select("chunk_id", F.lower("text").alias("text"))
+    return texts.join(F.broadcast(wanted), T.has_any_term(F.col("text"), F.col("terms"))).groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _evidence(spark, sf_dir):
+    q, c = queries_(spark, sf_dir), chunks(spark, sf_dir)
+    lists = retrieval.searched(c, vectors(spark, sf_dir), q)
+    return retrieval.evidence(retrieval.fused_window(lists, c), lists, c, q)
+
+
+@query(f"WITH {_DENSE.strip()}, {_LEXICAL.strip()}, {_FUSED.strip()}, {_WINDOW.strip()}, {_SIGNIFICANT.strip()}, {_EVIDENCE.strip()} SELECT * FROM e")
+def evidence_signals(spark, sf_dir):
+    return _evidence(spark, sf_dir)
 
 
 @query(
-    f"""WITH {_DENSE.strip()}, {_LEXICAL.strip()}, s AS (SELECT b.item_id AS qid, (SELECT max(score) FROM dense WHERE qid = b.item_id) AS dense, (SELECT max(score) FROM lexical WHERE qid = b.item_id) AS lexical,
-      (SELECT count(*) FROM dense WHERE qid = b.item_id) AS n FROM benchmark b)
-    SELECT qid, CASE WHEN n = 0 AND lexical IS NULL THEN 'no_evidence' WHEN coalesce(lexical, 0) >= 0.4 THEN 'lexical_or_identifier'
-      WHEN lexical IS NOT NULL AND coalesce(dense, 0) >= 0.45 THEN 'term_presence' WHEN n >= 1 AND coalesce(dense, 0) >= 0.55 THEN 'dense' ELSE 'insufficient' END AS reason FROM s"""
+    f"""WITH {_DENSE.strip()}, {_LEXICAL.strip()}, {_FUSED.strip()}, {_WINDOW.strip()}, {_SIGNIFICANT.strip()}, {_EVIDENCE.strip()}, {_SMALL.strip()},
+    b AS (SELECT qid, max(dense) AS dense, max(lexical) AS lexical, bool_or(presence) AS presence, count(*) AS n FROM e GROUP BY qid)
+    SELECT qid, CASE WHEN smalltalk THEN 'smalltalk' WHEN n IS NULL THEN 'no_evidence' WHEN coalesce(lexical, 0) >= 0.4 THEN 'lexical_or_identifier'
+      WHEN presence AND coalesce(dense, 0) >= 0.45 THEN 'term_presence' WHEN coalesce(dense, 0) >= 0.55 THEN 'dense' ELSE 'insufficient' END AS reason FROM smalltalk LEFT JOIN b USING (qid)"""
 )
 def answerability(spark, sf_dir):
-    q = queries_(spark, sf_dir)
-    best = lambda rows, name: rows.groupBy("qid").agg(F.max("score").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
-    d, l = best(retrieval.dense(vectors(spark, sf_dir), q), "dense"), best(retrieval.lexical(chunks(spark, sf_dir), q), "lexical")  # noqa: E741
-    rows = q.select("qid").join(d, "qid", "left").join(l, "qid", "left")
-    signals = rows.select("qid", "dense", "lexical", (F.coalesce("n_dense", F.lit(0)) + F.coalesce("n_lexical", F.lit(0))).alias("n"), F.lit(False).alias("smalltalk"), F.lit(False).alias("exact_identifier"), F.col("lexical").isNotNull().alias("presence"))
-    return retrieval.answerable(signals).select("qid", "reason")
+    return retrieval.answerable(retrieval.signals(queries_(spark, sf_dir), _evidence(spark, sf_dir))).select("qid", "reason")
 
 
 @query(
@@ -177,17 +234,20 @@ def answerability(spark, sf_dir):
     n AS (SELECT e.vec_id AS qid, count(*) AS n FROM embeddings e JOIN embeddings c USING (label) GROUP BY 1),
     m AS (SELECT qid, n, max((rank <= 1 AND relevant)::INT) AS h1, max((rank <= 3 AND relevant)::INT) AS h3, max((rank <= 5 AND relevant)::INT) AS h5,
       coalesce(1.0 / min(rank) FILTER (relevant), 0) AS rr, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) AS g FROM l JOIN n USING (qid) GROUP BY ALL),
-    i AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda x: 1 / log2(x + 1))) AS ideal FROM m)
+    i AS (SELECT item_id AS qid, coalesce(h1, 0) AS h1, coalesce(h3, 0) AS h3, coalesce(h5, 0) AS h5, coalesce(rr, 0) AS rr, coalesce(g, 0) AS g, list_sum(list_transform(range(1, coalesce(m.n, 1) + 1), lambda x: 1 / log2(x + 1))) AS ideal FROM benchmark LEFT JOIN m ON m.qid = item_id)
     SELECT round(avg(h1), 6) AS recall_1, round(avg(h3), 6) AS recall_3, round(avg(h5), 6) AS recall_5, round(avg(rr), 6) AS mrr_10, round(avg(g / ideal), 6) AS ndcg_10,
-      round(avg(h5), 6) >= 0.85 AND round(avg(rr), 6) >= 0.75 AS passed FROM i"""
+      round(avg(h5), 6) >= 0.85 AND round(avg(rr), 6) >= 0.75 AS passed,
+      list_filter([CASE WHEN round(avg(h5), 6) < 0.85 THEN format('recall_5 {{:.3f}} < 0.85', round(avg(h5), 6)) END, CASE WHEN round(avg(rr), 6) < 0.75 THEN format('mrr_10 {{:.3f}} < 0.75', round(avg(rr), 6)) END], lambda x: x IS NOT NULL) AS reasons FROM i"""
 )
 def quality_gate(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     found = retrieval.dense(vectors(spark, sf_dir), queries_(spark, sf_dir), 10)
     of = lambda key, name: e.select(F.col("vec_id").alias(key), F.col("label").alias(name))
     n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
-    rows = found.join(of("chunk_id", "cl"), "chunk_id").join(of("qid", "ql"), "qid").join(n.withColumnRenamed("label", "ql"), "ql")
-    return evaluation.gate(evaluation.summary(evaluation.per_query(rows.withColumn("relevant", F.col("cl") == F.col("ql")))))
+    n_relevant = of("qid", "label").join(n, "label").select("qid", "n_relevant")
+    rows = found.join(of("chunk_id", "cl"), "chunk_id").join(of("qid", "ql"), "qid").withColumn("relevant", F.col("cl") == F.col("ql"))
+    every = evaluation.with_all(queries_(spark, sf_dir).select("qid"), rows, n_relevant)
+    return evaluation.gate(evaluation.summary(evaluation.per_query(every)))
 
 
 @query(
@@ -218,21 +278,60 @@ def redact_secrets(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted"), T.contains_secret(F.col("text")).alias("has_secret"))
 
 
-@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, $p$(?i){p}$p$) THEN '{n}' END" for n, p in T.INJECTIONS.items()) + "], lambda x: x IS NOT NULL) AS matches FROM documents")
+@query(
+    r"""WITH r(k, name, p) AS (VALUES (1, 'system_role_override', '<\|im_start\|>system'), (2, 'system_role_override2', '<\|system\|>'), (3, 'system_role_override3', '<\|endoftext\|>'),
+      (4, 'pretend_system', 'you\s+are\s+now\s+(the\s+)?system'), (5, 'act_as_system', 'role\s*[:=]\s*system'), (6, 'new_system_prompt', 'set(ting)?\s+your\s+system\s+prompt'),
+      (7, 'ignore_prior', 'ignore\s+(all\s+)?((the|my|your)\s+)?(previous|prior|above)\s+instructions'), (8, 'ignore_earlier', 'disregard\s+(all\s+)?(previous|prior|above)\s+(instructions|guidelines)'),
+      (9, 'forget_context', 'forget\s+(everything|all\s+(previous|prior)\s+(context|instructions))'), (10, 'reveal_system_prompt', '(reveal|show|print|expose|repeat|leak)\s+((your|the)\s+)?system\s+prompt'),
+      (11, 'reveal_cot', '(show|reveal|explain|output)\s+(your|the)\s+(chain\s+of\s+thought|reasoning\s+process|inner\s+monologue)'), (12, 'extract_instructions', 'what\s+are\s+your\s+internal\s+instructions'),
+      (13, 'jailbreak_dan', '\bdan\b(\s+mode)?:?\s+(do\s+anything\s+now|jailbreak)'), (14, 'developer_mode', '(developer|dev)\s+mode'),
+      (15, 'no_restrictions', 'ignore\s+(your\s+)?(safety|content)\s+(policy|filters|guidelines|restrictions)'), (16, 'pretend_no_limits', 'pretend\s+you\s+(have|are\s+running\s+with)\s+no\s+restrictions')),
+    m AS (SELECT doc_id, list(name ORDER BY k) AS found FROM documents JOIN r ON regexp_matches(text, '(?i)' || p) GROUP BY doc_id)
+    SELECT doc_id, coalesce(found, []) AS matches FROM documents LEFT JOIN m USING (doc_id)"""
+)
 def injection_flags(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.injections(F.col("text")).alias("matches"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.injections(F.coalesce("text", F.lit(""))).alias("matches"))
 
 
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
-    b AS (SELECT *, sum((trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM l),
-    g AS (SELECT doc_id, island, min(n) AS a, max(n) AS z, md5(string_agg(line, chr(10) ORDER BY n)) AS h FROM b WHERE trim(line) <> '' GROUP BY ALL)
+    b AS (SELECT *, sum(regexp_full_match(line, '\s*')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM l),
+    g AS (SELECT doc_id, island, min(n) AS a, max(n) AS z, md5(string_agg(line, chr(10) ORDER BY n)) AS h FROM b WHERE NOT regexp_full_match(line, '\s*') GROUP BY ALL)
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS paragraph, a::INT AS line_start, z::INT AS line_end, h AS text_md5 FROM g"""
 )
 def paragraph_islands(spark, sf_dir):
     return chunking.paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "paragraph", "line_start", "line_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(
+    r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+    f AS (SELECT doc_id, n, line, CASE WHEN length(line) + 1 >= 500 THEN 0 ELSE length(line) + 1 END AS held, 0 AS chunk, length(line) + 1 >= 500 AS closed FROM l WHERE n = 1
+      UNION ALL SELECT l.doc_id, l.n, l.line, CASE WHEN f.held + length(l.line) + 1 >= 500 THEN 0 ELSE f.held + length(l.line) + 1 END, f.chunk + f.closed::INT, f.held + length(l.line) + 1 >= 500
+      FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1)
+    SELECT doc_id, min(n)::INT AS line_start, max(n)::INT AS line_end, md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM f GROUP BY doc_id, chunk HAVING NOT regexp_full_match(string_agg(line, chr(10) ORDER BY n), '\s*')"""
+)
+def line_chunks(spark, sf_dir):
+    return chunking.line_chunks(read(spark, sf_dir, "documents")).select("doc_id", "line_start", "line_end", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def doc_chunks(spark, sf_dir):
+    return chunking.document_chunks(symbols.markdown(read(spark, sf_dir, "documents")))
+
+
+@query(
+    """WITH RECURSIVE k AS (SELECT conv_id AS doc_id, turn AS seq, role AS heading, greatest(1, length(text) // 4) AS tokens, text FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i FROM k),
+    f AS (SELECT doc_id, seq, i, 1 AS parent, tokens AS held, heading FROM n WHERE i = 1
+      UNION ALL SELECT n.doc_id, n.seq, n.i, f.parent + (NOT (n.heading = f.heading AND f.held + n.tokens <= 60))::INT,
+        CASE WHEN n.heading = f.heading AND f.held + n.tokens <= 60 THEN f.held + n.tokens ELSE n.tokens END, n.heading FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
+    SELECT f.doc_id, parent, count(*)::INT AS n_chunks, md5(string_agg(text, chr(10) || chr(10) ORDER BY f.seq)) AS content_md5 FROM f JOIN k ON k.doc_id = f.doc_id AND k.seq = f.seq GROUP BY f.doc_id, parent"""
+)
+def parent_chunks(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.array("role").alias("heading_path"), T.naive_tokens(F.col("text")).alias("tokens"), F.col("text").alias("content"))
+    return chunking.parent_chunks(rows, 60).select("doc_id", "parent", "n_chunks", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query()
 def char_chunks(spark, sf_dir):
     return chunking.char_chunks(read(spark, sf_dir, "documents"))
@@ -366,4 +465,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import ingestion  # noqa: E402, F401  (adds its queries)
+from . import ingestion, quality  # noqa: E402, F401  (adds its queries)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Paths left out by default, and paths taken as sensitive.
 IGNORED = [
     ".git/", "node_modules/", ".venv/", "venv/", "dist/", "build/", "target/", "coverage/", ".next/", ".cache/", "vendor/", "*.min.js",
@@ -19,22 +21,63 @@ SENSITIVE = [
 ]
 
 
-def _regex(pattern: str) -> str:
-    body = fnmatch.translate(pattern.rstrip("/")).replace("(?s:", "(?:").removesuffix(r"\Z").removesuffix(r"\z").replace(".*", "[^/]*")
-    return rf"(?:^|/){body}" + ("/" if pattern.endswith("/") else "$")
+def _glob(pattern: str) -> str:
+    """A glob as a regular expression over a path: ``**`` crosses folders, ``*`` and ``?`` do not."""
+    part = re.compile(r"\*\*/?|\*|\?|\[[^\]]*\]|.", re.S)
+    turned = {"**": ".*", "**/": "(?:.*/)?", "*": "[^/]*", "?": "[^/]"}
+    return "".join(turned.get(x) or ("[^" + x[2:] if x.startswith("[!") else x if len(x) > 1 else re.escape(x)) for x in part.findall(pattern))
+
+
+def rule(line: str) -> tuple[bool, str] | None:
+    """A line of an ignore file -> (whether it ignores, regular expression over relative paths); null for comments and blank lines.
+
+    ``!`` takes back, a slash at the end means folders (what lies in them), one at the start or inside ties the pattern
+    to the root, except after ``**/``; other patterns fit at any depth. A rule for a folder fits all that lies in it.
+    """
+    text = line.strip()
+    if not text or text.startswith("#"):
+        return None
+    takes_back = text.startswith("!")
+    text = (text[1:].strip() if takes_back else text.removeprefix("\\")) or "/"
+    folders, body = text.endswith("/"), text.removesuffix("/")
+    tied = body.startswith("/") or ("/" in body and not body.startswith("**/"))
+    body = body.removeprefix("/").removeprefix("**/")
+    return (not takes_back, ("^" if tied else "(?:^|/)") + _glob(body) + ("/" if folders else "(?:/|$)")) if body else None
+
 
+def verdict(path: Column, lines: list[str]) -> Column:
+    """Whether a layer of ignore lines ignores a path: its last rule that fits decides; null where none does."""
+    out = F.lit(None).cast("boolean")
+    for found in filter(None, map(rule, lines)):
+        out = F.when(path.rlike(found[1]), F.lit(found[0])).otherwise(out)
+    return out
 
-def ignored(path: Column, patterns: list[str] = IGNORED) -> Column:
-    return path.rlike("|".join(map(_regex, patterns)))
+
+def ignored(path: Column, *layers: list[str]) -> Column:
+    """Layers in order of precedence (the system's own patterns come first): the first with a verdict decides; else not ignored."""
+    return F.coalesce(*[verdict(path, lines) for lines in (IGNORED, *layers)], F.lit(False))
 
 
 def sensitive(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1).rlike("|".join(map(_regex, SENSITIVE)))
+    """By the file's name alone, in any folder."""
+    return F.element_at(F.split(path, "/"), -1).rlike("|".join("^" + _glob(p) + "$" for p in SENSITIVE))
+
+
+def is_binary(content: Column) -> Column:
+    """A zero byte among the first 8192."""
+    return F.locate("\u0000", F.decode(F.substring(content, 1, 8192), "ISO-8859-1")) > 0
+
+
+def manifest_hash(files: DataFrame) -> DataFrame:
+    """One revision for all of ``files`` (path, content_hash): the hash of their sorted lines. A manifest holds names and hashes, no contents."""
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "content_hash"))), "\n")
+    return files.agg(F.sha2(lines, 256).alias("revision"))
 
 
-def discover(spark: SparkSession, folder: str, most_bytes: int = 2 << 20) -> DataFrame:
-    """path, length, content_hash, is_binary of the files under ``folder`` that no rule leaves out."""
+def discover(spark: SparkSession, folder: str, most_bytes: int = 2 << 20, *layers: list[str]) -> DataFrame:
+    """path, length, content_hash, is_binary, language, is_generated of the files under ``folder`` that no rule leaves out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
-    rows = files.where(F.col("length") <= most_bytes).select(path.alias("path"), "length", F.sha2("content", 256).alias("content_hash"), (F.locate("\u0000", F.substring("content", 1, 8192).cast("string")) > 0).alias("is_binary"))
-    return rows.where(~ignored(F.col("path")) & ~sensitive(F.col("path")))
+    named = files.where(F.col("length") <= most_bytes).select(path.alias("path"), "length", "content")
+    kept = named.where(~ignored(F.col("path"), *layers) & ~sensitive(F.col("path")))
+    return kept.select("path", "length", F.sha2("content", 256).alias("content_hash"), is_binary(F.col("content")).alias("is_binary"), T.language(F.col("path")).alias("language"), T.is_generated(F.col("path")).alias("is_generated"))
