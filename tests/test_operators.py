@@ -149,7 +149,7 @@ def test_lexical_needs_every_term(spark):
 
 def test_identifier_tiers(spark):
     chunks = spark.createDataFrame([(1, "calls user_id", "x", "p"), (2, "-", "USER_ID", "p"), (3, "-", "get_user_id_now", "p"), (4, "-", None, "src/UserXId/user_id.py"), (5, "-", "userxid", "p"), (6, None, None, None)], "chunk_id long, text string, symbol string, path string")
-    asked = spark.createDataFrame([(7, "where is user_id"), (8, "nothing here")], "qid long, text string")
+    asked = spark.createDataFrame([(7, "where is user_id"), (8, "zzz qqq")], "qid long, text string")
     got = {(r.qid, r.chunk_id): r.score for r in retrieval.by_identifier(chunks, asked).collect()}
     assert got == {(7, 1): 1.0, (7, 2): 0.9, (7, 3): 0.6, (7, 4): 0.6, (7, 5): 0.6}  # the underscore stands for any character
     lists = {n: retrieval.by_identifier(chunks, asked) for n in ("dense", "lexical", "identifier")}
