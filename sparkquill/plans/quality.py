@@ -91,10 +91,10 @@ def incremental_reindex(spark, sf_dir):
     return chunks.select("path", "chunk_index", "origin", F.get("embedding", F.lit(0)).cast("long").alias("size"))
 
 
-@query("SELECT lang, source, doc_id FROM documents WHERE lang IN ('en', 'de') AND source = 'src0' AND doc_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+@query("SELECT lang, source, doc_id FROM documents WHERE lang IN ('en', 'de') AND source = 'src0' AND doc_id BETWEEN 0 AND 299")
 def filter_terms(spark, sf_dir):
     """Filters of a search as conditions on columns; empty and unknown ones don't count."""
-    asked = {"document_ids": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89], "source_type": "src0", "chunk_type": ["en", "de"], "project_id": "", "version_id": None, "other": "x", "scope": "code"}
+    asked = {"document_ids": list(range(300)), "source_type": "src0", "chunk_type": ["en", "de"], "project_id": "", "version_id": None, "other": "x", "scope": "code"}
     rows = read(spark, sf_dir, "documents").withColumnsRenamed({"doc_id": "document_id", "source": "source_type", "lang": "chunk_type"})
     for condition in retrieval.filters(asked):
         rows = rows.where(condition)
