@@ -112,3 +112,10 @@ def no_answer(rows: DataFrame) -> DataFrame:
         fp.alias("false_positives"), fn.alias("false_negatives"), F.round(F.try_divide(fp, negatives), 6).alias("fp_rate"),
         F.round(F.try_divide(fn, positives), 6).alias("fn_rate"), F.round(F.try_divide(fp + fn, F.count(F.lit(1))), 6).alias("error_rate"),
     )
+
+
+def health(checks: DataFrame) -> DataFrame:
+    """service, ok, status, down from checks (service, dependency, up): one that is down or unknown degrades its service."""
+    up = F.coalesce("up", F.lit(False))
+    rows = checks.groupBy("service").agg(F.bool_and(up).alias("ok"), F.sort_array(F.collect_list(F.when(~up, F.col("dependency")))).alias("down"))
+    return rows.select("service", "ok", F.when(F.col("ok"), "ok").otherwise("degraded").alias("status"), "down")
