@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import evaluation
+from ..operators import code, evaluation, ingestion
 from ..sources import sinks
 from ..streaming import state
 from .catalog import query, read
@@ -68,8 +68,6 @@ def profile_hashes(spark, sf_dir):
 )
 def ocr_routing(spark, sf_dir):
     """Each seventh document is an image; of each eleventh the share of pages with text is unknown."""
-    from ..operators import ingestion
-
     pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text")
     kind, share = F.when(F.col("doc") % 7 == 0, "image").otherwise("pdf"), F.when(F.col("doc") % 11 != 0, F.col("share"))
     return ingestion.coverage(pages, 60).select("doc", names.needs_ocr(kind, share).alias("needs_ocr"))
@@ -109,3 +107,31 @@ def metrics_report(spark, sf_dir):
         F.lit(True).alias("passed"), F.array(F.lit("a"), F.lit("b")).alias("reasons"),
     )
     return sinks.report(row, "Report", {"Orders": ["customers", "urgent", "nothing"], "Gate": ["passed", "reasons"]})
+
+
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS file, text FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT file, greatest(1, length(text) // 4) <= 60 AS small, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+    g AS (SELECT *, sum(regexp_full_match(line, '\s*')::INT) OVER (PARTITION BY file ORDER BY n) AS island FROM l),
+    b AS (SELECT file, min(n) AS a, max(n) AS z, string_agg(line, chr(10) ORDER BY n) AS t FROM g WHERE NOT small AND NOT regexp_full_match(line, '\s*') GROUP BY file, island),
+    k AS (SELECT *, greatest(1, length(t) // 4) AS size, row_number() OVER (PARTITION BY file ORDER BY a) AS i FROM b),
+    f AS (SELECT file, i, 0 AS chunk, size AS held, a, z, t FROM k WHERE i = 1 UNION ALL
+      SELECT k.file, k.i, f.chunk + (f.held + k.size > 60)::INT, CASE WHEN f.held + k.size > 60 THEN k.size ELSE f.held + k.size END, k.a, k.z, k.t FROM f JOIN k ON k.file = f.file AND k.i = f.i + 1)
+    SELECT file, chunk, min(a)::INT AS line_start, max(z)::INT AS line_end, md5(string_agg(t, chr(10) ORDER BY a)) AS content_md5 FROM f GROUP BY file, chunk
+    UNION ALL SELECT file, 0, 1, max(n)::INT, md5(string_agg(line, chr(10) ORDER BY n)) FROM l WHERE small GROUP BY file HAVING bool_or(NOT regexp_full_match(line, '\s*'))"""
+)
+def code_blocks(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("other").alias("language"), "text")
+    return code.code_chunks(files, 60).select("file", "chunk", "line_start", "line_end", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS file, i AS chunk, ['PACKAGE', 'PACKAGE BODY', 'PROCEDURE'][i + 1] AS kind, ['P', 'P', 'Q' || c_custkey][i + 1] AS name, CASE WHEN i = 2 THEN 'P' END AS enclosing, [1, 3, 5][i + 1]::INT AS line_start, [2, 4, 7][i + 1]::INT AS line_end
+    FROM customer, (SELECT unnest([0, 1, 2])::INT AS i)"""
+)
+def plsql_objects(spark, sf_dir):
+    """A package for each customer, whose literals and comments hold words that begin objects."""
+    lines = ["CREATE PACKAGE p AS", "END;", "create or replace package body p is", " x varchar2(9) := 'procedure no'; -- procedure no", " procedure q%d is", "begin null;", "end; end;"]
+    text = F.format_string("\n".join(lines), F.col("c_custkey"))
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.lit("plsql").alias("language"), text.alias("text"))
+    return code.code_chunks(files).select("file", "chunk", "kind", "name", "enclosing", "line_start", "line_end")
