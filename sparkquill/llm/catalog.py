@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -54,9 +54,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # three batches: the second meets a run, both are merged into a run of the next level, which the third meets
+    index = line_dedup.LineIndex(spark, fanout=2)
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), 3, index)
+
+
 _ALL = (
     op1_substring_dedup, op2_sharding, op3_near_dedup, op4_toxicity, op5_packing,
     op6_token_files, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_license_scan,
+    op11_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
@@ -65,4 +72,5 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }
