@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_alignment, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -60,10 +60,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"), 3, index)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), *files)
+
+
 _ALL = (
     op1_substring_dedup, op2_sharding, op3_near_dedup, op4_toxicity, op5_packing,
     op6_token_files, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_license_scan,
-    op11_line_dedup,
+    op11_line_dedup, op12_token_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
