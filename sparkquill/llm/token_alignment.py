@@ -41,7 +41,9 @@ STRIPE = 256
 #: Links of a stripe that one part scores.
 HOT_LINKS = 4_000_000
 #: Parts, and characters of parts, that a worker remembers; beyond, it starts anew. Bytes of text aligned at once.
-REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 400_000, 1 << 25, 1 << 22
+REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 250_000, 1 << 24, 1 << 20
+#: Characters of parts that are encoded as one text.
+CHUNK = 1 << 14
 #: Sums that a task gathers before it hands them on.
 GATHERED = 1 << 20
 SPACE_MARK = "▁"
@@ -78,8 +80,14 @@ class Aligner:
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
+        if not all(self.bytes_a[i] for i in vocabulary.values()) or not all(pieces):
+            raise ValueError("a vocabulary with empty tokens can't be aligned by bytes")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id(SPACE_MARK)
+        self.length_a, self.length_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        # ids as they are written: within a group, and as the last of their side
+        self.names = [f"{i}{after}" for n, last in ((self.size_a, "|"), (self.size_b, ";")) for i in range(n) for after in (",", last)]
+        self.name_lengths = np.array(list(map(len, self.names)))
         with open(byte_file, encoding="utf-8") as f:
             layout = json.load(f)
         crossing = re.compile(rf"[^\s{SPACE_MARK}][{SPACE_MARK} \t\n]|{SPACE_MARK}[\t\n]")
@@ -90,9 +98,7 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str | None] = []
-        self.sizes: list[tuple[int, int, int]] = []
-        self.links: list[int] = []
-        self.link_ends: list[int] = [0]
+        self.n_a = self.n_b = self.n_groups = self.links = np.zeros(0, np.int64)
 
     def parts(self, text: str) -> list[str]:
         """Space + text, cut where neither side's tokens cross."""
@@ -104,34 +110,58 @@ class Aligner:
         found = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         return [([self.mark] if p == " " else ids) if p[0] == " " else ids[1:] if ids[:1] == [self.mark] else [] for p, ids in zip(parts, found)]
 
+    def _chunks(self, parts: list[str]) -> list[list[str]]:
+        """Parts that can be encoded as one text, as they would be cut out of it again; others alone."""
+        closed, out, size = [p for p in parts if p[-1] not in " \t\n"], [[]], 0
+        for p in closed:
+            if size > CHUNK:
+                out.append([])
+                size = 0
+            out[-1].append(p)
+            size += len(p)
+        out = [c for chunk in out for c in ([chunk] if self.cut and not _OTHER_SPACE.search("".join(chunk)) else [[p] for p in chunk])]
+        return [*filter(None, out), *[[p] for p in parts if p[-1] in " \t\n"]]
+
     def learn(self, parts: list[str]) -> None:
         """Encodes and aligns parts that are not known yet."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        for part, a, b in zip(parts, ids_a, self._piece_ids(parts)):
-            self.known[part] = len(self.groups)
-            self.chars += len(part)
-            raw = part.encode()
-            bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-                self.groups.append(None)
-                self.sizes.append((0, 0, 0))
-            else:
-                groups, i, j, end_a, end_b = [], 0, 0, 0, 0
-                from_a = from_b = 0
-                while i < len(a):
-                        # side A takes its next token and side B catches up; where both end, a group does
-                    end_a += len(bytes_a[i])
-                    i += 1
-                    while end_b < end_a:
-                        end_b += len(bytes_b[j])
-                        j += 1
-                    if end_a == end_b:
-                        groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                        self.links.append(b[j - 1] * self.size_a + a[i - 1])
-                        from_a, from_b = i, j
-                self.groups.append(";".join(groups))
-                self.sizes.append((len(a), len(b), len(groups)))
-            self.link_ends.append(len(self.links))
+        chunks = self._chunks(parts)
+        while chunks:
+            texts = ["".join(c) for c in chunks]
+            ids_a, ids_b = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self._piece_ids(texts)
+            raw = [t.encode() for t in texts]
+            good = [b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, r in zip(ids_a, ids_b, raw)]
+            of = lambda each: [x for x, g in zip(each, good) if g]  # noqa: B023, E731
+            self._take_in(list(chain.from_iterable(of(chunks))), *(np.fromiter(chain.from_iterable(of(ids)), np.int64) for ids in (ids_a, ids_b)))
+            bad = [c for c, g in zip(chunks, good) if not g]
+            self._take_in([c[0] for c in bad if len(c) == 1])
+            chunks = [[p] for c in bad if len(c) > 1 for p in c]
+
+    def _take_in(self, parts: list[str], a: np.ndarray | None = None, b: np.ndarray | None = None) -> None:
+        """Parts and the ids of all of them, one after another; without ids, parts that have none."""
+        n = len(parts)
+        self.known.update(zip(parts, range(len(self.groups), len(self.groups) + n)))
+        self.chars += sum(map(len, parts))
+        if a is None:
+            counts, links = [np.zeros(n, np.int64)] * 3, np.zeros(0, np.int64)
+            self.groups += [None] * n
+        else:
+            ends_a, ends_b, ends = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), np.cumsum([len(p.encode()) for p in parts])
+            beside = np.searchsorted(ends_b, ends_a)
+            last_a = ends_b[beside] == ends_a  # a token of side B ends where this one does
+            last_b = np.zeros(len(b), bool)
+            last_b[beside[last_a]] = True
+            links = b[beside[last_a]] * self.size_a + a[last_a]
+            upto = [np.searchsorted(e, ends, "right") for e in (ends_a, ends_b, ends_a[last_a])]
+            counts = [np.diff(u, prepend=0) for u in upto]
+            # groups as they are written: side A's ids of a group, then side B's
+            names = np.empty(len(a) + len(b), np.int64)
+            group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+            names[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = 2 * a + last_a
+            names[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (self.size_a + b) + last_b
+            text = "".join(map(self.names.__getitem__, names.tolist()))
+            cuts = np.concatenate(([0], np.cumsum(self.name_lengths[names])))[np.concatenate(([0], upto[0] + upto[1]))].tolist()
+            self.groups += [text[i : j - 1] for i, j in zip(cuts, cuts[1:])]
+        self.n_a, self.n_b, self.n_groups, self.links = (np.concatenate((x, y)) for x, y in zip((self.n_a, self.n_b, self.n_groups, self.links), (*counts, links)))
 
 
 def aligner(files: tuple[str, str]) -> Aligner:
@@ -165,39 +195,33 @@ def _aligned_rows(files: tuple[str, str]):
                     al.forget()
                 texts = [_decoded(t) for t in raw]
                 parts = [al.parts(t) if t else [] for t in texts]
-                new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in al.known]
+                new = list(set(chain.from_iterable(parts)).difference(al.known))
                 if new:
                     al.learn(new)
-                at = [[al.known[p] for p in ps] for ps in parts]
+                at = [list(map(al.known.__getitem__, ps)) for ps in parts]
                 digests = []
                 for d, a in enumerate(at):
-                    groups = [al.groups[i] for i in a]
+                    groups = list(map(al.groups.__getitem__, a))
                     if None in groups:
                         at[d], groups = [], []
                     digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
                 of = np.repeat(np.arange(len(at)), [len(a) for a in at])
                 flat = np.fromiter(chain.from_iterable(at), np.int64, len(of))
-                used, back = np.unique(flat, return_inverse=True)
-                sizes = np.array([al.sizes[i] for i in used.tolist()], np.int64).reshape(-1, 3)[back]
-                n_a, n_b, n_groups = (np.bincount(of, sizes[:, k], len(at)).astype(np.int64) for k in range(3))
-                begin = np.array([al.link_ends[i] for i in used.tolist()], np.int64)
-                lists = [al.links[x:y] for x, y in zip(begin.tolist(), [al.link_ends[i + 1] for i in used.tolist()])]
-                size = np.array([len(x) for x in lists], np.int64)
-                link = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
-                code = link[_ranges((np.cumsum(size) - size)[back], size[back])]
-                doc = np.repeat(of, size[back])
-                n_links = np.bincount(doc, minlength=len(at))
-                # each document's links by id pair, in ascending order
-                order = np.lexsort((code, doc))
-                doc, code = doc[order], code[order]
-                first = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(code, prepend=-1))
-                times = np.diff(first, append=len(code)).astype(np.uint32)
-                cuts = np.searchsorted(doc[first], np.arange(len(at) + 1))
-                code = code[first].astype(np.uint32 if al.size_a * al.size_b < 1 << 32 else np.uint64)
+                n_a, n_b, n_groups = (np.bincount(of, x[flat], len(at)).astype(np.int64) for x in (al.n_a, al.n_b, al.n_groups))
+                n_links = n_groups  # one of each side ends where a group does, as no token is empty
+                # each document's links by id pair, in ascending order: one number for both, sorted
+                size = al.n_groups[flat]
+                code = al.links[_ranges((np.cumsum(al.n_groups) - al.n_groups)[flat], size)]
+                both = np.sort(np.repeat(of * (al.size_a * al.size_b), size) + code)
+                first = np.flatnonzero(np.diff(both, prepend=-1))
+                times = np.diff(first, append=len(both)).astype(np.uint32)
+                doc, code = np.divmod(both[first], al.size_a * al.size_b)
+                cuts = np.searchsorted(doc, np.arange(len(at) + 1))
+                code = code.astype(np.uint32 if al.size_a * al.size_b < 1 << 32 else np.uint64)
                 each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())  # noqa: B023, E731
                 numbers = pa.array(np.arange(row, row + len(at)))
                 row += len(at)
-                columns = [part.column("doc_id"), numbers, *map(pa.array, (n_a, n_b, n_groups, n_links.astype(np.int64))), pa.array(digests, pa.string()), each(code), each(times)]
+                columns = [part.column("doc_id"), numbers, *map(pa.array, (n_a, n_b, n_groups, n_links)), pa.array(digests, pa.string()), each(code), each(times)]
                 yield pa.record_batch(columns, [c.split()[0] for c in ALIGNED.split(", ")])
 
     return rows

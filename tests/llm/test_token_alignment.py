@@ -83,7 +83,7 @@ def test_parts_encode_like_whole_texts():
         at = [al.known[p] for p in parts]
         n_a, n_b, groups = plain(al, text)
         want = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-        assert ";".join(al.groups[i] for i in at) == want and sum(al.sizes[i][0] for i in at) == n_a and sum(al.sizes[i][1] for i in at) == n_b
+        assert ";".join(al.groups[i] for i in at) == want and sum(al.n_a[i] for i in at) == n_a and sum(al.n_b[i] for i in at) == n_b
 
 
 def test_one_pair_of_ids_in_most_links(spark, monkeypatch):
