@@ -39,13 +39,13 @@ from .common import materialize
 #: Ids of side B in one block (with 50 000 ids of side A, 100 MB).
 STRIPE = 256
 #: Links of a stripe that one part scores.
-HOT_LINKS = 4_000_000
+HOT_LINKS = 1_000_000
 #: Parts, and characters of parts, that a worker remembers; beyond, it starts anew. Bytes of text aligned at once.
 REMEMBERED, REMEMBERED_CHARS, AT_ONCE = 250_000, 1 << 24, 1 << 20
 #: Characters of parts that are encoded as one text.
 CHUNK = 1 << 14
-#: Sums that a task gathers before it hands them on.
-GATHERED = 1 << 20
+#: Sums that a task gathers before it hands them on; and documents (2 to this) whose sums it hands on as one row.
+GATHERED, TOGETHER = 1 << 20, 12
 SPACE_MARK = "▁"
 _PART = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space at which texts are not cut.
@@ -348,18 +348,30 @@ def _dealt_rows(stripe_size: int, kind: type):
     return rows
 
 
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' rows once each, ascending, with the sums of what is held of them."""
+    row, best, sum_ = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(row, kind="stable")
+    row, best, sum_ = row[order], best[order], sum_[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    return row[first], np.add.reduceat(best, first), np.add.reduceat(sum_, first)
+
+
+SCORED = "docs long, rows binary, best binary, sums binary"
+
+
 def _scored_rows(height: int, size_a: int):
-    """Rows of a stripe's part: first its counted pairs, then links of documents. Gives row, n_best, count_sum, summed up as far as held."""
+    """Rows of a stripe's part: first its counted pairs, then links of documents. Gives sums of documents, as far as a task holds them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, best, held = None, None, []
 
         def out() -> pa.RecordBatch:
-            row, best_, sum_ = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(row, kind="stable")
-            row, best_, sum_ = row[order], best_[order], sum_[order]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            return pa.record_batch([pa.array(row[first]), pa.array(np.add.reduceat(best_, first)), pa.array(np.add.reduceat(sum_, first))], ["row", "n_best", "count_sum"])
+            sums = _added(held)
+            docs = sums[0] >> TOGETHER
+            first = np.flatnonzero(np.diff(docs, prepend=-1))
+            parts = list(zip(first, [*first[1:], len(docs)]))
+            return pa.record_batch([pa.array(docs[first]), *[pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in sums]], [c.split()[0] for c in SCORED.split(", ")])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -384,6 +396,26 @@ def _scored_rows(height: int, size_a: int):
     return rows
 
 
+def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All sums of some documents, which lie side by side, as a row for each document."""
+    docs, held = None, []
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch(list(map(pa.array, _added(held))), ["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and docs != r["docs"]:
+                yield out()
+                held = []
+            docs = r["docs"]
+            held.append(tuple(np.frombuffer(r[c], np.int64) for c in ("rows", "best", "sums")))
+            if sum(len(h[0]) for h in held) > GATHERED:
+                held = [_added(held)]
+    if held:
+        yield out()
+
+
 def align(docs: DataFrame, byte_file: str, piece_file: str, height: int = STRIPE) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -403,7 +435,7 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, height: int = STRIPE
     blocks = counts.join(F.broadcast(parts), "stripe").select("stripe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "codes", "times")
     blocks = blocks.select("*", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("sizes"))
     beside = dealt.unionByName(blocks).repartition("stripe", "part").sortWithinPartitions("stripe", "part", F.col("rows").isNotNull())
-    scored = beside.mapInArrow(_scored_rows(height, size_a), "row long, n_best long, count_sum long")
-    sums_of = scored.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    scored = beside.mapInArrow(_scored_rows(height, size_a), SCORED).repartition("docs").sortWithinPartitions("docs")
+    sums_of = scored.mapInArrow(_document_rows, "row long, n_best long, count_sum long")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return aligned.drop("codes", "times").join(sums_of, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
