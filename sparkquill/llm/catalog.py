@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_alignment, token_files, toxicity, url_filter
+from . import conversation_repair, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, sharding, substring_dedup, token_alignment, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -67,10 +67,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), *files)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_substring_dedup, op2_sharding, op3_near_dedup, op4_toxicity, op5_packing,
     op6_token_files, op7_exact_dedup, op8_url_filter, op9_decontaminate, op10_license_scan,
-    op11_line_dedup, op12_token_alignment,
+    op11_line_dedup, op12_token_alignment, op13_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {

@@ -551,9 +551,9 @@ def test_words_and_hashes():
     assert w.rolling(3)[0] == w.rolling(3)[3] and w.whole(3).tolist() == [True, False, False, True, False, False]
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_sharding", "op3_near_dedup", "op4_toxicity", "op5_packing", "op6_token_files", "op7_exact_dedup", "op8_url_filter", "op9_decontaminate", "op10_license_scan", "op11_line_dedup", "op12_token_alignment"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_sharding", "op3_near_dedup", "op4_toxicity", "op5_packing", "op6_token_files", "op7_exact_dedup", "op8_url_filter", "op9_decontaminate", "op10_license_scan", "op11_line_dedup", "op12_token_alignment", "op13_conversation_repair"])
 def test_empty_tables(spark, sf, tmp_path, name):
-    for table in ("documents", "labels", "benchmark", "pages"):
+    for table in ("documents", "labels", "benchmark", "pages", "conversations"):
         common.table(spark, sf, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
 
