@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
+from . import patterns
 
 RRF_K, DENSE_K, LEXICAL_K, IDENTIFIER_K, FUSED = 60, 40, 40, 20, 20
 STRONG_LEXICAL, PRESENCE_FLOOR, DENSE_FLOOR = 0.4, 0.45, 0.55
@@ -147,28 +149,40 @@ def lexical(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_K) -> DataFr
     return ranked(scored.select("qid", "chunk_id", F.round(cover_density(F.col("hits"), F.col("n")), 6).alias("score")), k)
 
 
+def _within(near: DataFrame, wanted: DataFrame) -> DataFrame:
+    """qid, chunk_id: wanted (qid, token) that stand in near (chunk_id, within), where ``_`` stands for any character.
+
+    Each token's longest piece without a wildcard (an identifier has a letter or a dot) is sought by one automaton; what
+    holds it is compared with LIKE.
+    """
+    pieces = F.filter(F.split("token", "[_%]"), lambda x: x != "")
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("piece"))))["piece"]
+    sought = wanted.distinct().withColumn("piece", longest)
+    found = patterns.held_strings(near.select(F.col("chunk_id").alias("id"), F.col("within").alias("text")), sought.select(F.col("piece").alias("string")))
+    met = found.select(F.col("id").alias("chunk_id"), F.col("string").alias("piece")).distinct().join(sought, "piece").join(near, "chunk_id")
+    return met.where(F.like("within", F.concat(F.lit("%"), "token", F.lit("%")))).select("qid", "chunk_id").distinct()
+
+
 def by_identifier(chunks: DataFrame, queries: DataFrame, k: int = IDENTIFIER_K) -> DataFrame:
     """qid, chunk_id, score, rank: chunks that hold an identifier of the query, by the best way it is held.
 
     chunks (chunk_id, text, and symbol and path where there are such columns): OVERLAP if an identifier is among the
     chunk's own, SYMBOL if it is the symbol's name in any case, IN_SYMBOL or IN_PATH if it stands within these (``_`` and
-    ``%`` as in LIKE). Whole matches are joins by equality; parts are sought for the stated query set in blocks.
+    ``%`` as in LIKE). Whole matches are joins by equality; parts are sought by an automaton over the query set, in blocks.
     """
-    wanted = queries.select("qid", F.explode(T.identifiers(F.col("text"))).alias("token")).distinct()
+    wanted = scratch.saved(queries.select("qid", F.explode(T.identifiers(F.col("text"))).alias("token")).distinct(), "identifiers")
+    if wanted.isEmpty():  # no chunk need be looked at
+        return ranked(wanted.select("qid", F.lit(0).cast("long").alias("chunk_id"), F.lit(OVERLAP).alias("score")), k)
     own = chunks.select("chunk_id", F.explode(T.identifiers(F.col("text"))).alias("token"))
     hits = own.join(wanted, "token").select("qid", "chunk_id", F.lit(OVERLAP).alias("score"))
     columns = [c for c in ("symbol", "path") if c in chunks.columns]
     if "symbol" in columns:
         named = chunks.where("symbol is not null").select("chunk_id", F.lower("symbol").alias("token"))
         hits = hits.unionByName(named.join(wanted.withColumn("token", F.lower("token")), "token").select("qid", "chunk_id", F.lit(SYMBOL).alias("score")))
-    if columns:
-        tokens = wanted.select("qid", F.concat(F.lit("%"), F.lower("token"), F.lit("%")).alias("like"))
-        blocks = 1 if _few(tokens) else -(-tokens.count() // MOST_BROADCAST)
-        within = F.greatest(*[F.when(F.like(F.lower(c), F.col("like")), F.lit(s)).otherwise(F.lit(0.0)) for c, s in (("symbol", IN_SYMBOL), ("path", IN_PATH)) if c in columns], F.lit(0.0))
-        for block in range(blocks):
-            here = tokens.where(F.pmod(F.xxhash64("like"), F.lit(blocks)) == block)
-            near = chunks.select("chunk_id", *columns).join(F.broadcast(here), T.any_of([F.coalesce(F.like(F.lower(c), F.col("like")), F.lit(False)) for c in columns]))
-            hits = hits.unionByName(near.select("qid", "chunk_id", within.alias("score")))
+    for column, score in (("symbol", IN_SYMBOL), ("path", IN_PATH)):
+        if column in columns:
+            near = chunks.where(F.col(column).isNotNull()).select("chunk_id", F.lower(column).alias("within"))
+            hits = hits.unionByName(_within(near, wanted.select("qid", F.lower("token").alias("token"))).select("qid", "chunk_id", F.lit(score).alias("score")))
     return ranked(hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
@@ -269,7 +283,8 @@ def fused_window(lists: dict[str, DataFrame], chunks: DataFrame, window: int = F
     for name, found in lists.items():
         one = found.select("qid", "chunk_id", "rank", F.lit(name).alias("source"))
         ranks = one if ranks is None else ranks.unionByName(one)
-    fused = fuse(ranks).where(F.col("rank") <= window)
+    # at most ``window`` rows a query, used twice: written, so that the searches run once
+    fused = scratch.saved(fuse(ranks).where(F.col("rank") <= window), "fused")
     hits = chunks.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi")
     kept = dedupe(fused, hits.select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")))
     order = Window.partitionBy("qid").orderBy("rank")

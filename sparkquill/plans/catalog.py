@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, retrieval, snapshots, symbols
+from ..operators import chunking, evaluation, patterns, retrieval, snapshots, symbols
 from ..sources import files
 from ..streaming import events as E
 
@@ -202,10 +202,22 @@ def smalltalk_flags(spark, sf_dir):
 
 @query(f"WITH {_TERMS.strip()}, t AS (SELECT qid, unnest(list_sort(terms)[1:3]) AS term FROM q) SELECT qid, count(DISTINCT doc_id) AS n_docs FROM t JOIN documents ON contains(lower(text), term) GROUP BY qid")
 def term_presence(spark, sf_dir):
-    """How many documents hold one of three words of an item, inside words too; the items are a stated query set, broadcast as it is small."""
-    wanted = queries_(spark, sf_dir).select("qid", F.slice(F.sort_array(T.query_terms(F.col("text"))), 1, 3).alias("terms"))
-    texts = chunks(spark, sf_dir).select("chunk_id", F.lower("text").alias("text"))
-    return texts.join(F.broadcast(wanted), T.has_any_term(F.col("text"), F.col("terms"))).groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"))
+    """How many documents hold one of three words of an item, inside words too."""
+    wanted = queries_(spark, sf_dir).select("qid", F.explode(F.slice(F.sort_array(T.query_terms(F.col("text"))), 1, 3)).alias("string"))
+    return _presence(spark, sf_dir, wanted)
+
+
+@query(f"WITH {_TERMS.strip()}, t AS (SELECT qid, unnest(terms) AS term FROM q), d AS (SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents), "
+       "s AS (SELECT DISTINCT term FROM t), h AS (SELECT term, doc_id FROM s JOIN d ON contains(text, term)) SELECT qid, count(DISTINCT doc_id) AS n_docs FROM t JOIN h USING (term) GROUP BY qid")
+def term_presence_all(spark, sf_dir):
+    """The same for all words of an item."""
+    return _presence(spark, sf_dir, queries_(spark, sf_dir).select("qid", F.explode(T.query_terms(F.col("text"))).alias("string")))
+
+
+def _presence(spark, sf_dir, wanted):
+    texts = chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.lower("text").alias("text"))
+    found = patterns.held_strings(texts, wanted).join(wanted, "string")
+    return found.select("qid", "id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _evidence(spark, sf_dir):
@@ -465,4 +477,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import artifacts, ingestion, quality  # noqa: E402, F401  (adds its queries)
+from . import artifacts, indexing, ingestion, quality  # noqa: E402, F401  (adds its queries)
