@@ -83,14 +83,19 @@ class PostingsIndex:
         scratch.remove(self.spark, path)
         return {"name": name, "at": self.version + 1, "hot": dict(hot)}
 
-    def add(self, chunks: DataFrame, gone: DataFrame | None = None) -> None:
-        """Posts ``chunks`` (chunk_id, text); ``gone`` (chunk_id): chunks that left or that ``chunks`` replace."""
+    def add(self, chunks: DataFrame, gone: DataFrame | None = None, key: int | None = None) -> None:
+        """Posts ``chunks`` (chunk_id, text); ``gone`` (chunk_id): chunks that left or that ``chunks`` replace.
+
+        Calls with ascending ``key`` (the number of a batch) may be repeated: what was posted under a key is not posted again.
+        """
+        if key is not None and key <= self.held.get("key", -1):
+            return
         run = self._run(postings(chunks))
         lists = list(self.held["gone"])
         if gone is not None and self.held["runs"]:
             lists.append({"name": f"gone-{uuid.uuid4().hex[:12]}", "at": run["at"]})
             gone.select("chunk_id").distinct().write.parquet(f"{self.folder}/{lists[-1]['name']}")
-        self._commit(runs=[*self.held["runs"], run], gone=lists)
+        self._commit(runs=[*self.held["runs"], run], gone=lists, **({} if key is None else {"key": key}))
 
     def reindex(self, before: DataFrame, after: DataFrame) -> DataFrame:
         """From one snapshot (chunk_id, text) to the next: only new and changed chunks are posted. Gives path, change."""

@@ -344,7 +344,23 @@ def parent_chunks(spark, sf_dir):
     return chunking.parent_chunks(rows, 60).select("doc_id", "parent", "n_chunks", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query()
+#: Windows of 500 characters that begin 50 before the last one's end, cut behind a stop in their second half or before a space.
+CHAR_CHUNKS = r"""t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+    w AS (SELECT doc_id, 0 AS begin, 0 AS e, 0 AS k FROM t WHERE n > 0
+      UNION ALL SELECT doc_id, greatest(e - 50, begin + 1), e, k FROM (
+        SELECT w.doc_id, begin, k + 1 AS k, n, CASE WHEN begin + 500 >= n THEN begin + 500
+          WHEN 2 * (length(regexp_extract(substr(text, begin + 1, 500), '^(?s:.*)[.\n]')) - 1) > 500 THEN begin + length(regexp_extract(substr(text, begin + 1, 500), '^(?s:.*)[.\n]'))
+          WHEN length(regexp_extract(substr(text, begin + 1, 500), '^(?s:.*) ')) > 1 THEN begin + length(regexp_extract(substr(text, begin + 1, 500), '^(?s:.*) ')) - 1 ELSE begin + 500 END AS e
+        FROM w JOIN t USING (doc_id)) WHERE greatest(e - 50, begin + 1) < n),
+    v AS (SELECT w.doc_id, w.begin, CASE WHEN w.begin + 500 >= n THEN w.begin + 500
+          WHEN 2 * (length(regexp_extract(substr(text, w.begin + 1, 500), '^(?s:.*)[.\n]')) - 1) > 500 THEN w.begin + length(regexp_extract(substr(text, w.begin + 1, 500), '^(?s:.*)[.\n]'))
+          WHEN length(regexp_extract(substr(text, w.begin + 1, 500), '^(?s:.*) ')) > 1 THEN w.begin + length(regexp_extract(substr(text, w.begin + 1, 500), '^(?s:.*) ')) - 1 ELSE w.begin + 500 END AS e, text
+      FROM w JOIN t USING (doc_id)),
+    s AS (SELECT doc_id, begin, regexp_replace(substr(text, begin + 1, e - begin), '^\s+|\s+$', '', 'g') AS content FROM v),
+    cc AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY begin) - 1)::INT AS chunk_index, content FROM s WHERE content <> '')"""
+
+
+@query(f"WITH RECURSIVE {CHAR_CHUNKS} SELECT * FROM cc")
 def char_chunks(spark, sf_dir):
     return chunking.char_chunks(read(spark, sf_dir, "documents"))
 
@@ -477,4 +493,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import artifacts, indexing, ingestion, quality  # noqa: E402, F401  (adds its queries)
+from . import artifacts, indexing, ingestion, jobs, quality  # noqa: E402, F401  (adds its queries)
