@@ -184,3 +184,21 @@ def parent_chunks(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:
     placed = chunks.join(parents(chunks, most), ["doc_id", "seq"])
     piece = F.sort_array(F.collect_list(F.struct("seq", "content", "heading_path"))).alias("p")
     return placed.groupBy("doc_id", "parent").agg(piece).select("doc_id", "parent", F.size("p").alias("n_chunks"), F.array_join(F.transform("p", lambda x: x["content"]), "\n\n").alias("content"), F.get("p", F.lit(0))["heading_path"].alias("heading_path"))
+
+
+def merged_locator(locator: str, order: Column) -> Column:
+    """One locator for several: pages and lines from the first to the last; of other fields the first in ``order`` that is known."""
+    of = lambda f: F.col(f"{locator}.{f}")
+    first = lambda f: F.min_by(of(f), F.when(of(f).isNotNull(), order))
+    return F.struct(
+        first("file_path").alias("file_path"), F.min(of("page_start")).alias("page_start"), F.max(of("page_end")).alias("page_end"),
+        F.min(of("line_start")).alias("line_start"), F.max(of("line_end")).alias("line_end"), first("block_index").alias("block_index"),
+    )
+
+
+def located_chunks(chunks: DataFrame, units: DataFrame) -> DataFrame:
+    """``chunks`` (doc_id, unit_first, unit_last, ...) with the merged locator of their units (doc_id, unit, locator), null without any."""
+    keys = ["doc_id", "unit_first", "unit_last"]
+    each = chunks.select(*keys).distinct().withColumn("unit", F.explode(F.sequence("unit_first", "unit_last")))
+    met = each.join(units.select("doc_id", "unit", "locator"), ["doc_id", "unit"]).groupBy(*keys).agg(merged_locator("locator", F.col("unit")).alias("locator"))
+    return chunks.join(met, keys, "left")

@@ -493,4 +493,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import artifacts, indexing, ingestion, jobs, quality, records  # noqa: E402, F401  (adds its queries)
+from . import artifacts, indexing, ingestion, jobs, parsing, quality, records  # noqa: E402, F401  (adds its queries)
