@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 
 #: Tokens of a chunk, share of it that the next one repeats, tokens of a parent.
 MOST_TOKENS, OVERLAP, PARENT_TOKENS = 900, 0.12, 2400
@@ -163,20 +164,47 @@ def document_chunks(units: DataFrame, most: int = MOST_TOKENS, overlap: float =
 def parents(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:
     """doc_id, seq, parent from (doc_id, seq, heading_path, tokens): chunks in a row under one heading share a parent of at most ``most`` tokens.
 
-    A fold over a document's chunks (numbers alone, not their texts) carries the open parent.
+    A heading always begins a parent, so each run of chunks under one is packed for itself, in one pass that holds the open
+    parent's tokens alone; a run's parents are then numbered after those of the runs before.
     """
-    entry = F.struct("seq", F.concat_ws("\x01", "heading_path").alias("key"), "tokens")
-    rows = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("cs"))
-    out = "array<struct<seq:int,parent:int>>"
-    start = F.struct(F.lit(0).alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("held"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        same = acc["key"].eqNullSafe(c["key"]) & (acc["held"] + c["tokens"] <= most)
-        parent = F.when(same, acc["parent"]).otherwise(acc["parent"] + 1)
-        held = F.when(same, acc["held"] + c["tokens"]).otherwise(c["tokens"].cast("long"))
-        return F.struct(parent.alias("parent"), c["key"].alias("key"), held.alias("held"), F.array_append(acc["out"], F.struct(c["seq"].cast("int").alias("seq"), parent.alias("parent"))).cast(out).alias("out"))
-
-    return rows.select("doc_id", F.explode(F.aggregate("cs", start, step, lambda a: a["out"])).alias("p")).select("doc_id", "p.seq", "p.parent")
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    rows = chunks.select("doc_id", F.col("seq").cast("int").alias("seq"), "tokens", F.concat_ws("\x01", "heading_path").alias("key"))
+    begins = (~F.lag("key").over(order).eqNullSafe(F.col("key"))).cast("int")
+    rows = rows.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).select("doc_id", "run", "seq", "tokens")
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, n = None, 0, 0
+        for frame in frames:
+            numbers = []
+            for doc, run, tokens in zip(frame["doc_id"], frame["run"], frame["tokens"]):
+                if (doc, run) != at:
+                    at, held, n = (doc, run), 0, 0
+                n, held = (n, held + tokens) if n and held + tokens <= most else (n + 1, tokens)
+                numbers.append(n)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "run": frame["run"], "seq": frame["seq"], "n": numbers})
+
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    dealt = rows.repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "seq")
+    packed = scratch.saved(dealt.mapInPandas(pack, f"doc_id {kind}, run long, seq int, n int"), "parents")
+    before = Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = packed.groupBy("doc_id", "run").agg(F.max("n").alias("m"))
+    starts = runs.select("doc_id", "run", F.coalesce(F.sum("m").over(before), F.lit(0)).cast("int").alias("start"))
+    return packed.join(starts, ["doc_id", "run"]).select("doc_id", "seq", (F.col("start") + F.col("n")).alias("parent"))
+
+
+def sequenced(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:
+    """doc_id, sequence_no, kind, seq, parent, parent_sequence_no: a document's chunks in order, then its parents, numbered from 1.
+
+    A chunk names its parent's number; ``seq`` is null for parents.
+    """
+    placed = scratch.saved(parents(chunks, most), "placed")
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    counts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    children = placed.withColumn("sequence_no", F.row_number().over(order)).join(counts, "doc_id")
+    children = children.select("doc_id", "sequence_no", F.lit("chunk").alias("kind"), "seq", "parent", (F.col("n") + F.col("parent")).alias("parent_sequence_no"))
+    above = placed.select("doc_id", "parent").distinct().join(counts, "doc_id")
+    null = F.lit(None).cast("int")
+    return children.unionByName(above.select("doc_id", (F.col("n") + F.col("parent")).alias("sequence_no"), F.lit("parent").alias("kind"), null.alias("seq"), "parent", null.alias("parent_sequence_no")))
 
 
 def parent_chunks(chunks: DataFrame, most: int = PARENT_TOKENS) -> DataFrame:

@@ -29,11 +29,17 @@ def with_all(queries: DataFrame, rows: DataFrame, n_relevant: DataFrame) -> Data
 
 
 def relevant(hits: DataFrame, expected: DataFrame) -> DataFrame:
-    """``hits`` (qid, document, content, ...) and relevant: some expected (qid, document, must_contain) has its document and a term of it, or none to hold."""
-    holds = (F.size(F.coalesce("must_contain", F.array().cast("array<string>"))) == 0) | F.exists("must_contain", lambda t: F.contains(F.coalesce(F.col("content"), F.lit("")), t))
+    """``hits`` (qid, document, content, ...) and relevant: some expected (qid, document, must_contain) has its document and a term of it, or none to hold.
+
+    Documents are compared without white space at their ends, terms in any case; null terms are held by nothing.
+    """
+    edges = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    wanted = expected.select(F.col("qid").alias("_qid"), edges(F.col("document")).alias("_document"), F.coalesce("must_contain", F.array().cast("array<string>")).alias("_terms"))
+    content = F.lower(F.coalesce(F.col("content"), F.lit("")))
+    holds = (F.size("_terms") == 0) | F.coalesce(F.exists("_terms", lambda t: F.coalesce(F.contains(content, F.lower(t)), F.lit(False))), F.lit(False))
     keys = [c for c in hits.columns if c != "content"]
-    rows = hits.join(expected, ["qid", "document"], "left").withColumn("relevant", F.coalesce(F.col("must_contain").isNotNull() & holds, F.lit(False)))
-    return rows.groupBy(*keys).agg(F.bool_or("relevant").alias("relevant"))
+    rows = hits.join(wanted, (hits.qid == wanted._qid) & (edges(hits.document) == wanted._document), "left")
+    return rows.withColumn("relevant", F.col("_qid").isNotNull() & holds).groupBy(*keys).agg(F.bool_or("relevant").alias("relevant"))
 
 
 def gate(metrics: DataFrame, recall: float = 0.85, mrr: float = 0.75) -> DataFrame:

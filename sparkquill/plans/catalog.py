@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, patterns, retrieval, snapshots, symbols
+from ..operators import chunking, evaluation, patterns, quantiles, retrieval, snapshots, symbols
 from ..sources import files
 from ..streaming import events as E
 
@@ -272,8 +272,8 @@ def no_answer_confusion(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    found = quantiles.percentiles(read(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.95], small=1000)
+    return found.select("event_type", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))
 
 
 @query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS naive, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(ceil(length(text) / 3)::INT, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')), 1) END::INT AS conservative FROM documents")
@@ -360,6 +360,19 @@ CHAR_CHUNKS = r"""t AS (SELECT doc_id, coalesce(text, '') AS text, length(coales
     cc AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY begin) - 1)::INT AS chunk_index, content FROM s WHERE content <> '')"""
 
 
+@query(
+    """WITH RECURSIVE k AS (SELECT conv_id AS doc_id, turn AS seq, role AS heading, greatest(1, length(text) // 4) AS tokens FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY doc_id) AS c FROM k),
+    f AS (SELECT doc_id, seq, i, c, 1 AS parent, tokens AS held, heading FROM n WHERE i = 1
+      UNION ALL SELECT n.doc_id, n.seq, n.i, n.c, f.parent + (NOT (n.heading = f.heading AND f.held + n.tokens <= 60))::INT,
+        CASE WHEN n.heading = f.heading AND f.held + n.tokens <= 60 THEN f.held + n.tokens ELSE n.tokens END, n.heading FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1)
+    SELECT doc_id, i::INT AS sequence_no, 'chunk' AS kind, seq::INT AS seq, parent, (c + parent)::INT AS parent_sequence_no FROM f
+    UNION ALL SELECT DISTINCT doc_id, (c + parent)::INT, 'parent', NULL, parent, NULL FROM f"""
+)
+def chunk_sequence(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return chunking.sequenced(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.array("role").alias("heading_path"), T.naive_tokens(F.col("text")).alias("tokens")), 60)
+
+
 @query(f"WITH RECURSIVE {CHAR_CHUNKS} SELECT * FROM cc")
 def char_chunks(spark, sf_dir):
     return chunking.char_chunks(read(spark, sf_dir, "documents"))
@@ -493,4 +506,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import artifacts, indexing, ingestion, jobs, parsing, quality, records  # noqa: E402, F401  (adds its queries)
+from . import artifacts, indexing, ingestion, jobs, metrics, parsing, quality, records  # noqa: E402, F401  (adds its queries)
