@@ -35,13 +35,14 @@ def _slot(word: Column, part: Column) -> Column:
 def postings(chunks: DataFrame) -> DataFrame:
     """word, chunk_id, places (ascending): gathered inside each row, so no word is shuffled by chunk."""
     marked = F.sort_array(F.transform(T.lexemes(F.col("text")), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
-    rows = chunks.select("chunk_id", marked.alias("s")).where(F.size("s") > 0)
+    rows = chunks.select("chunk_id", marked.alias("s"))
     word = lambda i: F.get("s", i)["word"]
-    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    starts = F.filter(F.transform("s", lambda x, i: i), lambda i: (i == 0) | (word(i) != word(i - 1)))
     rows = rows.select("chunk_id", "s", starts.alias("starts"))
     end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("s"))
     found = F.transform("starts", lambda b, j: F.struct(word(b).alias("word"), F.transform(F.slice("s", b + 1, end(j) - b), lambda x: x["at"]).alias("places")))
-    return rows.select("chunk_id", F.inline(found))
+    # not inline: a condition on the array's size would be put below it, and the array made twice
+    return rows.select("chunk_id", F.inline_outer(found)).where("word is not null")
 
 
 class PostingsIndex:
