@@ -15,7 +15,7 @@ from ..sources import scratch
 
 #: Tokens of a chunk, share of it that the next one repeats, tokens of a parent.
 MOST_TOKENS, OVERLAP, PARENT_TOKENS = 900, 0.12, 2400
-TEXT_KINDS, ALONE = ["paragraph", "list_item", "text"], ["table", "code"]
+TEXT_KINDS, ALONE = ["paragraph", "list_item", "text", "formula", "image_caption", "ocr_text", "file_header", "symbol", "configuration"], ["table", "code"]
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
@@ -230,3 +230,35 @@ def located_chunks(chunks: DataFrame, units: DataFrame) -> DataFrame:
     each = chunks.select(*keys).distinct().withColumn("unit", F.explode(F.sequence("unit_first", "unit_last")))
     met = each.join(units.select("doc_id", "unit", "locator"), ["doc_id", "unit"]).groupBy(*keys).agg(merged_locator("locator", F.col("unit")).alias("locator"))
     return chunks.join(met, keys, "left")
+
+
+_SEPARATOR = re.compile(r"\s*\|?(\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?\s*")
+
+
+def _row_groups(text: str, most: int) -> Iterator[str]:
+    """Rows of a table in groups of at most ``most`` tokens, counted row by row; each group has the header, and a row at least."""
+    tokens = lambda row: max(1, len(row) // 4)
+    rows = [x.strip() for x in text.splitlines() if x.strip()]
+    head = rows[: 2 if len(rows) > 1 and _SEPARATOR.fullmatch(rows[1]) else 1]
+    base = sum(map(tokens, head))
+    held, size = list(head), base
+    for row in rows[len(head) :]:
+        if len(held) > len(head) and size + tokens(row) > most:
+            yield "\n".join(held)
+            held, size = list(head), base
+        held.append(row)
+        size += tokens(row)
+    if held:
+        yield "\n".join(held)
+
+
+def table_groups(tables: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """table, chunk, content from (table, text): whole rows up to ``most`` tokens a chunk, each under the header and its separator."""
+    kind = tables.schema["table"].dataType.simpleString()
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(t, i, c) for t, text in zip(frame["table"], frame["text"]) for i, c in enumerate(_row_groups(text or "", most))]
+            yield pd.DataFrame(rows, columns=["table", "chunk", "content"])
+
+    return tables.select("table", "text").mapInPandas(cut, f"table {kind}, chunk int, content string")

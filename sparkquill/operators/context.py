@@ -69,6 +69,25 @@ def citations(contexts: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("qid", F.concat(F.lit("S"), F.row_number().over(order)).alias("label"), "chunk_id", F.substring("content", 1, SNIPPET).alias("snippet"))
 
 
+def evidence_block(label: Column, row: Column) -> Column:
+    """The block of one piece of evidence, laid out for code or for documents; parts that are not known are left out.
+
+    ``row`` has is_code, repository, document_name, file_path, symbol_name, line_start, line_end, heading_path, page_start, page_end, content.
+    """
+    known = lambda c: F.when(c != "", c)
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    a, z = row["line_start"], row["line_end"]
+    lines = F.when(a.isNotNull() | z.isNotNull(), F.concat(shown(a), F.lit("-"), shown(z)))
+    p, q = row["page_start"], row["page_end"]
+    pages = F.when(p.isNotNull() | q.isNotNull(), F.concat(shown(p), F.when(q.isNotNull(), F.concat(F.lit("-"), q.cast("string"))).otherwise(F.lit(""))))
+    path = F.when(F.size(F.coalesce(row["heading_path"], F.array())) > 0, F.array_join(F.filter(row["heading_path"], lambda h: F.coalesce(h, F.lit("")) != ""), " > "))
+    coded = F.array(line("Repository", F.coalesce(known(row["repository"]), known(row["document_name"]), F.lit("?"))), line("Dosya", known(row["file_path"])), line("Sembol", known(row["symbol_name"])), line("Satırlar", lines))
+    plain = F.array(line("Belge", known(row["document_name"])), line("Bölüm", path), line("Sayfa", pages))
+    body = F.concat(F.lit("İçerik: "), F.coalesce(row["content"], F.lit("")))
+    return F.array_join(F.array_compact(F.concat(F.array(F.concat(F.lit("["), label, F.lit("]"))), F.when(F.coalesce(row["is_code"], F.lit(False)), coded).otherwise(plain), F.array(body))), "\n")
+
+
 def prompts(contexts: DataFrame, chunks: DataFrame, head: str = "Answer from the evidence alone.") -> DataFrame:
     """qid, prompt: the evidence blocks of each query in order, under one head."""
     rows = contexts.join(chunks.select("chunk_id", "content"), "chunk_id").where("content is not null and content <> ''")

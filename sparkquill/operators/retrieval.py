@@ -195,6 +195,48 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(order))
 
 
+def fused_sources(lists: DataFrame) -> DataFrame:
+    """qid, chunk_id, source, sources from (qid, chunk_id, list, source): the source of the first list that has a chunk, and all in the order of lists, each once."""
+    placed = F.sort_array(F.collect_set(F.struct("list", "source")))
+    rows = lists.groupBy("qid", "chunk_id").agg(placed.alias("s"))
+    return rows.select("qid", "chunk_id", F.get("s", F.lit(0))["source"].alias("source"), F.array_distinct(F.transform("s", lambda x: x["source"])).alias("sources"))
+
+
+def searchable(chunks: DataFrame, documents: DataFrame, files: DataFrame | None = None, asked: dict | None = None) -> DataFrame:
+    """``chunks`` (chunk_id, document_id, ...) with project_id and source_type of their documents and the path of their source file, as far as ``asked`` lets pass.
+
+    A chunk without a document is not searched; one without a file has a null path. Conditions on documents are applied to
+    them before they meet the chunks, all others to the chunks.
+    """
+    asked = asked or {}
+    scoped = documents.select("document_id", "project_id", "source_type")
+    for condition in filters(asked, {"project_id", "source_type"}):
+        scoped = scoped.where(condition)
+    own = chunks
+    for condition in filters({k: v for k, v in asked.items() if k != "scope"}, FIELDS - {"project_id", "source_type"}):
+        own = own.where(condition)
+    rows = own.join(scoped, "document_id")
+    return rows if files is None else rows.join(files.select("source_file_id", "path"), "source_file_id", "left")
+
+
+def reranked(fused: DataFrame, score, k: int = 8) -> tuple[DataFrame, bool]:
+    """``kept_by_reranker`` with what ``score`` gives for ``fused``, and whether it worked: if it fails, the order stays as it is."""
+    try:
+        scores = scratch.saved(score(fused), "scores")
+        return kept_by_reranker(fused, scores, k), True
+    except Exception:  # noqa: BLE001  whatever a reranker breaks on, the search goes on without it
+        return kept_by_reranker(fused, None, k), False
+
+
+def debug_payload(stages_: DataFrame, settings: dict) -> DataFrame:
+    """qid, payload (JSON): every stage's list in order, under its name, and the settings of the search."""
+    entry = F.struct("rank", F.struct("chunk_id", F.col("chunk_id").cast("string").alias("label"), "rank", "score", F.col("stage").alias("source")).alias("c"))
+    rows = stages_.groupBy("qid", "stage").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["c"]).alias("candidates"))
+    kept = rows.groupBy("qid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "candidates")))).alias("stages"))
+    config = F.create_map(*[F.lit(x) for k, v in sorted(settings.items()) for x in (k, str(v))])
+    return kept.select("qid", F.to_json(F.struct(config.alias("config"), "stages")).alias("payload"))
+
+
 def dedupe(fused: DataFrame, hashes: DataFrame) -> DataFrame:
     """The first of each content hash per query, in rank order; rows without a hash stay."""
     first = Window.partitionBy("qid", "content_hash").orderBy("rank")

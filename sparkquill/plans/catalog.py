@@ -472,7 +472,12 @@ def url_language(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^[a-z]+://[^/]+/([a-z]{2})/", 1).alias("language"), url.rlike("[.](html|htm)([?#]|$)").alias("is_html"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://(.*)$', 1) AS path FROM pages), n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)
+    SELECT page_id, regexp_matches(path, '(^|/)([.]git|node_modules|[.]venv|venv|dist|build|target|coverage|[.]next|[.]cache|vendor)/')
+      OR regexp_matches(path, '(^|/)([^/]*[.](min[.]js|map|lock|png|jpg|pdf|exe|dll|so|class|jar|zip|tar|gz|pem|key|p12|jks)|[.]env|[.]env[.][^/]*|id_rsa[^/]*)(/|$)') AS ignored,
+      regexp_matches(name, '^([.]env|[.]env[.].*|.*[.](pem|key|p12|pks|pfx|jks|pkcs8|ppk|keystore|jceks)|id_(rsa|dsa|ecdsa|ed25519).*|.*(credential|credentials|secret|secrets|password).*|[.]npmrc|[.]pypirc|.*[.]pem[.]my[.]cnf)$') AS sensitive FROM n"""
+)
 def path_ignored(spark, sf_dir):
     path = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://(.*)$", 1)
     return read(spark, sf_dir, "pages").select("page_id", files.ignored(path).alias("ignored"), files.sensitive(path).alias("sensitive"))
@@ -506,4 +511,4 @@ def symbol_overlap(spark, sf_dir):
     return p.join(q, "l_orderkey").where("qs <= e AND qe >= s").groupBy("l_orderkey", "l_linenumber").agg(F.min("qs").alias("first_symbol"))
 
 
-from . import artifacts, indexing, ingestion, jobs, metrics, parsing, quality, records  # noqa: E402, F401  (adds its queries)
+from . import artifacts, coverage, indexing, ingestion, jobs, metrics, parsing, quality, records  # noqa: E402, F401  (adds its queries)

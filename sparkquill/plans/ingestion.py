@@ -75,7 +75,13 @@ def stage_transitions(spark, sf_dir):
     return ingestion.transitions(log, _KINDS)
 
 
-@query()
+@query(
+    """WITH RECURSIVE h AS (SELECT user_id AS key, event_id AS hit, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT key, hit, i, true AS allowed, [sec] AS times FROM h WHERE i = 1
+      UNION ALL SELECT h.key, h.hit, h.i, len(list_filter(times, lambda t: t > sec - 86400)) < 3,
+        CASE WHEN len(list_filter(times, lambda t: t > sec - 86400)) < 3 THEN list_append(list_filter(times, lambda t: t > sec - 86400), sec) ELSE list_filter(times, lambda t: t > sec - 86400) END
+      FROM r JOIN h ON h.key = r.key AND h.i = r.i + 1) SELECT key, hit, allowed FROM r"""
+)
 def rate_limit(spark, sf_dir):
     hits = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("hit"), "ts")
     return ingestion.allowed_hits(hits, 3, 86_400.0)

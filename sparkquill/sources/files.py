@@ -68,6 +68,24 @@ def is_binary(content: Column) -> Column:
     return F.locate("\u0000", F.decode(F.substring(content, 1, 8192), "ISO-8859-1")) > 0
 
 
+# Extensions and first bytes of files that are no text.
+BINARY_EXTENSIONS = (
+    "png jpg jpeg gif bmp webp ico tif tiff pdf doc docx xls xlsx ppt pptx zip jar gz tar tgz bz2 xz 7z rar zst exe dll so dylib class obj o a lib "
+    "wasm pyc pyo pyd woff woff2 ttf otf eot db sqlite sqlite3 mdb bin iso img"
+).split()
+BINARY_BYTES = (
+    "89504E470D0A1A0A FFD8FF 474946383761 474946383961 424D CAFEBABE CAFEBABB FEEDFACE CEFAEDFE FEEDFACF CFFAEDFE 7F454C46 4D5A 504B0304 504B0506 504B0708 "
+    "1F8B 1F9D 1FA0 425A68 FD377A585A00 28B52FFD 255044462D 00000100 0061736D"
+).split()
+
+
+def is_binary_file(path: Column, content: Column) -> Column:
+    """Whether a file is no text: by its extension, its first bytes, or a zero byte among the first 8192; an empty file is text."""
+    extension = F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"[.]([^.]+)$", 1))
+    first = F.hex(F.substring(content, 1, 8))
+    return (F.octet_length(content) > 0) & (extension.isin(BINARY_EXTENSIONS) | first.rlike("^(?:" + "|".join(BINARY_BYTES) + ")") | is_binary(content))
+
+
 def manifest_hash(files: DataFrame) -> DataFrame:
     """One revision for all of ``files`` (path, content_hash): the hash of their sorted lines. A manifest holds names and hashes, no contents."""
     lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", "content_hash"))), "\n")

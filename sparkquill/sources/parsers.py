@@ -19,6 +19,8 @@ from ..operators import code
 
 #: Characters that a file's units may hold together; bytes of a package's part, and parts.
 MOST_CHARS, MOST_PART, MOST_PARTS = 20_000_000, 256 << 20, 10_000
+#: A recognised image under this confidence is to be reviewed.
+LEAST_CONFIDENCE = 0.6
 LOCATOR = "struct<file_path:string,page_start:int,page_end:int,line_start:int,line_end:int,block_index:int>"
 # Kinds by extension, by MIME type, by the first bytes.
 CODE_EXTENSIONS = (
@@ -320,3 +322,113 @@ def code_units(files: DataFrame) -> DataFrame:
         one = part.select("file", F.posexplode(F.concat(first, each)).alias("at", "u")).select("file", (F.col("at") + 1).alias("unit"), "u.*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_ITEM, _CELL = re.compile(r"([-*+]|\d+[.)])\s+"), re.compile(r":?-+:?")
+MARKDOWN_UNITS = "file string, unit int, kind string, text string, markdown string, heading_path array<string>, depth int, parent int, language string, line_start int, line_end int"
+
+
+def _separator(line: str) -> bool:
+    """Whether a line parts a table's header from its rows."""
+    cells = [c.strip() for c in line.strip().strip("|").split("|")]
+    return any(cells) and all(_CELL.fullmatch(c) for c in cells if c)
+
+
+def _kind(lines: list[str], i: int) -> str:
+    """What a line begins; blank where it has nothing to read."""
+    line = lines[i].strip()
+    hashes = len(line) - len(line.lstrip("#"))
+    if not line:
+        return "blank"
+    if 1 <= hashes <= 6 and line[hashes:].strip():
+        return "heading"
+    if line.startswith(("```", "~~~")):
+        return "code"
+    if line.startswith("|") and i + 1 < len(lines) and _separator(lines[i + 1]):
+        return "table"
+    return "list_item" if _ITEM.match(line) else "paragraph"
+
+
+def markdown_blocks(text: str) -> Iterator[tuple]:
+    """kind, text, markdown, heading_path, depth, parent, language, line_start, line_end of a text's units in order.
+
+    A heading has 1 to 6 hashes and a text, with a blank between or without; a fence goes on to a line that is its mark alone, or to
+    the end; a table has a separator as its second line and goes on to a blank line, a heading or a fence; each list
+    item is a unit; other lines go on to a blank line or to what begins another unit but a table. ``parent``: the last heading's number.
+    """
+    lines = [x for x in re.split(LINE_END, text)]
+    lines = lines[:-1] if lines[-1] == "" else lines
+    path: list[str] = []
+    parent, n, i = None, 0, 0
+    while i < len(lines):
+        kind, line, end, language, depth = _kind(lines, i), lines[i].strip(), i + 1, None, len(path)
+        if kind == "blank":
+            i += 1
+            continue
+        content = written = line
+        if kind == "heading":
+            depth = len(line) - len(line.lstrip("#"))
+            content = line[depth:].strip()
+            del path[depth - 1 :]
+            path.append(content)
+        elif kind == "code":
+            language = line[3:].strip() or None
+            while end < len(lines) and lines[end].strip() != line[:3]:
+                end += 1
+            content = "\n".join(lines[i + 1 : end])
+            end += 1
+            written = "\n".join(lines[i:end])
+        elif kind == "table":
+            while end < len(lines) and _kind(lines, end) not in ("blank", "heading", "code"):
+                end += 1
+            content, written = "\n".join(x.strip() for x in lines[i:end]), "\n".join(lines[i:end])
+        elif kind == "list_item":
+            written = lines[i].rstrip()
+        else:
+            while end < len(lines) and _kind(lines, end) in ("paragraph", "table"):
+                end += 1
+            content = written = "\n".join(lines[i:end]).strip()
+        n += 1
+        yield kind, content, written, list(path), depth, None if kind == "heading" else parent, language, i + 1, end
+        parent = n if kind == "heading" else parent
+        i = end
+
+
+def markdown_units(files: DataFrame) -> DataFrame:
+    """``MARKDOWN_UNITS`` of (file, text): the heading stack and the fences run through a file, so one row is one walk."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in MARKDOWN_UNITS.split(", ")]
+        for frame in frames:
+            rows = [(f, n, *u) for f, t in zip(frame["file"], frame["text"]) for n, u in enumerate(markdown_blocks(t or ""), 1)]
+            yield pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
+
+    return files.select("file", "text").mapInPandas(parse, MARKDOWN_UNITS)
+
+
+def image_units(images: DataFrame) -> DataFrame:
+    """file, unit, kind, text, page, confidence, block_index, bbox, needs_review, reason of recognised images.
+
+    images (file, error, full_text, confidence, blocks of text, page, confidence and bbox as left, top, width, height): a header,
+    then the whole text with the box around all blocks, then each block that has a text or a box. An image without a result is a
+    unit of kind image with the reason; one without a confidence or under LEAST_CONFIDENCE is to be reviewed.
+    """
+    boxes = F.filter(F.transform("blocks", lambda b: b["bbox"]), lambda b: b.isNotNull())
+    of = lambda at: F.transform(boxes, lambda b: F.get(b, F.lit(at)))
+    left, top = F.array_min(of(0)), F.array_min(of(1))
+    right, bottom = (F.array_max(F.transform(boxes, lambda b: F.get(b, F.lit(at)) + F.get(b, F.lit(at + 2)))) for at in (0, 1))
+    around = F.when(F.size(boxes) > 0, F.array(left, top, right - left, bottom - top))
+    failed = F.col("full_text").isNull()
+    low = ~failed & (F.col("confidence").isNull() | (F.col("confidence") < LEAST_CONFIDENCE))
+    why = F.when(failed, F.concat(F.lit("OCR unavailable: "), F.coalesce("error", F.lit("")))).when(low, F.when(F.col("confidence").isNull(), "missing OCR confidence").otherwise("low OCR confidence"))
+    null = F.lit(None)
+    unit = lambda kind, text, page, confidence, index, bbox: F.struct(
+        F.lit(kind).alias("kind"), text.cast("string").alias("text"), page.cast("int").alias("page"), confidence.cast("double").alias("confidence"), index.cast("int").alias("block_index"), bbox.cast("array<double>").alias("bbox")
+    )
+    seen = F.filter(F.transform("blocks", lambda b, i: F.struct(b.alias("b"), (i + 1).alias("i"))), lambda x: (F.trim(F.coalesce(x["b"]["text"], F.lit(""))) != "") | x["b"]["bbox"].isNotNull())
+    parts = F.transform(seen, lambda x: unit("ocr_text", x["b"]["text"], F.coalesce(x["b"]["page"], F.lit(0)), x["b"]["confidence"], x["i"], x["b"]["bbox"]))
+    header = F.array(unit("file_header", F.col("file"), null, null, null, null))
+    read = F.concat(F.array(unit("ocr_text", F.col("full_text"), F.lit(0), F.col("confidence"), null, around)), F.coalesce(parts, F.slice(header, 1, 0)))
+    units = F.concat(header, F.when(failed, F.array(unit("image", F.col("file"), null, null, null, null))).otherwise(read))
+    rows = images.select("file", why.isNotNull().alias("needs_review"), why.alias("reason"), F.posexplode(units).alias("at", "u"))
+    return rows.select("file", (F.col("at") + 1).alias("unit"), "u.*", "needs_review", "reason")
