@@ -91,22 +91,34 @@ def text_key(text: str = "text") -> F.Column:
 SLICE_ROWS, SLICES = 500_000, 64
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, n_rows: int) -> DataFrame:
+#: Rows of one slice beyond which rows that are alike in all are counted before they are numbered.
+MOST_ALIKE = 4 * SLICE_ROWS
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, n_rows: int, most_alike: int | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps inside each ``group``, whatever the group's size.
 
     A row_number over a group would take the whole group to one task. Here rows are first dealt to slices
     of each group by a hash of ``order``, numbered inside the slice, and moved up by the sizes of the slices before.
     The slices follow from ``n_rows``, the rows of all groups. The table of sizes is broadcast: it has groups x
     slices rows, callers have a fixed number of groups (shards, buckets), and ten billion rows make 20 000 slices. The
-    order inside a group is thus (slice, order): fixed by the rows alone.
+    order inside a group is thus (slice, order): fixed by the rows alone. Rows that repeat share a slice; where that makes one
+    of more than MOST_ALIKE rows, rows alike in all columns are first counted, numbered as one, and given out again.
     """
     bins = max(SLICES, -(-n_rows // SLICE_ROWS))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(bins)).cast("int"))
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n")), "slices")
+    largest = sizes.agg(F.max("_n").alias("n")).first()["n"] or 0
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_slice").orderBy(*order)
-    rows = sliced.withColumn("_at", F.row_number().over(inside) - 1)
+    if largest > (MOST_ALIKE if most_alike is None else most_alike):
+        alike = sliced.groupBy(*sliced.columns).agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*group, "_slice").orderBy(*order, *[c for c in df.columns if c not in order]).rowsBetween(Window.unboundedPreceding, -1)
+        firsts = alike.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        rows = firsts.withColumn("_at", F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1))).drop("_first", "_n")
+    else:
+        rows = sliced.withColumn("_at", F.row_number().over(inside) - 1)
     return (
         rows.join(F.broadcast(starts), [*group, "_slice"])
         .withColumn(out, F.col("_before") + F.col("_at"))

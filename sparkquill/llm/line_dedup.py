@@ -56,7 +56,7 @@ def _hashed(key: str) -> tuple[Column, Column]:
 def keys(docs: DataFrame) -> DataFrame:
     """h, c, n (documents), last (largest doc_id): each key of ``docs`` once."""
     held = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: F.length(k) >= LEAST))
-    rows = docs.select("doc_id", F.explode(held).alias("key")).select("doc_id", *_hashed("key"))
+    rows = docs.select("doc_id", F.explode_outer(held).alias("key")).where("key is not null").select("doc_id", *_hashed("key"))
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
 
 
@@ -185,7 +185,8 @@ def dropped_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """doc_id, key (tells rows of one doc_id apart), gone: the places of lines to drop, ascending."""
     # the text is hashed and its lines are keyed before they are exploded, so once each
     rows = docs.select("doc_id", text_key().alias("key"), F.transform(_lines(F.col("text")), _key).alias("lines"))
-    lines = rows.select("doc_id", "key", F.posexplode("lines").alias("at", "line")).where(F.length("line") >= LEAST)
+    # outer: else a condition on the array's size would be put below, and the array made twice
+    lines = rows.select("doc_id", "key", F.posexplode_outer("lines").alias("at", "line")).where(F.length("line") >= LEAST)
     lines = lines.select("doc_id", "key", "at", *_hashed("line"))
     few = bounded(frequent, MOST_FREQUENT)
     met = lines.join(F.broadcast(frequent) if few else frequent, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last")))

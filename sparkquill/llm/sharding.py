@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Equal texts are a group and stay together, unless a group is more than half a shard in any size; then its rows
-are dealt to pieces by doc_id, since whole groups of that size would leave shards unlike. Groups over 1/(64 x shards) of the corpus in
+are dealt to pieces by their place in it, since whole groups of that size would leave shards unlike. Groups over 1/(64 x shards) of the corpus in
 any of the three sizes are items of their own (there are at most 3 x 64 x shards of them); all others are
 bundled by a hash of their text into 256 bundles a shard. The driver thus packs a bounded number of items:
 largest first, each where the dot product of its sizes with the shard's residual capacity is highest, and
@@ -70,12 +70,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     own = (share > 1.0 / (OWN * shards)) & (F.col("n") > 0)
     # A group's pieces: one up to half a shard, which the rest can still fill evenly.
     parts = F.when(share * shards <= 0.5, 1).otherwise(F.least(F.col("n"), F.ceil(share * shards * PIECE)).cast("int")).alias("parts")
-    split = [(r.group, r.parts) for r in groups.where(own).select("group", parts).toLocalIterator()]
-    split = spark.createDataFrame(split, "group string, parts int")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("string")
-    item = F.when(F.col("parts").isNull(), F.col("bundle")).otherwise(F.concat_ws("-", "group", part))
+    named_parts = [(r.group, r.parts) for r in groups.where(own).select("group", parts).toLocalIterator()]
+    split = spark.createDataFrame(named_parts, "group string, parts int")
+    item = F.when(F.col("parts").isNull(), F.col("bundle")).otherwise(F.concat_ws("-", "group", F.lit("0")))
     # This table and the next are broadcast: they hold a bounded number of items (see above).
-    named = rows.join(F.broadcast(split), "group", "left").withColumn("item", item)
+    of = rows.join(F.broadcast(split), "group", "left")
+    named = of.where(F.coalesce("parts", F.lit(1)) == 1).withColumn("item", item)
+    if any(parts > 1 for _, parts in named_parts):
+        # rows of a split group are dealt by their place in it, so pieces are even whatever their doc_ids are
+        dealt = numbered(of.where("parts > 1"), ["group"], ["doc_id", "text_crc32"], "place", whole["n"])
+        named = named.unionByName(dealt.withColumn("item", F.concat_ws("-", "group", (F.col("place") % F.col("parts")).cast("string"))).drop("place"))
 
     sized = named.groupBy("item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     items = sorted(tuple(r) for r in sized.toLocalIterator())

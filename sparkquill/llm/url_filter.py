@@ -79,7 +79,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.reverse(F.split("host", "\\."))
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
+    # a rule fits ancestors of as many labels as its own host has, so no longer ones are looked up
+    most = rules.agg(F.max(F.size(F.split(F.regexp_extract("rule", "^[^/]*", 0), "\\."))).alias("n")).first()["n"] or 1
+    ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
     probes = urls.select("host", "path", F.explode(ancestors).alias("rev")).select(F.concat("rev", F.lit(BETWEEN), "path").alias("key"), F.lit(1).alias("kind"), "host", "path")
     starts = with_stacks(rules).select("key", F.lit(0).alias("kind"), "stack")
     events = starts.unionByName(probes, allowMissingColumns=True)

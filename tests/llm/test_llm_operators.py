@@ -562,3 +562,27 @@ def test_numbering_has_no_gaps(spark):
     frame = spark.range(1000).withColumn("g", F.col("id") % 3)
     got = common.numbered(frame, ["g"], ["id"], "at", 8 * common.SLICE_ROWS).collect()
     assert sorted((r.g, r["at"]) for r in got) == sorted((g, i) for g in range(3) for i in range(334 if g == 0 else 333))
+
+
+def test_numbering_of_rows_that_repeat(spark):
+    frame = spark.createDataFrame([(g, i, "x") for g in (0, 1) for i in [None] * 50 + [7] * 30 + list(range(20))], "g int, id long, t string")
+    for most in (10**9, 5):
+        got = common.numbered(frame, ["g"], ["id"], "at", 200, most).collect()
+        assert sorted((r.g, r["at"]) for r in got) == [(g, i) for g in (0, 1) for i in range(100)]
+        assert sorted((r.g, r.id is None, r.id or 0) for r in got) == sorted((r.g, r.id is None, r.id or 0) for r in frame.collect())
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_sharding_of_rows_that_repeat(spark, id_):
+    rows = sharding.shard(docs(spark, [(id_, "one text, again and again")] * 400 + [(i, phrase(i, 3)) for i in range(80)])).collect()
+    load = [sum(r["size"] for r in rows if r.shard == s) for s in range(24)]
+    assert len(rows) == 480 and max(load) - min(load) <= 2 * max(r["size"] for r in rows)
+    for s in range(24):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_url_filter_of_a_host_with_very_many_labels(spark):
+    long = ".".join(["a"] * 100_000)
+    pages = spark.createDataFrame([(1, f"http://{long}.example.com/en/7x"), (2, f"http://{long}/de/"), (3, f"http://{long}.net/de/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("net/de/", "allow")}
