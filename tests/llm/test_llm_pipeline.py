@@ -155,3 +155,11 @@ def test_stages_on_nulls(spark, sf):
         kept = common.materialize(stage(spark, kept, sf), "test")
     assert sorted(map(str, (tuple(r)[:1] for r in kept.collect()))) == sorted(map(str, [(1,), (3,), (4,)]))
     assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == 3
+
+
+def test_dedup_stages_leave_one_of_identical_rows(spark, sf):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text)] * 3 + [(2, text), (2, text.replace("word0 ", "word0\t"))] + [(5, "another text of a few words only")] * 2 + [(6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()) == [(1, text), (5, "another text of a few words only"), (6, "x")]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs.where("doc_id <> 2"), sf).collect()) == [1, 5, 6]
