@@ -53,17 +53,23 @@ INJECTIONS = {
     "pretend_no_limits": r"pretend\s+you\s+(?:have|are\s+running\s+with)\s+no\s+restrictions",
 }
 # The language of an extension and of a file name, in the order of the data contract.
-EXTENSIONS = """
-py python, pyi python, pyw python, java java, kt kotlin, kts kotlin, scala scala, sc scala, go go, rs rust, c c, h c, cc cpp, cpp cpp,
-cxx cpp, c++ cpp, hh cpp, hpp cpp, hxx cpp, cs csharp, js javascript, mjs javascript, cjs javascript, jsx javascript, ts typescript,
-mts typescript, cts typescript, tsx typescript, rb ruby, rake ruby, php php, swift swift, m objective-c, mm objective-c, sh shell,
-bash shell, zsh shell, fish shell, ps1 powershell, bat batch, cmd batch, sql sql, plsql plsql, pkb plsql, pks plsql, prc plsql,
-fnc plsql, trg plsql, vw plsql, json json, yaml yaml, yml yaml, toml toml, xml xml, html html, htm html, css css, scss scss, sass scss,
-less less, md markdown, markdown markdown, mdx markdown, rst markdown, txt plaintext, text plaintext, ipynb jupyter,
-dockerfile dockerfile, makefile makefile, tf terraform, hcl hcl, proto protobuf, graphql graphql, gql graphql, r r, lua lua, ex elixir,
-exs elixir, erl erlang, hrl erlang, hs haskell, clj clojure, cljs clojure, dart dart, vue vue, svelte svelte
-"""
-FILE_NAMES = "dockerfile dockerfile, makefile makefile, cmakelists.txt cmake, gemfile ruby, rakefile ruby, vagrantfile ruby, procfile shell, jenkinsfile groovy"
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "pyw": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "go": "go",
+    "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
+    "tsx": "typescript", "rb": "ruby", "rake": "ruby", "php": "php", "swift": "swift", "m": "objective-c", "mm": "objective-c", "sh": "shell",
+    "bash": "shell", "zsh": "shell", "fish": "shell", "ps1": "powershell", "bat": "batch", "cmd": "batch", "sql": "sql", "plsql": "plsql",
+    "pkb": "plsql", "pks": "plsql", "prc": "plsql", "fnc": "plsql", "trg": "plsql", "vw": "plsql", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "xml": "xml", "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "scss", "less": "less", "md": "markdown",
+    "markdown": "markdown", "mdx": "markdown", "rst": "markdown", "txt": "plaintext", "text": "plaintext", "ipynb": "jupyter",
+    "dockerfile": "dockerfile", "makefile": "makefile", "tf": "terraform", "hcl": "hcl", "proto": "protobuf", "graphql": "graphql", "gql": "graphql",
+    "r": "r", "lua": "lua", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang", "hs": "haskell", "clj": "clojure", "cljs": "clojure",
+    "dart": "dart", "vue": "vue", "svelte": "svelte",
+}
+FILE_NAMES = {
+    "dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake", "gemfile": "ruby", "rakefile": "ruby", "vagrantfile": "ruby",
+    "procfile": "shell", "jenkinsfile": "groovy",
+}
 # Names and folders of generated files.
 LOCKS = [
     "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "requirements.txt.lock", "Pipfile.lock",
@@ -151,9 +157,8 @@ def markdown_table(cells: Column) -> Column:
     return F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))), "\n"))
 
 
-def _looked_up(key: Column, pairs: str) -> Column:
-    entries = [x.split() for x in pairs.split(",")]
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in entries for x in pair]), key)
+def _looked_up(key: Column, pairs: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), key)
 
 
 def file_name(path: Column) -> Column:

@@ -58,7 +58,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame
     length than the first query's match nothing.
     """
     asked = queries.where("embedding is not null and size(embedding) > 0").select("qid", "embedding")
-    out, block = None, []
+    block = []
 
     def searched(rows: list) -> DataFrame:
         size = len(rows[0].embedding) if rows else 0
@@ -93,13 +93,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame
         same = vectors.where((F.size("embedding") == size) & ~F.exists("embedding", lambda x: x.isNull()))
         return same.select("chunk_id", "embedding").mapInArrow(local, "qid long, chunk_id long, score double")
 
+    # the driver holds one block of queries at a time: where there are several, a block's result is written before the next is read
+    found, several = None, False
     for row in asked.toLocalIterator():
         block.append(row)
         if len(block) * len(block[0].embedding) >= MATRIX:
-            out, block = searched(block) if out is None else out.unionByName(searched(block)), []
-    if block or out is None:
-        out = searched(block) if out is None else out.unionByName(searched(block))
-    return ranked(out, k)
+            one, block, several = scratch.saved(searched(block), "dense"), [], True
+            found = one if found is None else found.unionByName(one)
+    if block or found is None:
+        one = searched(block)
+        found = one if found is None else found.unionByName(scratch.saved(one, "dense") if several else one)
+    return ranked(found, k)
 
 
 def merge_sources(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, context, evaluation, ingestion, retrieval, snapshots
+from ..operators import chunking, code, context, evaluation, ingestion, retrieval, snapshots
 from ..sources import files
 from ..streaming import events
 from .catalog import _DENSE, _FUSED, _LEXICAL, chunks, queries_, query, read, vectors
@@ -193,3 +193,22 @@ def evidence_blocks(spark, sf_dir):
         on(5, F.lit(3)).alias("page_start"), on(5, on(7, n)).alias("page_end"), F.substring("html", 1, 50).alias("content"),
     )
     return read(spark, sf_dir, "pages").select("page_id", context.evidence_block(F.lit("S1"), row).alias("block"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS chunk, l_linenumber * 10 AS a, l_linenumber * 10 + 14 AS z FROM lineitem),
+    s AS (SELECT DISTINCT l_orderkey AS file, 's' || l_partkey AS name, l_linenumber * 10 + 5 AS a, l_linenumber * 10 + 9 AS z FROM lineitem)
+    SELECT p.file::VARCHAR AS file, p.chunk::INT AS chunk, coalesce(list(s.name ORDER BY s.a, s.name) FILTER (s.name IS NOT NULL), []) AS symbols FROM p LEFT JOIN s ON s.file = p.file AND s.a <= p.z AND s.z >= p.a GROUP BY ALL"""
+)
+def chunk_symbols(spark, sf_dir):
+    """Lines of an order as chunks, and as symbols in the middle of each."""
+    l, ten = read(spark, sf_dir, "lineitem"), (F.col("l_linenumber") * 10).cast("int")  # noqa: E741
+    file = F.col("l_orderkey").cast("string").alias("file")
+    pieces = l.select(file, F.col("l_linenumber").cast("int").alias("chunk"), F.lit(0).alias("part"), ten.alias("line_start"), (ten + 14).alias("line_end"))
+    found = l.select(file, F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("name"), (ten + 5).alias("line_start"), (ten + 9).alias("line_end"))
+    return code.with_symbols(pieces.distinct(), found).select("file", "chunk", "symbols")
+
+
+@query("SELECT tag, coalesce(n, 0) AS n FROM (SELECT unnest(['signup', 'view', 'refund']) AS tag) LEFT JOIN (SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1) USING (tag)")
+def wanted_tags(spark, sf_dir):
+    return evaluation.categories(read(spark, sf_dir, "events").select(F.array("event_type").alias("tags")), ["signup", "view", "refund"])

@@ -51,3 +51,45 @@ def conversation_resolve(spark, sf_dir):
     given = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("given"), F.col("event_id").cast("string")))
     asked = e.where("event_type = 'click'").select(F.col("event_id").alias("request"), F.when(F.col("event_id") % 10 != 0, F.col("project_id")).alias("project_id"), given.alias("conversation_id"))
     return records.resolved_conversations(asked, held)
+
+
+@query(
+    f"""WITH d AS (SELECT c_custkey AS document_id, CASE WHEN c_custkey % 6 = 0 THEN 'given' || c_custkey END AS active FROM customer),
+    v AS (SELECT 'old' || c_custkey AS version_id, c_custkey AS document_id, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 2 END AS version_no, CASE WHEN c_custkey % 8 = 0 THEN 'legacy-v0' ELSE 'p' END AS parser_profile FROM customer WHERE c_custkey % 3 = 0),
+    n AS (SELECT {_id("'version'", "d.document_id", "1")} AS version_id, document_id FROM d WHERE document_id NOT IN (SELECT document_id FROM v)),
+    l AS (SELECT version_id, document_id FROM n UNION ALL SELECT version_id, document_id FROM v WHERE version_no = 1 AND parser_profile = 'legacy-v0')
+    SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 5 = 0 THEN 'v' || o_orderkey ELSE l.version_id END AS version_id, coalesce(d.active, l.version_id) AS active_version_id,
+      o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS has_vector FROM orders JOIN d ON d.document_id = o_custkey LEFT JOIN l ON l.document_id = o_custkey"""
+)
+def backfill_steps(spark, sf_dir):
+    """Customers as documents, orders as chunks; some have versions and vectors already. The second pass finds nothing to do."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    key = F.col("c_custkey")
+    name = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    documents = c.select(key.alias("document_id"), F.when(key % 6 == 0, name("given", key)).alias("active_version_id"))
+    versions = c.where("c_custkey % 3 = 0").select(name("old", key).alias("version_id"), key.alias("document_id"), F.when(key % 4 == 0, 1).otherwise(2).alias("version_no"), F.lit("completed").alias("status"), F.when(key % 8 == 0, "legacy-v0").otherwise("p").alias("parser_profile"))
+    order = F.col("o_orderkey")
+    chunks = o.select(order.alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.when(order % 5 == 0, name("v", order)).alias("version_id"), F.when(order % 2 == 0, F.array(F.lit(1.0))).alias("embedding"))
+    profiles = spark.createDataFrame([], "profile_id string, provider string, model string, dimension int, distance_metric string, profile_version int")
+    vectors = o.where("o_orderkey % 3 = 0").select(order.alias("chunk_id"), F.lit("other").alias("profile_id"), F.array(F.lit(2.0)).alias("embedding"))
+    done = records.backfill(profiles, documents, versions, chunks, vectors, "m", 1)
+    done = records.backfill(*(done[t] for t in ("profiles", "documents", "versions", "chunks", "vectors")), "m", 1)
+    rows = done["chunks"].join(done["documents"], "document_id")
+    has = done["vectors"].select("chunk_id").distinct().withColumn("has", F.lit(True))
+    return rows.join(has, "chunk_id", "left").select("chunk_id", "version_id", "active_version_id", F.coalesce("has", F.lit(False)).alias("has_vector"))
+
+
+@query(
+    """SELECT c_custkey AS document_id, CASE c_custkey % 4 WHEN 0 THEN 'repository' WHEN 1 THEN 'archive' ELSE 'directory' END AS scanner, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 0 THEN c_mktsegment END AS relative_path,
+      CASE WHEN c_custkey % 5 = 0 THEN 'no active version' WHEN c_custkey % 4 = 1 AND c_custkey % 7 <> 0 THEN 'original missing' END AS error FROM customer"""
+)
+def refresh_plans(spark, sf_dir):
+    c, key = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    four = key % 4
+    kind = F.when(four == 0, "repository").when(four == 1, "archive").when(four == 2, "directory")
+    documents = c.select(key.alias("document_id"), kind.alias("source_type"), F.lit("origin").alias("origin_uri"), F.when(key % 5 != 0, key.cast("string")).alias("active_version_id"))
+    settings = F.create_map(F.lit("relative_path"), F.col("c_mktsegment"))
+    kept = records.scan_artifacts(c.where("c_custkey % 3 = 0").select(key.cast("string").alias("version_id"), settings.alias("settings")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    originals = c.where("c_custkey % 7 = 0").select(F.lit("a").alias("artifact_id"), key.cast("string").alias("version_id"), F.lit("original").alias("artifact_type"), F.lit("k").alias("storage_key"), F.lit(1).cast("long").alias("size_bytes"), none.alias("metadata"))
+    return records.refresh_plans(documents, kept.unionByName(originals)).select("document_id", "scanner", F.try_element_at("settings", F.lit("relative_path")).alias("relative_path"), "error")

@@ -91,3 +91,12 @@ def test_a_reranker_that_fails_changes_nothing(spark):
 @pytest.mark.parametrize("name", sorted(n for n, f in QUERIES.items() if f.__module__ == coverage.__name__) + ["rate_limit", "path_ignored"])
 def test_on_more_rows(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLES[name], "/root/testdata/sf0.01")
+
+
+def test_dense_search_in_several_blocks_of_queries(spark, sf, monkeypatch):
+    from sparkquill.plans import catalog
+
+    rows = lambda: sorted(tuple(r) for r in retrieval.dense(catalog.vectors(spark, sf), catalog.queries_(spark, sf), 7).select("qid", "chunk_id", "score", "rank").collect())
+    want = rows()
+    monkeypatch.setattr(retrieval, "MATRIX", 500)
+    assert rows() == want and len(want) > 100

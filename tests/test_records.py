@@ -83,3 +83,21 @@ def test_answers_are_kept_once(spark, tmp_path):
 @pytest.mark.parametrize("name", ["get_or_create", "conversation_resolve"])
 def test_on_more_rows(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLES[name], "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("name", ["backfill_steps", "refresh_plans"])
+def test_backfills_on_more_rows(spark, name):
+    same(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLES[name], "/root/testdata/sf0.01")
+
+
+def test_a_backfill_is_done_once(spark):
+    profiles = spark.createDataFrame([("p0", "openai-compatible", "m", 3, "cosine", 1)], "profile_id string, provider string, model string, dimension int, distance_metric string, profile_version int")
+    documents = spark.createDataFrame([(1, None), (2, "v")], "document_id long, active_version_id string")
+    versions = spark.createDataFrame([], "version_id string, document_id long, version_no int, status string, parser_profile string")
+    chunks = spark.createDataFrame([(10, 1, None, [1.0]), (11, 2, "w", None)], "chunk_id long, document_id long, version_id string, embedding array<double>")
+    vectors = spark.createDataFrame([], "chunk_id long, profile_id string, embedding array<double>")
+    once = records.backfill(profiles, documents, versions, chunks, vectors, "m", 3)
+    twice = records.backfill(*(once[t] for t in ("profiles", "documents", "versions", "chunks", "vectors")), "m", 3)
+    for name in once:
+        assert rows(once[name]) == rows(twice[name]), name
+    assert rows(once["profiles"]) == rows(profiles) and rows(once["vectors"]) == [(10, "p0", [1.0])] and {r.document_id: r.active_version_id for r in once["documents"].collect()}[2] == "v"
