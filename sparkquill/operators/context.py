@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 MOST_CHUNKS, MOST_TOKENS, WIDTH = 8, 12_000, 1
 SNIPPET = 200
 
@@ -14,7 +16,8 @@ def candidates(hits: DataFrame, chunks: DataFrame, width: int = WIDTH) -> DataFr
 
     hits (qid, chunk_id, rank), chunks (chunk_id, source_id, sequence_no, parent_chunk_id, content_hash, token_count).
     Each hit stands itself, then its parent, then its neighbours by distance; of equal contents the first stays.
-    Neighbours are sought by an equal key (source and shifted number), so no band join is needed.
+    Neighbours are sought by an equal key (source and shifted number), so no band join is needed. Where chunks have a ``content`` and a
+    ``row_group_header`` or a ``signature``, these stand before a hit whose content doesn't hold them, with a hash and tokens of their own.
     """
     found = hits.join(chunks.select("chunk_id", "source_id", "sequence_no", "parent_chunk_id"), "chunk_id")
     shifts = [s for d in range(1, width + 1) for s in (-d, d)]
@@ -33,7 +36,13 @@ def candidates(hits: DataFrame, chunks: DataFrame, width: int = WIDTH) -> DataFr
         rows = rows.unionByName(more)
     once = Window.partitionBy("qid", "content_hash").orderBy("rank", "step", "chunk_id")
     order = Window.partitionBy("qid").orderBy("rank", "step", "chunk_id")
-    first = rows.join(body, "chunk_id").withColumn("nth", F.row_number().over(once)).where("nth = 1 or content_hash is null")
+    rows = rows.join(body, "chunk_id")
+    for step, column in ((-2, "row_group_header"), (-1, "signature")):
+        if column in chunks.columns:
+            lead = F.trim(F.col(column))
+            before = hits.join(chunks.select("chunk_id", "content", column), "chunk_id").where((lead != "") & ~F.contains(F.coalesce("content", F.lit("")), lead))
+            rows = rows.unionByName(before.select("qid", "rank", F.lit(step).alias("step"), "chunk_id", F.lit(column).alias("relation"), F.sha2(column, 256).alias("content_hash"), T.naive_tokens(F.col(column)).cast(body.schema["token_count"].dataType).alias("token_count")))
+    first = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1 or content_hash is null")
     return first.select("qid", F.row_number().over(order).alias("place"), "chunk_id", "relation", "content_hash", "token_count")
 
 

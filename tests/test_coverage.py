@@ -100,3 +100,14 @@ def test_dense_search_in_several_blocks_of_queries(spark, sf, monkeypatch):
     want = rows()
     monkeypatch.setattr(retrieval, "MATRIX", 500)
     assert rows() == want and len(want) > 100
+
+
+def test_headers_and_signatures_stand_before_their_chunks(spark):
+    from sparkquill.operators import context
+
+    kind = "chunk_id long, source_id long, sequence_no int, parent_chunk_id long, content_hash string, token_count long, content string, row_group_header string, signature string"
+    chunks = spark.createDataFrame([(1, 1, 1, None, "h1", 5, "| 1 |", "| a |", None), (2, 1, 2, None, "h2", 5, "| a |\n| 2 |", "| a | ", ""), (3, 2, 1, None, "h3", 5, "body", None, "def f()"), (4, 2, 2, None, "h4", 5, "more", "| a |", "def f()")], kind)
+    hits = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4)], "qid long, chunk_id long, rank int")
+    got = [(r.chunk_id, r.relation) for r in context.build(hits, chunks, width=0).orderBy("position").collect()]
+    assert got == [(1, "row_group_header"), (1, "self"), (2, "self"), (3, "signature"), (3, "self"), (4, "self")]
+    assert [r.relation for r in context.build(hits, chunks, most_chunks=2, width=0).orderBy("position").collect()] == ["row_group_header", "self"]
