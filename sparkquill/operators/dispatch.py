@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import chunking, code
 
-# The profile that a chunk carries.
-PROFILE, VERSION = "context-vault-chunker", "4.0.0"
+#: The profile that chunks carry unless they are given another.
+PROFILE = {"name": "sparkquill-chunker", "version": "1", "token_counter_method": "fallback"}
 
 
-def profile(method: str = "fallback") -> Column:
-    return F.struct(F.lit(PROFILE).alias("name"), F.lit(VERSION).alias("version"), F.lit(method).alias("token_counter_method"))
+def profile_of(fields: dict[str, str]) -> Column:
+    return F.struct(*[F.lit(fields[k]).alias(k) for k in PROFILE])
 
 
-def chunked(units: DataFrame, most: int = chunking.MOST_TOKENS) -> DataFrame:
+def chunked(units: DataFrame, most: int = chunking.MOST_TOKENS, profile: dict[str, str] = PROFILE) -> DataFrame:
     """doc_id, sequence_no, family, kind, unit_first, unit_last, heading_path, content, embedding_text, content_hash, tokens, profile.
 
     units (doc_id, unit, kind, text, markdown, heading_path, language): texts in a row are chunked together, every table by
@@ -35,5 +35,5 @@ def chunked(units: DataFrame, most: int = chunking.MOST_TOKENS) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("family", "chunk")
     return rows.select(
         "doc_id", F.row_number().over(order).alias("sequence_no"), "family", "kind", "unit_first", "unit_last", "heading_path", "content",
-        T.embedding_text(F.col("heading_path"), F.col("content")).alias("embedding_text"), F.sha2("content", 256).alias("content_hash"), T.naive_tokens(F.col("content")).alias("tokens"), profile().alias("profile"),
+        T.embedding_text(F.col("heading_path"), F.col("content")).alias("embedding_text"), F.sha2("content", 256).alias("content_hash"), T.naive_tokens(F.col("content")).alias("tokens"), profile_of(profile).alias("profile"),
     )

@@ -432,3 +432,29 @@ def image_units(images: DataFrame) -> DataFrame:
     units = F.concat(header, F.when(failed, F.array(unit("image", F.col("file"), null, null, null, null))).otherwise(read))
     rows = images.select("file", why.isNotNull().alias("needs_review"), why.alias("reason"), F.posexplode(units).alias("at", "u"))
     return rows.select("file", (F.col("at") + 1).alias("unit"), "u.*", "needs_review", "reason")
+
+
+def _plain(name: str | None, raw: bytes | None, most: int) -> tuple[str | None, str | None]:
+    """The text of a file by its extension alone, or why there is none."""
+    extension = (name or "").rpartition("/")[2].rpartition(".")
+    kind = extension[2].lower() if extension[0] else ""
+    try:
+        if kind in ("txt", "md"):
+            return (raw or b"").decode("utf-8"), None
+        if kind == "docx":
+            with zipfile.ZipFile(io.BytesIO(raw or b"")) as package:
+                body = ElementTree.fromstring(_part(package, "word/document.xml", most) or b"").find(f"{_W}body")
+            return "\n".join(map(_runs, body.findall(f"{_W}p"))), None
+    except (UnicodeDecodeError, zipfile.BadZipFile, ElementTree.ParseError, ValueError, AttributeError, NotImplementedError, EOFError, OSError) as e:
+        return None, f"{type(e).__name__}: {e}"
+    return None, "page texts are needed" if kind == "pdf" else f"unsupported: {kind}"
+
+
+def legacy_text(files: DataFrame, most_part: int = MOST_PART) -> DataFrame:
+    """file, text, error of (file, content): .txt and .md as UTF-8, the paragraphs of .docx a line each; other extensions have an error."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(f, *_plain(f, c, most_part)) for f, c in zip(frame["file"], frame["content"])], columns=["file", "text", "error"])
+
+    return files.select("file", "content").mapInPandas(read, "file string, text string, error string")

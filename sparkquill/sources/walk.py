@@ -20,6 +20,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import text as T
 from . import files
 
+# What the plainest walk leaves out (folders, extensions, names taken as sensitive), and the languages it knows.
+FLOOR = [
+    ".git/", ".hg/", ".svn/", "node_modules/", ".venv/", "venv/", "dist/", "build/", "target/", "coverage/", ".next/", ".cache/", "vendor/", "__pycache__/",
+    "*.map", "*.lock", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.pdf", "*.exe", "*.dll", "*.so", "*.class", "*.jar", "*.zip", "*.tar", "*.gz",
+    ".env*", "*.env", "*.pem", "*.key", "*.p12", "*.jks", "*id_rsa",
+]
+FLOOR_LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "ts": "typescript", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql", "md": "markdown", "plsql": "plsql", "pks": "plsql", "pkb": "plsql"}
 SCHEMA = "path string, size long, content_hash string, head binary, error string"
 #: Default limits: bytes of a file, of all files, files, seconds that a task may walk; and bytes of a file's beginning that are kept.
 MOST_FILE, MOST_BYTES, MOST_FILES, MOST_SECONDS, HEAD = 2 << 20, 1 << 30, 20_000, 900.0, 8192
@@ -37,8 +44,8 @@ def is_allowed(path: str, roots: list[str]) -> bool:
     return any(canonical(path) == (top := canonical(root)) or canonical(path).startswith(top.rstrip("/") + "/") for root in filter(None, roots))
 
 
-def _rules(layers: list[list[str]]) -> list[list[tuple[bool, re.Pattern]]]:
-    return [[(verdict, re.compile(pattern)) for verdict, pattern in filter(None, map(files.rule, lines))] for lines in (files.IGNORED, *layers)]
+def _rules(layers: list[list[str]], first: list[str] = files.IGNORED) -> list[list[tuple[bool, re.Pattern]]]:
+    return [[(verdict, re.compile(pattern)) for verdict, pattern in filter(None, map(files.rule, lines))] for lines in (first, *layers)]
 
 
 def _left_out(path: str, rules: list[list[tuple[bool, re.Pattern]]], folder: bool = False) -> bool:
@@ -62,6 +69,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.layers = json.loads(options.get("layers", "[]"))
+        self.plainest = options.get("plainest", "false") == "true"
         self.most_file, self.most_seconds = int(options.get("most_file", MOST_FILE)), float(options.get("most_seconds", MOST_SECONDS))
         self.tasks = int(options.get("tasks", 16))
 
@@ -79,12 +87,16 @@ class _Reader(DataSourceReader):
                     names.append(path)
         return folders, names
 
+    @property
+    def rules(self) -> list[list[tuple[bool, re.Pattern]]]:
+        return _rules(self.layers, FLOOR if self.plainest else files.IGNORED)
+
     @property
     def sensitive(self) -> re.Pattern:
-        return re.compile("|".join(f"^{files._glob(p)}$" for p in files.SENSITIVE))
+        return re.compile("^$") if self.plainest else re.compile("|".join(f"^{files._glob(p)}$" for p in files.SENSITIVE))
 
     def partitions(self) -> list[_Subtrees]:
-        rules, level, names = _rules(self.layers), [""], []
+        rules, level, names = self.rules, [""], []
         while level and len(level) < self.tasks:
             below = []
             for folder in level:
@@ -96,7 +108,7 @@ class _Reader(DataSourceReader):
         return [_Subtrees(level[i::n], names[i::n]) for i in range(n)]
 
     def read(self, partition: _Subtrees) -> Iterator[tuple]:
-        rules, ends, open_ = _rules(self.layers), time.monotonic() + self.most_seconds, list(reversed(partition.folders))
+        rules, ends, open_ = self.rules, time.monotonic() + self.most_seconds, list(reversed(partition.folders))
         yield from map(self._row, partition.names)
         while open_:
             folder = open_.pop()
@@ -128,7 +140,7 @@ class _Reader(DataSourceReader):
 
 
 class WalkSource(DataSource):
-    """``spark.read.format("walk").load(folder)``: SCHEMA. Options: layers (JSON, lists of ignore lines), most_file, most_seconds, tasks."""
+    """``spark.read.format("walk").load(folder)``: SCHEMA. Options: layers (JSON, lists of ignore lines), most_file, most_seconds, tasks, plainest."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,6 +171,16 @@ def walk(spark: SparkSession, folder: str, *layers: list[str], roots: list[str]
     return rows.select("path", "size", "content_hash", T.language(F.col("path")).alias("language"), binary.alias("is_binary"), T.is_generated(F.col("path")).alias("is_generated"), "error").orderBy("path")
 
 
+def walk_plain(spark: SparkSession, folder: str, most_file: int = MOST_FILE) -> DataFrame:
+    """path, size, content_hash, language of the text files under ``folder`` by the rules of FLOOR alone; what can't be read, is too large or no text is left out."""
+    spark.dataSource.register(WalkSource)
+    rows = spark.read.format("walk").option("plainest", "true").option("most_file", str(most_file)).load(folder)
+    kept = rows.where(F.col("content_hash").isNotNull() & ~files.is_binary(F.col("head")))
+    extension = F.lower(F.regexp_extract("path", r"[.]([^./]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in FLOOR_LANGUAGES.items() for x in pair])
+    return kept.select("path", "size", "content_hash", F.try_element_at(known, extension).alias("language")).orderBy("path")
+
+
 def scan(spark: SparkSession, roots: dict[str, str], alias: str, relative: str = "", *layers: list[str], **limits) -> DataFrame:
     """``walk`` of a relative folder under the root that ``alias`` names."""
     if alias not in roots:

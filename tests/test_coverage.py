@@ -50,7 +50,7 @@ def test_chunks_of_a_mixed_document(spark):
     tables = [r for r in rows if r.kind == "table"]
     assert len(tables) > 1 and all(r.content.startswith("| a | b |\n|---|---|\n| row") for r in tables) and sum(r.content.count("| row") for r in tables) == 20
     assert sum(r.content.count("def f") for r in rows if r.kind == "code") == 30 and len([r for r in rows if r.kind == "code"]) > 1
-    assert all(r.embedding_text == f"# T\n\n{r.content}" for r in rows) and rows[0].profile.asDict() == {"name": "context-vault-chunker", "version": "4.0.0", "token_counter_method": "fallback"}
+    assert all(r.embedding_text == f"# T\n\n{r.content}" for r in rows) and rows[0].profile.asDict() == dispatch.PROFILE
 
 
 def test_image_units(spark):

@@ -128,3 +128,10 @@ def test_code_units(spark):
 @pytest.mark.parametrize("name", ["page_texts", "source_types", "code_symbols", "locator_merge"])
 def test_on_more_rows(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLES[name], "/root/testdata/sf0.01")
+
+
+def test_text_by_extension(spark):
+    files = [("a/b.TXT", "é".encode()), ("c.md", b"\xff"), ("d.docx", docx(p("one") + p("") + "<w:tbl/>" + p(" two "))), ("e.docx", b"x"), ("f.pdf", b"%PDF"), ("g.rtf", b""), ("txt", b"z"), (None, None)]
+    got = {r.file: (r.text, r.error) for r in parsers.legacy_text(spark.createDataFrame(files, "file string, content binary")).collect()}
+    assert got["a/b.TXT"] == ("é", None) and got["d.docx"] == ("one\n\n two ", None) and got["f.pdf"] == (None, "page texts are needed")
+    assert got["c.md"][1].startswith("UnicodeDecodeError") and got["e.docx"][1].startswith("BadZipFile") and got["g.rtf"][1] == "unsupported: rtf" and got["txt"][1] == got[None][1] == "unsupported: "

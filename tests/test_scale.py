@@ -130,3 +130,11 @@ def test_counters_ride_along(spark):
 @pytest.mark.parametrize("name", ["stage_metrics", "relevance_labels", "chunk_sequence", "parent_chunks", "latency_percentiles"])
 def test_on_more_rows(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLES[name], "/root/testdata/sf0.01")
+
+
+def test_the_plainest_walk(spark, tree):
+    (tree / "x.min.js").write_text("y")
+    (tree / ".env.local").write_text("y")
+    (tree / "sub_id_rsa").write_text("y")
+    got = {r.path: r.language for r in walk.walk_plain(spark, str(tree), 1000).collect()}
+    assert got == {"a.py": "python", "logs/keep.log": None, "logs/x.log": None, "my_secret.txt": None, "src/b.py": "python", "src/deep/er/c.js": "javascript", "src/deep/x.min.js": "javascript", "x.min.js": "javascript"}
