@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import chunking, evaluation, patterns, quantiles, retrieval, snapshots, symbols
 from ..sources import files
 from ..streaming import events as E
+from . import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +94,7 @@ e AS (SELECT f.qid, f.chunk_id, f.rank, d.score AS dense, l.score AS lexical, fa
 _SMALL = r"""
 sm AS (SELECT item_id AS qid, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[‘’“”]', chr(39), 'g'), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM benchmark),
 smalltalk AS (SELECT qid, t = '' OR (list_any_value(list_filter(list_transform(%s, lambda k: contains(t, k)), lambda b: b)) IS NOT NULL
-  AND NOT (length(t) >= 20 AND len(list_filter(string_split(t, ' '), lambda x: length(x) > 1 AND NOT list_contains(%s, x))) > 0)) AS smalltalk FROM sm)""" % (str(T.GREETINGS), str(T.SOCIAL_ONLY))
+  AND NOT (length(t) >= 20 AND len(list_filter(string_split(t, ' '), lambda x: length(x) > 1 AND NOT list_contains(%s, x))) > 0)) AS smalltalk FROM sm)""" % (str(written.GREETINGS), str(written.SOCIAL_ONLY))
 
 
 @query(f"WITH {_DENSE.strip()} SELECT qid, chunk_id, score, rank FROM dense")
@@ -193,7 +194,7 @@ def significant_terms(spark, sf_dir):
     g AS (SELECT *, list_filter(string_split(t, ' '), lambda x: length(x) > 1) AS w FROM n)
     SELECT conv_id, turn, t = '' OR (list_any_value(list_filter(list_transform(%s, lambda k: contains(t, k)), lambda b: b)) IS NOT NULL
       AND NOT (length(t) >= 20 AND len(list_filter(w, lambda x: NOT list_contains(%s, x))) > 0)) AS smalltalk FROM g"""
-    % (str(T.GREETINGS), str(T.SOCIAL_ONLY))
+    % (str(written.GREETINGS), str(written.SOCIAL_ONLY))
 )
 def smalltalk_flags(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
@@ -284,7 +285,7 @@ def token_counts(spark, sf_dir):
 
 @query(
     "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, $p$%s$p$, '[REDACTED]', 'g'), $p$%s$p$, '[REDACTED]', 'g'), $p$%s$p$, '\\1[REDACTED]', 'g')) AS redacted, "
-    "regexp_matches(text, $p$%s$p$) OR regexp_matches(text, $p$%s$p$) OR regexp_matches(text, $p$%s$p$) AS has_secret FROM documents" % ((T.PEM, T.TOKEN, T.KEY_VALUE) * 2)
+    "regexp_matches(text, $p$%s$p$) OR regexp_matches(text, $p$%s$p$) OR regexp_matches(text, $p$%s$p$) AS has_secret FROM documents" % ((written.PEM, written.TOKEN, written.KEY_VALUE) * 2)
 )
 def redact_secrets(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted"), T.contains_secret(F.col("text")).alias("has_secret"))

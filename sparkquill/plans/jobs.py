@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..streaming import ingest
+from . import written
 from .catalog import CHAR_CHUNKS, query, read
 
 _JOBS = rf"""{CHAR_CHUNKS},
     j AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 17 = 5 THEN 'version_not_found' WHEN doc_id % 19 = 7 THEN 'original_missing' WHEN NOT regexp_matches(coalesce(text, ''), '\S') THEN 'no_text' END AS early FROM documents),
-    r AS (SELECT doc_id AS job_id, chunk_index, regexp_replace(regexp_replace(regexp_replace(content, $p${T.PEM}$p$, '[REDACTED]', 'g'), $p${T.TOKEN}$p$, '[REDACTED]', 'g'), $p${T.KEY_VALUE}$p$, '\1[REDACTED]', 'g') AS content FROM cc),
+    r AS (SELECT doc_id AS job_id, chunk_index, regexp_replace(regexp_replace(regexp_replace(content, $p${written.PEM}$p$, '[REDACTED]', 'g'), $p${written.TOKEN}$p$, '[REDACTED]', 'g'), $p${written.KEY_VALUE}$p$, '\1[REDACTED]', 'g') AS content FROM cc),
     n AS (SELECT job_id, count(*) AS n, sha256(string_agg(content, chr(10) ORDER BY chunk_index)) AS h FROM r GROUP BY job_id),
     o AS (SELECT j.job_id, CASE WHEN coalesce(early, CASE WHEN n IS NULL THEN 'no_chunks' END) IS NULL THEN 'completed' ELSE 'failed' END AS status, coalesce(early, CASE WHEN n IS NULL THEN 'no_chunks' END) AS error,
         CASE WHEN early IN ('version_not_found', 'original_missing') THEN 'validating' WHEN early = 'no_text' THEN 'parsing' WHEN n IS NULL THEN 'chunking' ELSE 'activating' END AS stage,

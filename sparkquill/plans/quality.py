@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, retrieval, snapshots
+from . import written
 from .catalog import query, read
 
 # Conversations as samples of answers: turns are claims, those of the assistant cite their number.
@@ -67,7 +68,7 @@ def path_language(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.language(path).alias("language"), T.is_generated(path).alias("generated"))
 
 
-_SECRET = " OR ".join(f"regexp_matches(text, $p${p}$p$)" for p in (T.PEM, T.TOKEN, T.KEY_VALUE))
+_SECRET = " OR ".join(f"regexp_matches(text, $p${p}$p$)" for p in (written.PEM, written.TOKEN, written.KEY_VALUE))
 
 
 @query(f"SELECT doc_id, CASE WHEN {_SECRET} THEN '[REDACTED]' WHEN length(text) > 1024 THEN substr(text, 1, 1024) || '...' ELSE text END AS field FROM documents")
