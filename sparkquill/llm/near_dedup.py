@@ -10,10 +10,13 @@ Pairs within a bucket are not listed. Each node is compared with one centre, the
 meets the most others; links are confirmed on the full sets and connected. Where a bucket then still holds several
 components, its nodes go on with exact candidates. Of two sets that are similar enough, the rarest shingles (as many
 as may be missing, and one) have one in common, so each of these shingles that several such nodes have is a smaller
-bucket, and a node whose rarest shingles nobody shares is done. In a small bucket, members outside its largest component
+bucket, and a node whose rarest shingles nobody shares is done. In such a bucket, members outside its largest component
 meet the others, and of these pairs only those are measured that could still link: a pair differs by all shingles that
 no other open node has at least, and if both were compared with one centre, by what the two distances from it and the
-unique shingles leave (``feasible``). A pair is thus left out only if it is connected already or proven too unlike.
+unique shingles leave (``feasible``). A bucket of many nodes is first cut into parts of like sizes and shares of unique
+shingles; parts that these bounds hold apart never meet, the others meet two by two, each two under their own key, so no
+task has more than PART x PART pairs of one key to look at. A pair is thus left out only if it is connected already or
+proven too unlike.
 
 Defined results: null or empty texts, or without words, have an empty set, link with nothing and are kept;
 so are rows with a null doc_id (component null); texts under five words are one shingle; rows that repeat a
@@ -40,6 +43,8 @@ MOST_MISSED = 3e-7
 PERCENT = 80
 #: Leaves of one centre that a task compares; a centre with more is dealt over several.
 LEAVES = 256
+#: Nodes of a rare shingle that are compared with each other in one go; more are cut into parts.
+PART = 256
 _ATTEMPTS = 2048
 
 
@@ -222,22 +227,74 @@ def _rare_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rarest.where("x.f > 1").select(F.col("x.h").alias("bucket"), "node", "n", "u", (F.col("at") < F.col("short")).alias("shorter"))
 
 
+def _unlike_sizes(percent: int, n: F.Column, shared: F.Column, u: F.Column, o_n: F.Column, o_shared: F.Column, o_u: F.Column, lo_n: F.Column, o_lo_n: F.Column) -> F.Column:
+    """Whether no node of one part can be linked with one of another: sets of lo_n to n, at most ``shared`` and at least ``u`` shingles (un)shared."""
+    far_sizes = 100 * F.least(n, o_n) < percent * F.greatest(lo_n, o_lo_n)
+    return far_sizes | ((100 - percent) * F.least(shared, o_shared) < percent * (u + o_u))
+
+
+def _parts_met(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of large buckets with their ``part``, and bucket, a_part, b_part: the parts whose nodes may be linked.
+
+    A part holds nodes of one bucket that are close in size and in their share of unique shingles, apart from those of the
+    bucket's largest component, and about PART at most: a class of more is dealt over several by a hash of the node.
+    Classes only make parts alike; what decides are the least and greatest values that a part really holds. Their number
+    follows from the logarithm of the sizes, not from the rows, and a class meets only its neighbours.
+    """
+    # A node with so many shingles of its own is unlike every set.
+    rows = rows.where((100 - percent) * (F.col("n") - F.col("u")) >= percent * F.col("u"))
+    # A class is a little wider than the sizes that one set may be linked with, so those lie in its own or a neighbouring class.
+    step = 1.0001 * float(np.log(100 / percent)) if percent < 100 else 1.0
+    rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step))).withColumn("share", F.floor(100 * F.col("u") / F.col("n")))
+    rows = rows.withColumn("inner", F.col("component") == F.col("top"))
+    cell = ["bucket", "inner", "class", "share"]
+    sizes = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("salts"))
+    rows = rows.join(sizes.hint("merge"), cell).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+    rows = materialize(rows.withColumn("part", F.struct("inner", "class", "share", "salt")).drop("inner", "class", "share", "salt"), "parts")
+    held = rows.groupBy("bucket", "part").agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("u")).alias("shared"), F.min("u").alias("u"), F.min("n").alias("lo_n"))
+    held = materialize(held, "held-parts")
+    near = held.withColumn("near", F.explode(F.array(*[F.col("part.class") + k for k in (-1, 0, 1)])))
+    other = held.select("bucket", F.col("part.class").alias("near"), *[F.col(c).alias(f"o_{c}") for c in ("part", "n", "shared", "u", "lo_n")])
+    once = F.col("o_part.inner") | (F.col("part") <= F.col("o_part"))
+    unlike = _unlike_sizes(percent, *(F.col(c) for c in ("n", "shared", "u", "o_n", "o_shared", "o_u", "lo_n", "o_lo_n")))
+    met = near.where("not part.inner").join(other.hint("merge"), ["bucket", "near"]).where(once & ~unlike)
+    return rows, met.select("bucket", F.col("part").alias("a_part"), F.col("o_part").alias("b_part"))
+
+
 def _further_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of open nodes in different components that may be similar enough; of ``stars``, how far a node is from its centre."""
+    """a, b: pairs of open nodes in different components that may be similar enough; of ``stars``, how far a node is from its centre.
+
+    A bucket of at most PART nodes is joined with itself. A larger one is cut into parts of about PART, and only parts whose
+    sizes and unique shingles leave a link possible meet, each two of them under a key of their own.
+    """
     far = stars.select(F.col("b").alias("node"), F.col("a").alias("centre"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d"))
     known = nodes.join(labels.hint("merge"), "node", "left").join(far.hint("merge"), "node", "left")
     known = known.select("node", F.coalesce("component", "node").alias("component"), "centre", "d")
     rows = materialize(_rare_buckets(nodes, sets, percent).join(known.hint("merge"), "node"), "rare")
     parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     # Of each bucket with several components, the largest: its members need not meet each other.
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = materialize(rows.join(largest.select("bucket", F.col("top.component").alias("top")).hint("merge"), "bucket"), "rare")
-    other = rows.select(F.col("bucket").alias("o_bucket"), *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "u", "shorter", "centre", "d", "component")])
-    met = (F.col("o_component") == F.col("top")) | (F.col("node") < F.col("o_node"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members")).where("parts > 1")
+    rows = materialize(rows.join(largest.select("bucket", "members", F.col("top.component").alias("top")).hint("merge"), "bucket"), "rare")
+
+    columns = ("node", "n", "u", "shorter", "centre", "d", "component")
+    of = lambda x, *key: x.select(*key, *[F.col(c).alias(f"o_{c}") for c in columns])
     less = F.struct("n", "node") < F.struct(F.col("o_n").alias("n"), F.col("o_node").alias("node"))
-    may = (F.col("bucket") == F.col("o_bucket")) & (F.col("component") != F.col("o_component")) & met & F.when(less, F.col("shorter")).otherwise(F.col("o_shorter")) & feasible(percent)
-    pairs = rows.where("component <> top").join(other.hint("merge"), may)
-    return materialize(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "pairs")
+    may = (F.col("component") != F.col("o_component")) & F.when(less, F.col("shorter")).otherwise(F.col("o_shorter")) & feasible(percent)
+    ends = F.col("node").alias("a"), F.col("o_node").alias("b")
+
+    small = rows.where(F.col("members") <= PART)
+    met = (F.col("o_component") == F.col("top")) | (F.col("node") < F.col("o_node"))
+    pairs = small.where("component <> top").join(of(small, "bucket").hint("merge"), "bucket").where(met & may).select(*ends)
+    large = rows.where(F.col("members") > PART)
+    if _some(large):
+        large, meeting = _parts_met(large, percent)
+        meeting = materialize(meeting, "meeting")
+        key = ["bucket", "a_part", "b_part"]
+        left = large.withColumnRenamed("part", "a_part").join(meeting.hint("merge"), ["bucket", "a_part"])
+        right = of(large.withColumnRenamed("part", "b_part").join(meeting.hint("merge"), ["bucket", "b_part"]), *key)
+        met = (F.col("a_part") != F.col("b_part")) | (F.col("node") < F.col("o_node"))
+        pairs = pairs.unionByName(left.join(right.hint("merge"), key).where(met & may).select(*ends))
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:

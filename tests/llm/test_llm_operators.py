@@ -197,6 +197,34 @@ def test_near_dedup_where_buckets_hold_many_unlinked_texts(spark, monkeypatch):
     assert got == linked_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_where_large_buckets_are_cut_into_parts(spark, monkeypatch, percent):
+    # Texts of several lengths share passages with many others; buckets of more than three nodes are cut.
+    monkeypatch.setattr(near_dedup, "band_rows", lambda percent: 2)
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    rng = np.random.default_rng(31)
+    base = phrase(71, 90).split()
+    rows = [(1000, ""), (1001, None), (1002, "two words")]
+    for i in range(90):
+        copy = base[: 45 + 5 * int(rng.integers(0, 10))]
+        for k in rng.choice(9, rng.integers(0, 5), replace=False):
+            copy[5 * k] = f"edit{k}v{rng.integers(3)}" if i % 3 else f"own{i}v{k}"
+        rows.append((i, " ".join(copy)))
+    wanted = linked_by_brute_force(rows, percent)
+    assert 4 < len({r[2] for r in wanted}) < 90
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs(spark, rows), percent).select(FOUR).collect()) == wanted
+
+
+def test_parts_that_sizes_hold_apart_do_not_meet(spark):
+    schema = "bucket long, node long, n int, u int, component long, top long"
+    alike = [(1, i, 110, 18, i, -1) for i in range(3000)]
+    assert not near_dedup._parts_met(spark.createDataFrame(alike, schema), 80)[1].count()
+    # one node without shingles of its own may meet each of them: one part against the others, not all against all
+    rows, met = near_dedup._parts_met(spark.createDataFrame([*alike, (1, 5000, 100, 0, 5000, -1)], schema), 80)
+    parts = rows.where("node < 3000").select("part").distinct().count()
+    assert met.count() == parts + 1 and rows.groupBy("part").count().agg({"count": "max"}).first()[0] < 2 * near_dedup.PART
+
+
 def test_signatures_estimate_similarity():
     a, b = phrase(1, 400), " ".join(phrase(1, 400).split()[:360] + phrase(2, 40).split())
     doc, hashes = near_dedup.shingle_sets([a.encode(), b.encode()])
