@@ -1,11 +1,13 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of a fixed lexicon and of terms learned from labels, how near lexicon words
-stand to the second person, shares of capitals and punctuation, and rates of obfuscated words. Labels are
-learned from the training rows alone, which fall into three parts by their crc32: terms (words, and word
-beginnings for compounds) are learned on the first, trees on the second, and the calibration on the third, so
-that none judges what it has seen. At most ``most_rows`` labelled rows are fitted on, picked by a hash of
-their id; that is the one bounded sample here, and every row is scored.
+Features of a text: densities of fixed lexicons by kind (over the text and in its densest window) and of a lexicon learned
+from labels, how near both stand to the second person, shares of capitals and punctuation, in the text and at lexicon words,
+and rates of obfuscated words. Obfuscation is undone before words are looked up, and lexicon words count with their endings.
+What the fixed lexicons hold is not learned again: the learned one has what they miss (other languages, compounds). Labels are
+learned from the training rows alone, which fall into three parts by their crc32: the lexicon (words and word beginnings) is
+learned on the first, trees on the second, and the calibration on the third, so that none judges what it has seen. At most
+``most_rows`` labelled rows are fitted on, picked by a hash of their id; that is the one bounded sample here, and every row is
+scored.
 
 Defined results: null or empty texts have features of 0 and a score like other texts; rows that repeat are
 all scored; labels with a null are not learned from; without labels of both kinds in each part the score is
@@ -30,24 +32,33 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Insults in the languages of the corpus.
-LEXICON = frozenset(
-    """
-    idiot moron stupid dumb loser scum trash garbage clown worthless pathetic disgusting retard imbecile fool jerk
-    bastard bitch asshole crap shit fuck fucking damn whore slut pig vermin filth freak creep coward liar hate kill
-    idioten dumm dummkopf blöd blödmann trottel arschloch scheiße versager abschaum widerlich wertlos erbärmlich
-    estúpido tonto imbécil basura escoria payaso inútil patético asqueroso perdedor mierda puta cabrón
-    imbécile crétin débile ordure déchet minable dégoûtant pathétique connard merde salope nul abruti
-    """.split()
-)
+#: Insults in the languages of the corpus, by kind.
+KINDS = {
+    "mind": """
+        idiot moron stupid dumb retard imbecile fool clown idioten dumm dummkopf blöd blödmann trottel estúpido tonto imbécil payaso
+        imbécile crétin débile abruti
+    """,
+    "worth": """
+        loser scum trash garbage worthless pathetic disgusting pig vermin filth freak creep coward liar jerk abschaum widerlich wertlos
+        erbärmlich versager basura escoria inútil patético asqueroso perdedor ordure déchet minable dégoûtant pathétique nul
+    """,
+    "crude": "bastard bitch asshole crap shit fuck fucking damn whore slut arschloch scheiße mierda puta cabrón connard merde salope",
+    "threat": "hate kill",
+}
+LEXICON = {w: kind for kind, listed in KINDS.items() for w in listed.split()}
+#: Lexicon words of at least this many letters count with any ending.
+STEM = 5
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch euer ihr tú tu te ti tus usted ustedes vosotros vous votre vos toi ton ta".split())
 MOST_ROWS, MOST_TERMS, TREES, DEPTH = 24_000, 4_096, 20, 4
+#: Words of a window, and distances from the second person, in words.
+WINDOW, DISTANCES = 20, (2, 5, 10)
 FEATURES = [
-    "log_words", "lexicon_density", "lexicon_count", "learned_density", "learned_count", "learned_weight", "begin_density", "begin_count",
-    "begin_weight", "near_you", "second_person", "capitals", "capital_words", "punctuation", "exclamations", "obfuscated", "obfuscated_lexicon",
+    "log_words", *[f"{kind}_density" for kind in KINDS], "lexicon_density", "lexicon_window", *[f"lexicon_within_{d}" for d in DISTANCES],
+    "learned_density", "learned_weight", "learned_window", *[f"learned_within_{d}" for d in DISTANCES], "second_person",
+    "capitals", "capital_words", "capital_hits", "punctuation", "exclamations", "marked_hits", "obfuscated", "obfuscated_lexicon",
 ]
 _WORD = re.compile(r"[^\W\d_]+")
-_HIDDEN = re.compile(r"[^\W\d_]+[0-9@$*!|]+[^\W\d_]+|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
+_HIDDEN = re.compile(r"[0-9@$!|]?[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": None, ".": None, "-": None, "_": None})
 _BEGINS = (4, 5, 6)
 _EDGES = ".,;:!?\"'()[]{}<>#%&*$-"
@@ -60,38 +71,72 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+_STEMS = {w for w in LEXICON if len(w) >= STEM}
+_STEM_BEGINS, _STEM_SIZES = {w[:STEM] for w in _STEMS}, sorted({len(w) for w in _STEMS}, reverse=True)
+
+
+def kind_of(word: str) -> str | None:
+    """The kind of a lower-case word that a fixed lexicon holds, or of the longest stem that it begins with."""
+    if word in LEXICON or word[:STEM] not in _STEM_BEGINS:
+        return LEXICON.get(word)
+    return next((LEXICON[word[:k]] for k in _STEM_SIZES if word[:k] in _STEMS), None)
+
+
+def _densest(at: np.ndarray) -> int:
+    """The most of the ascending places ``at`` that one window of words holds."""
+    return int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max()) if len(at) else 0
+
+
+def _distances(at: np.ndarray, you: np.ndarray) -> np.ndarray:
+    """How far each place is from the nearest of ``you``; both ascend."""
+    if not len(at) or not len(you):
+        return np.zeros(0)
+    after = np.searchsorted(you, at)
+    return np.minimum(np.abs(at - you[np.maximum(after - 1, 0)]), np.abs(you[np.minimum(after, len(you) - 1)] - at))
+
+
 def features(text: str, words: dict[str, float], begins: dict[str, float], four: frozenset[str]) -> list[float]:
     """The features of one text, in the order of FEATURES; ``four`` has the first four letters of ``begins``."""
-    plain = text.lower()
-    found = _WORD.findall(plain)
-    distinct = set(found)
-    kinds = {w: (words.get(w, 0.0), 0.0, w in LEXICON) for w in distinct & (LEXICON | words.keys())} if distinct else {}
-    for w in [w for w in distinct if w[:4] in four]:
-        a, _, c = kinds.get(w, (0.0, 0.0, False))
-        kinds[w] = (a, max(begins.get(w[:k], 0.0) for k in _BEGINS), c)
-    you = np.array([i for i, w in enumerate(found) if w in SECOND_PERSON]) if distinct & SECOND_PERSON else np.zeros(0)
-    lexicon = learned = begun = near = 0
-    weight = begin_weight = 0.0
-    for i, w in enumerate(found) if kinds else ():
-        kind = kinds.get(w)
-        if kind:
-            learned += kind[0] > 0
-            begun += kind[1] > 0
-            weight += kind[0]
-            begin_weight += kind[1]
-            lexicon += kind[2]
-            near += bool(len(you) and np.abs(you - i).min() <= 5)
     tokens = text.split()
-    odd = [c for t in {t.lower() for t in tokens if not t.isalpha()} if (c := t.strip(_EDGES)) and not c.isalpha() and _HIDDEN.fullmatch(c)]
-    unhidden = sum(1 for x in odd if (y := x.translate(_PLAIN)) in LEXICON or y in words)
+    hidden = {t: c for t in set(tokens) if not t.isalpha() and (c := t.lower().strip(_EDGES)) and not c.isalpha() and _HIDDEN.fullmatch(c)}
+    shown = {t: y for t, c in hidden.items() if kind_of(y := c.translate(_PLAIN)) or y in words}
+    odd = sum(1 for t in tokens if t in hidden) if hidden else 0
+    unhidden = sum(1 for t in tokens if t in shown) if shown else 0
+    source = " ".join(shown.get(t, t) for t in tokens) if shown else text
+    found = _WORD.findall(source.lower())
+    distinct = set(found)
+    fixed = {w: kind for w in distinct if (kind := kind_of(w))}
+    learned = {}
+    for w in distinct:
+        if w not in fixed and (w in words or w[:4] in four):
+            weight = max(words.get(w, 0.0), *[begins.get(w[:k], 0.0) for k in _BEGINS])
+            if weight:
+                learned[w] = weight
+    you = np.array([i for i, w in enumerate(found) if w in SECOND_PERSON], np.int64) if distinct & SECOND_PERSON else np.zeros(0, np.int64)
+    kinds, at, at_learned = dict.fromkeys(KINDS, 0), [], []
+    weight, shouted, marked = 0.0, 0, 0
+    for i, m in enumerate(_WORD.finditer(source)) if fixed or learned else ():
+        w = m.group().lower()
+        if w in fixed:
+            kinds[fixed[w]] += 1
+            at.append(i)
+        elif w in learned:
+            weight += learned[w]
+            at_learned.append(i)
+        else:
+            continue
+        shouted += m.group().isupper()
+        marked += source[m.end() : m.end() + 1] in ("!", "?")
+    at, at_learned = np.array(at, np.int64), np.array(at_learned, np.int64)
+    near, near_learned = _distances(at, you), _distances(at_learned, you)
     raw = np.frombuffer(text.encode(), np.uint8)
     size, per = max(1, len(raw)), max(1, len(found))
-    kind_of = np.bincount(_BYTE_KIND[raw], minlength=4)
-    shout = sum(1 for t in tokens if len(t) > 2 and t.isupper()) if kind_of[1] > 2 else 0
+    kind_count = np.bincount(_BYTE_KIND[raw], minlength=4)
+    shout = sum(1 for t in tokens if len(t) > 2 and t.isupper()) if kind_count[1] > 2 else 0
     return [
-        float(np.log1p(len(found))), lexicon / per, float(lexicon), learned / per, float(learned), weight, begun / per, float(begun),
-        begin_weight, near / per, len(you) / per, kind_of[1] / size, shout / per, (kind_of[2] + kind_of[3]) / size, kind_of[3] / size,
-        len(odd) / per, float(unhidden),
+        float(np.log1p(len(found))), *(n / per for n in kinds.values()), len(at) / per, _densest(at) / WINDOW, *(float((near <= d).sum()) / per for d in DISTANCES),
+        len(at_learned) / per, weight / per, _densest(at_learned) / WINDOW, *(float((near_learned <= d).sum()) / per for d in DISTANCES), len(you) / per,
+        kind_count[1] / size, shout / per, shouted / per, (kind_count[2] + kind_count[3]) / size, kind_count[3] / size, marked / per, odd / per, unhidden / per,
     ]
 
 
@@ -115,12 +160,13 @@ def with_features(docs: DataFrame, words: dict[str, float], begins: dict[str, fl
 
 
 def _terms(texts: DataFrame, most: int = MOST_TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that mark label 1, with their log odds; the ``most`` strongest of each."""
+    """Words and word beginnings that mark label 1 and that no fixed lexicon holds, with their log odds; the ``most`` strongest of each."""
     sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return {}, {}
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("\\p{L}+"), F.lit(0))))
-    listed = texts.select("toxic", F.monotonically_increasing_id().alias("row"), word.alias("w")).where("length(w) > 2")
+    known = F.col("w").isin(*LEXICON) | F.col("w").rlike("^(?:" + "|".join(sorted(_STEMS)) + ")")
+    listed = texts.select("toxic", F.monotonically_increasing_id().alias("row"), word.alias("w")).where("length(w) > 2").where(~known)
     begins = F.explode(F.array(*[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in _BEGINS]))
     begun = listed.select("toxic", "row", begins.alias("w")).where("w is not null").distinct()
     out = []
@@ -161,8 +207,8 @@ def _margin(trees, rows: DataFrame) -> DataFrame:
     return trees.transform(vector).withColumn("_margin", vector_to_array("_raw")[1]).drop("_vector", "_raw", "_probability", "_prediction")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees: int = TREES, depth: int = DEPTH) -> Model:
-    """Learns from labelled rows whose fold is not 0, at most about ``most_rows`` of them."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees: int = TREES, depth: int = DEPTH, most_terms: int = MOST_TERMS) -> Model:
+    """Learns from labelled rows whose fold is not 0, at most about ``most_rows`` of them; ``most_terms`` 0: no lexicon is learned."""
     usable = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = usable.where(fold(F.col("doc_id")) != 0)
     n = train.count()
@@ -175,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees: i
     parts = {"terms": [1, 2], "trees": [3], "calibration": [4]}
     if any(not any((p, k) in kinds for p in of) for of in parts.values() for k in (0, 1)):
         return Model({}, {})
-    words, begins = _terms(texts.where(F.col("part").isin(parts["terms"])))
+    words, begins = _terms(texts.where(F.col("part").isin(parts["terms"])), most_terms) if most_terms else ({}, {})
     rows = materialize(with_features(texts.where("part > 2").select("text", "part", "toxic"), words, begins).drop("text"), "features")
     of = lambda name: rows.where(F.col("part").isin(parts[name])).withColumn("label", F.col("toxic").cast("double"))
     gbt = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11)

@@ -251,6 +251,37 @@ def test_toxicity_holds_on_rows_it_never_learned_from(spark):
     assert (rank - len(toxic) * (len(toxic) + 1) / 2) / (len(toxic) * len(clean)) > 0.93
 
 
+def test_toxicity_features():
+    of = lambda text, words={}, begins={}: dict(zip(toxicity.FEATURES, toxicity.features(text, words, begins, frozenset(b[:4] for b in begins))))
+    assert [toxicity.kind_of(w) for w in ("idiots", "pathetically", "killer", "kill", "idea", "trashcan")] == ["mind", "worth", None, "threat", None, "worth"]
+    got = of("You are an IDIOT! What a nice day it is here, and no more of it than that, scum")
+    assert got["mind_density"] == got["worth_density"] == 1 / 19 and got["lexicon_density"] == 2 / 19 and got["lexicon_window"] == 2 / toxicity.WINDOW
+    assert got["lexicon_within_2"] == 0 and got["lexicon_within_5"] == got["lexicon_within_10"] == 1 / 19
+    assert got["capital_hits"] == got["marked_hits"] == got["capital_words"] == 1 / 19 and got["obfuscated"] == 0
+    got = of("such an 1d10t, id!ot and m0r0n here on the 2nd of th3m")
+    assert got["obfuscated_lexicon"] == got["mind_density"] == 3 / 13 and got["obfuscated"] == 4 / 13  # th3m is th and m
+    # what a fixed lexicon holds is not counted as learned too; the strongest of word and beginnings counts
+    got = of("idiot blergh blerghen plain", {"idiot": 3.0, "blergh": 2.5}, {"blerg": 4.0})
+    assert got["learned_density"] == 2 / 4 and got["learned_weight"] == 8 / 4 and got["lexicon_density"] == 1 / 4
+    assert set(of("").values()) == {0.0}
+    at, you = np.sort(np.random.default_rng(2).choice(500, 40, replace=False)), np.sort(np.random.default_rng(3).choice(500, 9, replace=False))
+    assert toxicity._distances(at, you).tolist() == [int(np.abs(you - i).min()) for i in at]
+    assert toxicity._densest(at) == max(sum(i <= j < i + toxicity.WINDOW for j in at) for i in at)
+
+
+def test_toxicity_learns_what_the_fixed_lexicons_miss(spark):
+    rows = [(1, f"idiots moron blergh{i % 3} plain{i}") for i in range(20)] + [(0, f"plain words {i}") for i in range(20)]
+    words, begins = toxicity._terms(spark.createDataFrame(rows, "toxic int, text string"))
+    assert set(words) <= {"blergh"} and set(begins) == {"blerg", "bler"}
+
+
+def test_toxicity_does_not_rest_on_one_feature(spark):
+    folder = "/root/testdata/sf0.1"
+    model = toxicity.fit(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+    importance = dict(zip(toxicity.FEATURES, model.trees.featureImportances.toArray()))
+    assert max(importance.values()) < 0.5 and sum(v for k, v in importance.items() if not k.startswith("learned")) > 0.4
+
+
 def test_toxicity_of_rows_without_ids_and_with_clashing_names(spark, sf):
     source = common.table(spark, sf, "documents")
     clash = source.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("_features", "_vector", "_margin", "_calibrated", "_raw", "_score", "score", "in0")])
