@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking, code, context, evaluation, ingestion, retrieval, snapshots
-from ..sources import files
+from ..sources import files, scratch
 from ..streaming import events
 from .catalog import _DENSE, _FUSED, _LEXICAL, chunks, queries_, query, read, vectors
 from .quality import _SAMPLES, _samples
@@ -14,6 +14,7 @@ from .quality import _SAMPLES, _samples
 def _fused(spark, sf_dir):
     q = queries_(spark, sf_dir)
     lists = {"dense": retrieval.dense(vectors(spark, sf_dir), q), "lexical": retrieval.lexical(chunks(spark, sf_dir), q)}
+    lists = {name: scratch.saved(found, name) for name, found in lists.items()}  # shown, and fused
     ranks = [f.select("qid", "chunk_id", "rank", F.lit(name).alias("source")) for name, f in lists.items()]
     return lists | {"fused": retrieval.fuse(ranks[0].unionByName(ranks[1])).where("rank <= 20")}
 
