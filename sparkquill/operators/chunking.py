@@ -18,6 +18,23 @@ MOST_TOKENS, OVERLAP, PARENT_TOKENS = 900, 0.12, 2400
 TEXT_KINDS, ALONE = ["paragraph", "list_item", "text", "formula", "image_caption", "ocr_text", "file_header", "symbol", "configuration"], ["table", "code"]
 
 
+#: Rows of a frame that a function gives back at once, and letters of their texts.
+PIECE_ROWS, PIECE_LETTERS = 2000, 2_000_000
+
+
+def in_pieces(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """``rows`` as frames of a bounded size, whatever a batch of documents is cut into; the last column is the text."""
+    held, letters = [], 0
+    for row in rows:
+        held.append(row)
+        letters += len(row[-1] or "")
+        if len(held) >= PIECE_ROWS or letters >= PIECE_LETTERS:
+            yield pd.DataFrame(held, columns=columns)
+            held, letters = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
     """First line, last line (from 1) and text of each maximal run of lines that aren't blank."""
     lines, begin = text.split("\n"), None
@@ -36,8 +53,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, *r) for d, t in zip(frame["doc_id"], frame["text"]) for i, r in enumerate(_runs(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "line_start", "line_end", "text"])
+            rows = ((d, i, *r) for d, t in zip(frame["doc_id"], frame["text"]) for i, r in enumerate(_runs(t or "")))
+            yield from in_pieces(rows, ["doc_id", "paragraph", "line_start", "line_end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, paragraph int, line_start int, line_end int, text string")
 
@@ -69,8 +86,8 @@ def char_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFram
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, c) for d, t in zip(frame["doc_id"], frame["text"]) for i, c in enumerate(_windows(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
+            rows = ((d, i, c) for d, t in zip(frame["doc_id"], frame["text"]) for i, c in enumerate(_windows(t or "", size, overlap)))
+            yield from in_pieces(rows, ["doc_id", "chunk_index", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_index int, content string")
 
@@ -95,8 +112,8 @@ def line_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, *r) for d, t in zip(frame["doc_id"], frame["text"]) for r in _lines(t or "", size)]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_start", "line_end", "content"])
+            rows = ((d, *r) for d, t in zip(frame["doc_id"], frame["text"]) for r in _lines(t or "", size))
+            yield from in_pieces(rows, ["doc_id", "line_start", "line_end", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, line_start int, line_end int, content string")
 
@@ -145,17 +162,19 @@ def document_chunks(units: DataFrame, most: int = MOST_TOKENS, overlap: float =
             for i, (at, content, path) in enumerate(_packed(run, most, int(most * overlap))):
                 yield (*key, i, at[0], at[-1], path, content)
 
-        key, run = None, []
-        for frame in frames:
-            rows = []
-            for doc, family, unit, path, text in zip(frame["doc_id"], frame["family"], frame["unit"], frame["heading_path"], frame["text"]):
-                if (doc, family) != key:
-                    rows += cut(key, run) if run else []
-                    key, run = (doc, family), []
-                run.append((unit, list(path), text or ""))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOC_CHUNKS.split(", ")])
-        if run:
-            yield pd.DataFrame(list(cut(key, run)), columns=[c.split()[0] for c in DOC_CHUNKS.split(", ")])
+        def rows():
+            key, run = None, []
+            for frame in frames:
+                for doc, family, unit, path, text in zip(frame["doc_id"], frame["family"], frame["unit"], frame["heading_path"], frame["text"]):
+                    if (doc, family) != key:
+                        if run:
+                            yield from cut(key, run)
+                        key, run = (doc, family), []
+                    run.append((unit, list(path), text or ""))
+            if run:
+                yield from cut(key, run)
+
+        yield from in_pieces(rows(), [c.split()[0] for c in DOC_CHUNKS.split(", ")])
 
     dealt = families(units).select("doc_id", "family", "unit", "heading_path", "text").repartition("doc_id", "family").sortWithinPartitions("doc_id", "family", "unit")
     return dealt.mapInPandas(pack, DOC_CHUNKS)
@@ -258,7 +277,7 @@ def table_groups(tables: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(t, i, c) for t, text in zip(frame["table"], frame["text"]) for i, c in enumerate(_row_groups(text or "", most))]
-            yield pd.DataFrame(rows, columns=["table", "chunk", "content"])
+            rows = ((t, i, c) for t, text in zip(frame["table"], frame["text"]) for i, c in enumerate(_row_groups(text or "", most)))
+            yield from in_pieces(rows, ["table", "chunk", "content"])
 
     return tables.select("table", "text").mapInPandas(cut, f"table {kind}, chunk int, content string")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import in_pieces
+
 #: A line that begins a symbol, by language: the first group is its kind, the second its name.
 BEGINS = {
     "python": r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)",
@@ -84,8 +86,8 @@ def markdown(docs: DataFrame) -> DataFrame:
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, n, *u) for d, t in zip(frame["doc_id"], frame["text"]) for n, u in enumerate(markdown_units(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "unit", "kind", "heading_path", "line_start", "line_end", "text"])
+            rows = ((d, n, *u) for d, t in zip(frame["doc_id"], frame["text"]) for n, u in enumerate(markdown_units(t or "")))
+            yield from in_pieces(rows, ["doc_id", "unit", "kind", "heading_path", "line_start", "line_end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(parse, "doc_id long, unit int, kind string, heading_path array<string>, line_start int, line_end int, text string")
 
