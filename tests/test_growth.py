@@ -4,7 +4,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from sparkquill.operators import chunking, retrieval
+from sparkquill.operators import chunking, patterns, retrieval
 from sparkquill.plans.catalog import ORACLES, QUERIES
 
 
@@ -62,3 +62,14 @@ def test_frames_given_back_are_bounded():
     frames = list(chunking.in_pieces(iter(rows), ["doc_id", "n", "text"]))
     assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
     assert all(len(f) <= 2000 and f["text"].fillna("").str.len().sum() <= 3_500_000 for f in frames) and not list(chunking.in_pieces(iter([]), ["text"]))
+
+
+def test_presence_is_counted_where_texts_are_read(spark, sf, monkeypatch):
+    """Before, a row for each string of each text was joined to all queries that ask for it."""
+    assert "Join" not in QUERIES["term_presence_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([(1, "ab c"), (1, "abc"), (2, None), (3, "cab"), (None, "ab"), (4, "")], "id long, text string")
+    wanted = spark.createDataFrame([(q, s) for q in range(20) for s in ("ab", "c", "zz")[q % 3 :]] + [(7, ""), (8, None)], "qid long, string string")
+    want = sorted((q, n) for q in range(20) if (n := len({i for i, t in texts.collect() if any(s in (t or "") for s in ("ab", "c", "zz")[q % 3 :])})))
+    for most in (4096, 3):
+        monkeypatch.setattr(patterns, "MOST_GROUPS", most)
+        assert sorted(map(tuple, patterns.counted_texts(texts, wanted).collect())) == want
