@@ -4,7 +4,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from sparkquill.operators import chunking, patterns, retrieval
+from sparkquill.operators import chunking, patterns, postings, retrieval
 from sparkquill.plans.catalog import ORACLES, QUERIES
 
 
@@ -73,3 +73,22 @@ def test_presence_is_counted_where_texts_are_read(spark, sf, monkeypatch):
     for most in (4096, 3):
         monkeypatch.setattr(patterns, "MOST_GROUPS", most)
         assert sorted(map(tuple, patterns.counted_texts(texts, wanted).collect())) == want
+
+
+def test_postings_of_a_word_are_shuffled_as_one_row(spark, monkeypatch):
+    """Before, each posting was a row that was written, shuffled and sorted, and the texts that stay were joined by chunk to compact."""
+    texts = spark.range(4000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("one two three one "), F.col("id") % 10).alias("text")).coalesce(2)
+    asked = spark.createDataFrame([(1, "one two"), (2, "three 7"), (3, "four")], "qid long, text string")
+    wrong = texts.where("chunk_id % 4 <> 1").withColumn("text", F.when(F.col("chunk_id") % 8 == 0, "one").otherwise(F.col("text")))
+    want = sorted(map(tuple, retrieval.lexical(texts, asked).select("qid", "chunk_id", "score", "rank").collect()))
+    for most, tokens, wide in ((2_000_000, 4_000_000, 8192), (0, 4_000_000, 8192), (2_000_000, 7, 3)):
+        for name, value in (("MOST_GONE", most), ("MOST_TOKENS", tokens), ("WIDE", wide)):
+            monkeypatch.setattr(postings, name, value)
+        index = postings.PostingsIndex(spark, buckets=4)
+        index.add(wrong)
+        index.reindex(wrong, texts)
+        held = lambda: spark.read.parquet(*[f"{index.folder}/{run['name']}" for run in index.held["runs"]])
+        assert tokens == 7 or held().count() < 100
+        assert sorted(map(tuple, index.search(asked).collect())) == want
+        index.compact()
+        assert held().agg(F.sum("n")).first()[0] == 16_000 and sorted(map(tuple, index.search(asked).collect())) == want
