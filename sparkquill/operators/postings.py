@@ -36,6 +36,8 @@ MOST_TOKENS, MOST_GONE = 4_000_000, 2_000_000
 GROUPS = 65_536
 #: Postings from which blocks of a word that stand side by side are no longer joined.
 WIDE = 8192
+#: Bytes of ASCII that belong to lexemes, in lower case.
+_OF_WORDS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789_"))
 #: A word, the first chunk of the block, its postings; their chunks (64 bits), how many places each has and all places (32 bits).
 BLOCK = "word STRING, chunk_id BIGINT, n INT, chunks BINARY, counts BINARY, places BINARY"
 COLUMNS, KEY, LAYOUT = f"slot STRING, {BLOCK}", ["slot", "chunk_id"], 2
@@ -56,11 +58,11 @@ def _ends(lengths: np.ndarray) -> np.ndarray:
     return np.append(0, np.cumsum(lengths, dtype=np.int64))
 
 
-def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold MOST_TOKENS together at most, or are one row."""
+def _pieces(lengths: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold ``most`` (MOST_TOKENS) together at most, or are one row."""
     ends, begin = _ends(lengths), 0
     while begin < len(lengths):
-        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + MOST_TOKENS, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (most or MOST_TOKENS), "right")) - 1)
         yield begin, end
         begin = end
 
@@ -84,34 +86,62 @@ def _block(words: pa.Array, starts: np.ndarray, chunk: np.ndarray, counts: np.nd
     return pa.record_batch([words, pa.array(chunk[starts], pa.int64()), pa.array(np.diff(ends), pa.int32()), *lists], ["word", "chunk_id", "n", "chunks", "counts", "places"])
 
 
+def _lexemes(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of lexemes of each lower-case ASCII text, and all of them."""
+    _, at, held = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data, edges = np.frombuffer(held or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+    inner = _OF_WORDS[data]
+    # whether the byte before and the one behind belong to the same word
+    before, behind = np.zeros_like(inner), np.zeros_like(inner)
+    before[1:], behind[:-1] = inner[:-1], inner[1:]
+    before[edges[edges < len(data)]], behind[edges[edges > 0] - 1] = False, False
+    first, last = np.flatnonzero(inner & ~before), np.flatnonzero(inner & ~behind)
+    ends = _ends(last - first + 1).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data[inner])])
+    return np.diff(np.searchsorted(first, edges)), words
+
+
+def _gathered(ids: np.ndarray, lengths: np.ndarray, flat: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Blocks of chunks whose words stand in ``flat``, one chunk after the other."""
+    ends = _ends(lengths)
+    for begin, end in _pieces(lengths):
+        low, n = int(ends[begin]), int(ends[end] - ends[begin])
+        if not n:
+            continue
+        coded, bits = flat.slice(low, n).dictionary_encode(), n.bit_length()
+        # by word, then as they stand
+        key = coded.indices.to_numpy().astype(np.int64)
+        key <<= bits
+        key |= np.arange(n)
+        key.sort()
+        word, at = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
+        row = np.repeat(np.arange(begin, end, dtype=np.int32), lengths[begin:end])[at]
+        place = at - (ends[:-1] - low).astype(np.int32)[row]
+        first = _changes(word, row)
+        yield _block(coded.dictionary, _changes(word[first]), ids[row[first]], np.diff(first, append=n), place)
+
+
 def blocks(chunks: DataFrame) -> DataFrame:
     """The postings of each word in some MOST_TOKENS words of chunks (chunk_id, a key, and text) as blocks.
 
-    Places ascend. Gathered inside the scanning task, so no word is shuffled by chunk.
+    Places ascend. Gathered inside the scanning task, so no word is shuffled by chunk. Texts that are ASCII in lower case are cut
+    into words by arrays of bytes, others by the pattern.
     """
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, every = batch.column("chunk_id").to_numpy(), batch.column("every")
-            lengths, flat = pc.list_value_length(every).to_numpy().astype(np.int64), every.flatten()
-            ends = _ends(lengths)
-            for begin, end in _pieces(lengths):
-                low, n = int(ends[begin]), int(ends[end] - ends[begin])
-                if not n:
-                    continue
-                coded, bits = flat.slice(low, n).dictionary_encode(), n.bit_length()
-                # by word, then as they stand
-                key = coded.indices.to_numpy().astype(np.int64)
-                key <<= bits
-                key |= np.arange(n)
-                key.sort()
-                word, at = (key >> bits).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32)
-                row = np.repeat(np.arange(begin, end, dtype=np.int32), lengths[begin:end])[at]
-                place = at - (ends[:-1] - low).astype(np.int32)[row]
-                first = _changes(word, row)
-                yield _block(coded.dictionary, _changes(word[first]), ids[row[first]], np.diff(first, append=n), place)
-
-    return chunks.where("chunk_id is not null").select("chunk_id", T.lexemes(F.col("text")).alias("every")).mapInArrow(gathered, BLOCK)
+            some = batch.filter(pc.is_valid(batch.column("every")))
+            yield from _gathered(some.column("chunk_id").to_numpy(), pc.list_value_length(some.column("every")).to_numpy(), some.column("every").flatten())
+            some = batch.filter(pc.is_valid(batch.column("plain")))
+            for begin, end in _pieces(pc.binary_length(some.column("plain")).to_numpy(), 6 * MOST_TOKENS):
+                piece = some.slice(begin, end - begin)
+                yield from _gathered(piece.column("chunk_id").to_numpy(), *_lexemes(piece.column("plain")))
+
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    plain = F.octet_length(lower) == F.length(lower)
+    rows = chunks.where("chunk_id is not null").select("chunk_id", F.when(plain, lower).alias("plain"), F.when(~plain, T.lexemes(F.col("text"))).alias("every"))
+    return rows.mapInArrow(gathered, BLOCK)
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """What may not grow faster than the input: rows and bytes between tasks, what a task or its Python holds."""
 
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
+from sparkquill.functions import text as T
 from sparkquill.operators import chunking, patterns, postings, retrieval
 from sparkquill.plans.catalog import ORACLES, QUERIES
 
@@ -92,3 +94,13 @@ def test_postings_of_a_word_are_shuffled_as_one_row(spark, monkeypatch):
         assert sorted(map(tuple, index.search(asked).collect())) == want
         index.compact()
         assert held().agg(F.sum("n")).first()[0] == 16_000 and sorted(map(tuple, index.search(asked).collect())) == want
+
+
+def test_ascii_words_are_those_of_the_pattern(spark):
+    """Before, the pattern cut all texts; those that are ASCII in lower case are cut by arrays of bytes."""
+    words, n = postings._lexemes(pa.array(["a-b", "", "b c_1"]).slice(1)), postings._lexemes(pa.array([], pa.string()))
+    assert words[0].tolist() == [0, 2] and words[1].to_pylist() == ["b", "c_1"] and len(n[0]) == len(n[1]) == 0
+    texts = ["", "a", " a", "a ", "A_b9\x00c\x7fd", "  ", "\u212a k K", "\u0130x \u00e9t\u00e9 x", "x-y.z\nx\tY", "no", "", "9_9 9_9", None, "end"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string").coalesce(1)
+    want = sorted((i, w, [k for k, x in enumerate(ws) if x == w]) for i, ws in rows.select("chunk_id", T.lexemes(F.col("text"))).collect() for w in set(ws))
+    assert sorted((r.chunk_id, r.word, r.places) for r in postings.postings(rows).collect()) == want
